@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, transport
+from ..session import materialize
+from . import chat, packing, transport, warc
 
 
 def op1_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,24 @@ def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    dictionary = warc.sample_dictionary(pages)
+    archives = materialize(warc.write_archives(warc.plan_records(pages), dictionary), "archives", codec="none")
+    return warc.read_archives(archives)
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+n AS (SELECT payload_digest, max(page_id) AS newest FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN newest <> page_id THEN newest END AS refers_to
+FROM d LEFT JOIN n USING (payload_digest)
+"""
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -55,9 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_ffd": op1_pack_ffd,
         "op2_transport_stream": op2_transport_stream,
+        "op4_warc_zstd": op4_warc_zstd,
         "op6_chat_round_trip": op6_chat_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_round_trip": OP6_SQL}
+    return {"op4_warc_zstd": OP4_SQL, "op6_chat_round_trip": OP6_SQL}
