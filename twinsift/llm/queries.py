@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import chat, packing, transport, warc
+from . import chat, jaccard, packing, transport, warc
 
 
 def op1_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +70,17 @@ FROM written GROUP BY conv_id
 """
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_ffd": op1_pack_ffd,
         "op2_transport_stream": op2_transport_stream,
         "op4_warc_zstd": op4_warc_zstd,
         "op6_chat_round_trip": op6_chat_round_trip,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
     }
 
 
