@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import chat, jaccard, packing, transport, warc
+from . import chat, decontaminate, jaccard, language, packing, quality, transport, warc
+from .sampling import crc_of_id
 
 
 def op1_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +75,36 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1
+    scored = quality.score(docs, quality.train(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2
+    model = language.train(docs, ~held_out)
+    found = language.identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_ffd": op1_pack_ffd,
         "op2_transport_stream": op2_transport_stream,
         "op4_warc_zstd": op4_warc_zstd,
+        "op5_bradley_terry": op5_bradley_terry,
         "op6_chat_round_trip": op6_chat_round_trip,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_string_tiling": op8_string_tiling,
+        "op10_language_bloom": op10_language_bloom,
     }
 
 

@@ -19,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: For words without punctuation: every ASCII byte that is no letter or digit.
+PUNCTUATION = np.array([byte < 128 and not chr(byte).isalnum() for byte in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -40,14 +42,14 @@ def _power_tables() -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _slab_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _slab_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, words of each text, starts, ends) for texts data[bounds[i]:bounds[i + 1]]."""
     count = len(bounds) - 1
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return np.zeros(0, dtype=np.uint64), np.zeros(count, dtype=np.int64), none, none
     up, down = _power_tables()
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[bounds] = True
     begins = solid.copy()
@@ -62,31 +64,31 @@ def _slab_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.diff(np.searchsorted(starts, bounds)), starts, ends
 
 
-def _long_text_words(data: np.ndarray) -> np.ndarray:
+def _long_text_words(data: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + SLAB_BYTES)
         if end < len(data):
-            spaces = np.flatnonzero(_SPACE[data[at:end]])
+            spaces = np.flatnonzero(breaks[data[at:end]])
             if not len(spaces):  # one word longer than a slab: its hash is made from those of its parts
                 stop = end
-                while stop < len(data) and not _SPACE[data[stop]]:
-                    ahead = np.flatnonzero(_SPACE[data[stop : stop + SLAB_BYTES]])
+                while stop < len(data) and not breaks[data[stop]]:
+                    ahead = np.flatnonzero(breaks[data[stop : stop + SLAB_BYTES]])
                     stop = stop + int(ahead[0]) if len(ahead) else min(len(data), stop + SLAB_BYTES)
                 value = np.zeros(1, dtype=np.uint64)
                 for piece in range(at, stop, SLAB_BYTES):
                     block = data[piece : min(stop, piece + SLAB_BYTES)]
-                    value = mix(value * STEP + _slab_words(block, np.array([0, len(block)]))[0])
+                    value = mix(value * STEP + _slab_words(block, np.array([0, len(block)]), breaks)[0])
                 parts.append(value)
                 at = stop
                 continue
             end = at + int(spaces[-1]) + 1
-        parts.append(_slab_words(data[at:end], np.array([0, end - at]))[0])
+        parts.append(_slab_words(data[at:end], np.array([0, end - at]), breaks)[0])
         at = end
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
-def slabs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slabs(texts: pa.Array, breaks: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, word hashes, words of each text) for runs of consecutive texts; null texts have no words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -104,10 +106,10 @@ def slabs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLAB_BYTES, side="right")) - 1)
         part = data[offsets[at] : offsets[end]]
         if len(part) > SLAB_BYTES:
-            words = _long_text_words(part)
+            words = _long_text_words(part, breaks)
             yield at, end, words, np.array([len(words)])
         else:
-            words, counts, _, _ = _slab_words(part, offsets[at : end + 1] - offsets[at])
+            words, counts, _, _ = _slab_words(part, offsets[at : end + 1] - offsets[at], breaks)
             yield at, end, words, counts
         at = end
 
