@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import chat, decontaminate, jaccard, language, packing, quality, transport, warc
+from . import chat, decontaminate, jaccard, language, licences, packing, quality, transport, warc
 from .sampling import crc_of_id
 
 
@@ -87,6 +87,10 @@ def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2
@@ -104,9 +108,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_round_trip": op6_chat_round_trip,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_string_tiling": op8_string_tiling,
+        "op9_licence_dice": op9_licence_dice,
         "op10_language_bloom": op10_language_bloom,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zstd": OP4_SQL, "op6_chat_round_trip": OP6_SQL}
+    return {"op4_warc_zstd": OP4_SQL, "op6_chat_round_trip": OP6_SQL, "op9_licence_dice": licences.sql()}
