@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import chat, decontaminate, jaccard, language, licences, packing, quality, transport, warc
+from . import chat, decontaminate, jaccard, language, licences, packing, pii, quality, transport, warc
 from .sampling import crc_of_id
 
 
@@ -23,6 +23,11 @@ def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op3_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pii.find_pii(docs, pii.fit(docs))
+
+
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     dictionary = warc.sample_dictionary(pages)
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_ffd": op1_pack_ffd,
         "op2_transport_stream": op2_transport_stream,
+        "op3_pii_lstm_crf": op3_pii_lstm_crf,
         "op4_warc_zstd": op4_warc_zstd,
         "op5_bradley_terry": op5_bradley_terry,
         "op6_chat_round_trip": op6_chat_round_trip,
