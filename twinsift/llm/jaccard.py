@@ -4,14 +4,17 @@
 2. Similar classes are partitioned into groups: classes that share one of a few minimum hashes are compared with one
    representative each, and groups are the connected components of the links found. Thousands of near copies thus cost a
    comparison or two each, and pairs within a group need no further work, since only connections are asked for.
-3. The matrix holds, for each token, the groups whose union of prefix tokens has it. By prefix filtering, two sets at or
-   above the threshold share at least `depth` tokens of their prefixes under any common order of tokens, so a group
-   without that overlap with a query's prefix can't hold a match. Frequent tokens come last in the order.
-4. Only groups that qualify are opened: their classes are paired token by token with the query's, pairs below the same
-   bound or outside the size bound are dropped, and the rest are compared exactly. Their links complete the components.
-
-Every link between different groups is found, whatever the grouping was; grouping and the order of tokens only decide how
-much work it takes. Postings travel as packed arrays, one row for each task and bucket of tokens.
+3. The matrix holds, for each key, the groups of which a class has it. Keys are pairs of tokens that are neighbours in a
+   set's hash order: each token in which two sets differ breaks at most two of them, so two sets at or above the
+   threshold share at least (2t - 1) n of the n - 1 keys of the larger one. By prefix filtering under any common order
+   of keys, they share one within the first 2 (1 - t) n keys of the larger and 3 (1 - t) / (1 + t) n of the smaller, so a
+   group without a key in common with a query's prefix can't hold a match. A passage that many texts share rarely makes
+   two neighbours in both of two texts, and keys of two tokens that a sample shows to be frequent come last in the order.
+4. Only groups that qualify are opened: their classes are paired key by key with the query's, pairs outside the size bound
+   are dropped, and the rest are compared exactly. Their links complete the components.
+
+Every link between different groups is found, whatever the grouping was; grouping and the order of keys only decide how
+much work it takes. What stays quadratic is a passage that fills most of many texts which aren't similar enough to link. Postings travel as packed arrays, one row for each task and bucket of tokens.
 
 Defined cases: texts without words (null ones too) have no shingles and link with nothing; with fewer words than the
 width the whole sequence is the one shingle; repeated rows are one class and each returned; a null id links others but
@@ -29,13 +32,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, ship
 from .graph import components
-from .shingles import mix, shingle_sets
+from .shingles import STEP, mix, shingle_sets
 
 WIDTH, THRESHOLD_PERCENT = 5, 75
 KEYS = 6
-SAMPLE_TEXTS, FREQUENT_TOKENS, FREQUENT_COUNT = 16_384, 1 << 18, 3
-BUCKET_POSTINGS, FLUSH_POSTINGS = 400_000, 1_000_000
-DEPTH_PERCENT = 6
+SAMPLE_TEXTS, FREQUENT_TOKENS, FREQUENT_COUNT = 16_384, 1 << 16, 3
+BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 1_000_000
 FILTER_BITS = 23
 NO_ID = (1 << 63) - 1  # stands for a null id: the last to name a component
 
@@ -112,11 +114,15 @@ def _sets_of(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "cid long, tokens binary")
 
 
-def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of class ids whose Jaccard similarity reaches the threshold, by their whole sets."""
+def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(cid, tokens) of the classes that occur in pairs (u, v), and of a few others."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid").select("rep")
     wanted = _id_filter(materialize(needed, "needed"))
-    sets = materialize(_sets_of(docs, width, wanted).dropDuplicates(["cid"]), "sets", codec="none")
+    return materialize(_sets_of(docs, width, wanted).dropDuplicates(["cid"]), "sets", codec="none")
+
+
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) of class ids whose Jaccard similarity reaches the threshold, by their whole sets."""
     left = pairs.join(sets.select(F.col("cid").alias("u"), F.col("tokens").alias("x")), "u")
     both = left.join(sets.select(F.col("cid").alias("v"), F.col("tokens").alias("y")), "v").select("u", "v", "x", "y")
 
@@ -136,17 +142,16 @@ def _size_bound(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _similar_groups(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Exact links between classes and the representatives that they share a minimum hash with."""
+def _named_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes and the representative of those that share a minimum hash with them."""
     keyed = classes.select("cid", "n", F.posexplode("keys").alias("i", "key"))
     named = keyed.groupBy("i", "key").agg(F.min(F.struct("cid", "n")).alias("named"), F.count(F.lit(1)).alias("members")).where("members > 1")
     pairs = keyed.join(named, ["i", "key"]).where((F.col("cid") != F.col("named.cid")) & _size_bound("n", "named.n", percent))
-    pairs = materialize(pairs.select(F.col("cid").alias("u"), F.col("named.cid").alias("v")).distinct(), "near-pairs")
-    return materialize(compare(docs, classes, pairs, width, percent), "near-links")
+    return materialize(pairs.select(F.col("cid").alias("u"), F.col("named.cid").alias("v")).distinct(), "near-pairs")
 
 
-def _frequent_tokens(docs: DataFrame, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many texts share, sorted, and their counts in a sample of about SAMPLE_TEXTS texts.
+def _frequent_tokens(docs: DataFrame, count: int, width: int) -> np.ndarray:
+    """Tokens that many texts share, sorted, by their counts in a sample of about SAMPLE_TEXTS texts.
 
     A bounded estimate is enough: it only moves tokens in the common order, which decides the work and not the result.
     """
@@ -170,129 +175,135 @@ def _frequent_tokens(docs: DataFrame, count: int, width: int) -> tuple[np.ndarra
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
     rows = sample.mapInArrow(gather, "bucket long, tokens binary").groupBy("bucket").applyInPandas(tally, "token long, texts long")
     top = rows.orderBy(F.desc("texts"), "token").limit(FREQUENT_TOKENS).toPandas()
-    tokens, texts = top["token"].to_numpy(np.int64).view(np.uint64), top["texts"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], texts[order]
-
+    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
 
-def prefix_lengths(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(depth, probe prefix, index prefix) for sets of these sizes.
 
-    A partner of a set of n shares at least ceil(n t) tokens with it, and at least ceil(2 n t / (1 + t)) if it is no
-    smaller; any `depth` of the common tokens that come first lie within the prefixes.
-    """
-    need = -(-sizes * percent // 100)
-    need_larger = -(-2 * sizes * percent // (100 + percent))
-    depth = np.minimum(1 + sizes * DEPTH_PERCENT // 100, need)
-    return depth, np.minimum(sizes, sizes - need + depth), np.minimum(sizes, sizes - need_larger + depth)
+def prefix_lengths(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in the probe prefix, keys in the index prefix) of sets of these sizes."""
+    probe = 2 * sizes * (100 - percent) // 100 + 1
+    index = 3 * sizes * (100 - percent) // (100 + percent) + 1
+    return np.minimum(probe, sizes - 1), np.minimum(index, sizes - 1)
 
 
-def _prefixes(tokens: np.ndarray, sizes: np.ndarray, percent: int, frequent: np.ndarray, texts: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, owner among the non-empty sets, is in the index prefix) of each set's probe prefix."""
-    sizes = sizes[sizes > 0]
+def neighbour_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, owner, is in the index prefix) of the probe prefixes of sets whose sorted tokens follow one another."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    often = np.zeros(len(tokens), dtype=np.int64)
-    if len(frequent) and len(tokens):
-        check = np.flatnonzero(maybe[(tokens >> np.uint64(40)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(frequent, tokens[check]), len(frequent) - 1)
-        often[check] = np.where(frequent[at] == tokens[check], texts[at], 0)
-    rank = np.arange(len(tokens)) - np.repeat(_starts(sizes), sizes)
-    mixed = np.add.reduceat(often, _starts(sizes)) > 0 if len(sizes) else np.zeros(0, dtype=bool)
-    if mixed.any():  # the others are in hash order already
-        at = _starts(sizes)
-        for text in np.flatnonzero(mixed):
-            a, b = at[text], at[text] + sizes[text]
-            rank[a:b][np.argsort(often[a:b], kind="stable")] = np.arange(b - a)
-    _, probe, index = prefix_lengths(sizes, percent)
+    inner = np.flatnonzero(owner[1:] == owner[:-1])
+    keys, owner = mix(tokens[inner] * STEP + tokens[inner + 1]), owner[inner]
+    late = np.zeros(len(keys), dtype=bool)
+    if len(frequent) and len(keys):
+        often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+        late = often[inner] & often[inner + 1]
+    keys = (keys & np.uint64((1 << 63) - 1)) | late.astype(np.uint64) << np.uint64(63)
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    counts = np.bincount(owner, minlength=len(sizes))
+    rank = np.arange(len(keys)) - np.repeat(_starts(counts), counts)
+    probe, index = prefix_lengths(sizes, percent)
     keep = rank < probe[owner]
-    return tokens[keep], owner[keep], rank[keep] < index[owner[keep]]
+    return keys[keep], owner[keep], rank[keep] < index[owner[keep]]
+
 
+class _Packer:
+    """Collects postings and yields them as a row of packed arrays for each bucket."""
 
-def _postings(docs: DataFrame, buckets: int, width: int, percent: int, frequent: np.ndarray, texts: np.ndarray) -> DataFrame:
-    """(token, cid, is_index) for prefix tokens that more than one class has."""
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
 
-    def emit(batches):
-        maybe = np.zeros(1 << 24, dtype=bool)
-        maybe[(frequent >> np.uint64(40)).astype(np.int64)] = True
-        seen: set[int] = set()
-        held, size = [], 0
+    def add(self, keys: np.ndarray, index: np.ndarray, cids: np.ndarray, groups: np.ndarray | None = None):
+        self.held.append((keys, index, cids, cids[:0] if groups is None else groups))
+        self.size += len(keys)
+        if self.size >= FLUSH_POSTINGS:
+            yield from self.flush()
 
-        def flush():
-            tokens, cids, index = (np.concatenate(part) for part in zip(*held, strict=True))
-            at = ((tokens >> np.uint64(39)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            edges = np.searchsorted(at[order], np.arange(buckets + 1))
-            keys = ((tokens & np.uint64((1 << 39) - 1)) << np.uint64(1) | index.astype(np.uint64))[order]
-            packed = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            cids = cids[order]
-            full = [i for i in range(buckets) if edges[i] < edges[i + 1]]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "tokens": [packed[edges[i] : edges[i + 1]].tobytes() for i in full], "cids": [cids[edges[i] : edges[i + 1]].tobytes() for i in full]})
+    def flush(self):
+        if not self.size:
+            return
+        keys, index, cids, groups = (np.concatenate(part) for part in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        at = ((keys >> np.uint64(39)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(self.buckets + 1))
+        short = ((keys & np.uint64((1 << 39) - 1)) << np.uint64(1) | index.astype(np.uint64))[order]
+        packed = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        cids, groups = cids[order], groups[order] if len(groups) else None
+        full = [i for i in range(self.buckets) if edges[i] < edges[i + 1]]
+        cut = lambda values: [values[edges[i] : edges[i + 1]].tobytes() for i in full]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "keys": cut(packed), "cids": cut(cids), "groups": pa.array([None] * len(full) if groups is None else cut(groups), pa.binary())})
 
+
+_PACKED = "bucket long, keys binary, cids binary, groups binary"
+
+
+def _shared_keys(docs: DataFrame, grouped_sets: DataFrame, buckets: int, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(key, group, cid, is_index) for prefix keys that classes of more than one group have.
+
+    Every class emits its keys as a group of its own; those of larger groups (cid, tokens, group) emit them again with
+    the group's name, which counts.
+    """
+
+    def alone(batches):
+        packer, seen = _Packer(buckets), set()
         for batch in batches:
             for _, _, tokens, sizes in shingle_sets(batch.column(1), width):
-                if not len(tokens):
-                    continue
-                digests = _digests(tokens, sizes)
-                fresh = np.array([not (d in seen or seen.add(d)) for d in digests.tolist()])
+                digests, sizes = _digests(tokens, sizes), sizes[sizes > 0]
+                fresh = np.array([not (d in seen or seen.add(d)) for d in digests.tolist()], dtype=bool)
                 if len(seen) > 200_000:
                     seen.clear()
-                if not fresh.all():
-                    full = sizes[sizes > 0]
-                    tokens, sizes, digests = tokens[np.repeat(fresh, full)], full[fresh], digests[fresh]
-                    if not len(tokens):
-                        continue
-                found, owner, index = _prefixes(tokens, sizes, percent, frequent, texts, maybe)
-                held.append((found, digests[owner], index))
-                size += len(found)
-                if size >= FLUSH_POSTINGS:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
+                tokens, sizes, digests = tokens[np.repeat(fresh, sizes)], sizes[fresh], digests[fresh]
+                keys, owner, index = neighbour_keys(tokens, sizes, percent, frequent)
+                yield from packer.add(keys, index, digests[owner])
+        yield from packer.flush()
+
+    def together(batches):
+        packer = _Packer(buckets)
+        for batch in batches:
+            for cid, tokens, group in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                own = np.frombuffer(tokens.as_buffer(), dtype=np.uint64)
+                keys, _, index = neighbour_keys(own, np.array([len(own)]), percent, frequent)
+                yield from packer.add(keys, index, np.full(len(keys), cid, dtype=np.int64), np.full(len(keys), group, dtype=np.int64))
+        yield from packer.flush()
 
     def runs(frame: pd.DataFrame) -> pd.DataFrame:
-        packed = np.frombuffer(b"".join(frame["tokens"]), dtype=np.uint8).reshape(-1, 5)
+        packed = np.frombuffer(b"".join(frame["keys"]), dtype=np.uint8).reshape(-1, 5)
         keys = np.zeros((len(packed), 8), dtype=np.uint8)
         keys[:, :5] = packed
         keys = keys.reshape(-1).view("<u8")
+        index, keys = (keys & np.uint64(1)).astype(bool), (keys >> np.uint64(1)).astype(np.int64)
         cids = np.frombuffer(b"".join(frame["cids"]), dtype=np.int64)
-        order = np.lexsort((cids, keys >> np.uint64(1)))
-        keys, cids = keys[order], cids[order]
-        tokens = (keys >> np.uint64(1)).astype(np.int64)
-        fresh = np.ones(len(tokens), dtype=bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (cids[1:] != cids[:-1])
-        tokens, cids, index = tokens[fresh], cids[fresh], (keys[fresh] & np.uint64(1)).astype(bool)
-        same = tokens[1:] == tokens[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(tokens) else np.zeros(0, dtype=bool)
-        return pd.DataFrame({"token": tokens[shared] + (int(frame["bucket"].iloc[0]) << 39), "cid": cids[shared], "is_index": index[shared]})
-
-    dealt = docs.mapInArrow(emit, "bucket long, tokens binary, cids binary")
-    return dealt.groupBy("bucket").applyInPandas(runs, "token long, cid long, is_index boolean")
-
-
-def _open_groups(docs: DataFrame, classes: DataFrame, grouped: DataFrame, total: int, width: int, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) of classes of different groups that reach the bounds."""
-    count = classes.count()
-    frequent, texts = _frequent_tokens(docs, count, width)
-    buckets = max(8, -(-total * (100 - percent + DEPTH_PERCENT) // 100 // BUCKET_POSTINGS))
-    nodes = classes.select("cid", "n").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", F.coalesce("root", "cid").alias("group"))
-    need = F.ceil(F.col("n") * percent / 100)
-    nodes = nodes.withColumn("depth", F.least(1 + F.floor(F.col("n") * DEPTH_PERCENT / 100), need))
-    rows = _postings(docs, buckets, width, percent, frequent, texts).join(nodes, "cid")
-    across = rows.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    rows = materialize(rows.join(across, "token", "left_semi"), "matrix")
-    # The matrix by its columns: the groups of each token, and the overlaps of pairs of groups.
-    matrix = rows.groupBy("token", "group").agg(F.max("is_index").alias("is_index"), F.min("depth").alias("depth"))
-    side = lambda name: matrix.select("token", F.col("group").alias(f"g{name}"), F.col("is_index").alias(f"i{name}"), F.col("depth").alias(f"d{name}"))
-    overlaps = side(1).join(side(2), "token").where("g1 < g2 and (i1 or i2)")
-    qualified = overlaps.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("hits"), F.min("d1").alias("d1"), F.min("d2").alias("d2")).where("hits >= least(d1, d2)")
-    qualified = materialize(qualified.select("g1", "g2"), "qualified")
+        own = frame["groups"].isna()
+        named = np.repeat(~own.to_numpy(), [len(c) // 8 for c in frame["cids"]])
+        groups = np.frombuffer(b"".join(c if alone else g for c, g, alone in zip(frame["cids"], frame["groups"], own, strict=True)), dtype=np.int64)
+        order = np.lexsort((~named, cids, keys))
+        keys, cids, groups, index = keys[order], cids[order], groups[order], index[order]
+        first = np.ones(len(keys), dtype=bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])
+        keys, cids, groups, index = keys[first], cids[first], groups[first], index[first]
+        number = np.cumsum(np.concatenate(([True], keys[1:] != keys[:-1]))) - 1 if len(keys) else keys
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else keys
+        across = (np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts))[number] if len(keys) else first
+        return pd.DataFrame({"key": keys[across] + (int(frame["bucket"].iloc[0]) << 39), "group": groups[across], "cid": cids[across], "is_index": index[across]})
+
+    dealt = docs.mapInArrow(alone, _PACKED).unionByName(grouped_sets.mapInArrow(together, _PACKED))
+    return dealt.groupBy("bucket").applyInPandas(runs, "key long, group long, cid long, is_index boolean")
+
+
+def _open_groups(docs: DataFrame, classes: DataFrame, grouped_sets: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+    """Candidate pairs (u, v) of classes of different groups that have a prefix key in common and near sizes."""
+    frequent = _frequent_tokens(docs, classes.count(), width)
+    buckets = max(8, -(-2 * total * (100 - percent) // 100 // BUCKET_POSTINGS))
+    shared = _shared_keys(docs, grouped_sets, buckets, width, percent, frequent)
+    rows = materialize(shared.join(classes.select("cid", "n"), "cid"), "matrix")
+    # The matrix by its columns: the groups of each key; which pairs of groups overlap.
+    matrix = rows.groupBy("key", "group").agg(F.max("is_index").alias("is_index"), F.min("n").alias("low"), F.max("n").alias("high"))
+    side = lambda name: matrix.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "is_index", "low", "high")))
+    overlaps = side(1).join(side(2), "key").where(f"group1 < group2 and (is_index1 or is_index2) and high1 * 100 >= low2 * {percent} and high2 * 100 >= low1 * {percent}")
+    qualified = materialize(overlaps.select("group1", "group2").distinct(), "qualified")
     # Open them.
-    side = lambda name: rows.select("token", F.col("group").alias(f"g{name}"), *(F.col(c).alias(f"{c}{name}") for c in ("cid", "n", "depth", "is_index"))).join(qualified, f"g{name}")
-    opened = side(1).join(side(2), ["token", "g1", "g2"])
+    side = lambda name: rows.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "cid", "n", "is_index"))).join(qualified, f"group{name}")
+    opened = side(1).join(side(2), ["key", "group1", "group2"])
     opened = opened.where(_size_bound("n1", "n2", percent) & ((F.col("is_index1") & (F.col("n1") <= F.col("n2"))) | (F.col("is_index2") & (F.col("n2") <= F.col("n1")))))
-    hits = opened.groupBy("cid1", "cid2").agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("depth1", "depth2")).alias("depth")).where("hits >= depth")
-    return materialize(hits.select(F.col("cid1").alias("u"), F.col("cid2").alias("v")), "candidates")
+    return materialize(opened.select(F.col("cid1").alias("u"), F.col("cid2").alias("v")).distinct(), "candidates")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -302,10 +313,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = rows.where("n_shingles > 0")
     classes = materialize(sets.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    links = _similar_groups(docs, classes, width, percent)
-    grouped = materialize(components(links), "groups")
-    candidates = _open_groups(docs, classes, grouped, total, width, percent)
-    more = materialize(compare(docs, classes, candidates, width, percent), "links")
+    pairs = _named_pairs(classes, percent)
+    near_sets = fetch_sets(docs, classes, pairs, width)
+    grouped = materialize(components(materialize(compare(pairs, near_sets, percent), "near-links")), "groups")
+    grouped_sets = near_sets.join(grouped.select(F.col("node").alias("cid"), F.col("root").alias("group")), "cid").select("cid", "tokens", "group")
+    candidates = _open_groups(docs, classes, grouped_sets, total, width, percent)
+    more = materialize(compare(candidates, fetch_sets(docs, classes, candidates, width), percent), "links")
     if more.limit(1).count():
         merged = components(grouped.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
         grouped = materialize(merged, "groups")
