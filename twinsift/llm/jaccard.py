@@ -2,8 +2,10 @@
 
 1. Texts with equal shingle sets become one class, known by a 64-bit digest of the set.
 2. Similar classes are partitioned into groups: classes that share one of a few minimum hashes are compared with one
-   representative each, and groups are the connected components of the links found. Thousands of near copies thus cost a
-   comparison or two each, and pairs within a group need no further work, since only connections are asked for.
+   representative each; groups are the connected components at a low similarity, and cores within them those at the
+   threshold. Thousands of near copies thus cost a comparison or two each. Within a group, every class outside its
+   largest core is compared with all classes of other cores, in blocks of bounded size; pairs within a core need no
+   further work, since only connections are asked for.
 3. The matrix holds, for each key, the groups of which a class has it. Keys are pairs of tokens that are neighbours in a
    set's hash order: each token in which two sets differ breaks at most two of them, so two sets at or above the
    threshold share at least (2t - 1) n of the n - 1 keys of the larger one. By prefix filtering under any common order
@@ -38,6 +40,7 @@ WIDTH, THRESHOLD_PERCENT = 5, 75
 KEYS = 6
 SAMPLE_TEXTS, FREQUENT_TOKENS, FREQUENT_COUNT = 16_384, 1 << 16, 3
 BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 1_000_000
+GROUP_PERCENT, QUERY_BLOCK, MEMBER_BLOCK = 35, 512, 2048
 FILTER_BITS = 23
 NO_ID = (1 << 63) - 1  # stands for a null id: the last to name a component
 
@@ -121,32 +124,73 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int
     return materialize(_sets_of(docs, width, wanted).dropDuplicates(["cid"]), "sets", codec="none")
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of class ids whose Jaccard similarity reaches the threshold, by their whole sets."""
+def compare(pairs: DataFrame, sets: DataFrame, percent: int, low: int | None = None) -> DataFrame:
+    """Those of the pairs (u, v) of class ids with a Jaccard similarity of low percent or more, and if it reaches percent."""
     left = pairs.join(sets.select(F.col("cid").alias("u"), F.col("tokens").alias("x")), "u")
     both = left.join(sets.select(F.col("cid").alias("v"), F.col("tokens").alias("y")), "v").select("u", "v", "x", "y")
+    least = percent if low is None else low
 
     def run(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            keep, linked = np.zeros(batch.num_rows, dtype=bool), np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 a, b = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
-                keep[i] = 100 * common >= percent * (len(a) + len(b) - common)
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
-
-    return both.mapInArrow(run, "u long, v long")
+                keep[i] = 100 * common >= least * (len(a) + len(b) - common)
+                linked[i] = 100 * common >= percent * (len(a) + len(b) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["u", "v", "linked"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "u long, v long, linked boolean")
+
+
+def block_links(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of classes (cid, core, tokens) of different cores, one from each list, by an index of the members' tokens."""
+    sizes = np.array([len(tokens) for _, _, tokens in members])
+    tokens = np.concatenate([tokens for _, _, tokens in members])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(members)), sizes)[order]
+    cids, cores = np.array([cid for cid, _, _ in members]), np.array([core for _, core, _ in members])
+    out = []
+    for cid, core, own in queries:
+        low = np.searchsorted(tokens, own, side="left")
+        count = np.searchsorted(tokens, own, side="right") - low
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(owner[at], minlength=len(members))
+        hit = (100 * common >= percent * (len(own) + sizes - common)) & (cores != core)
+        out += [(cid, int(other)) for other in cids[hit]]
+    return out
+
+
+def _links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different cores of the same group; members has (cid, group, core)."""
+    cores = members.groupBy("group", "core").agg(F.count(F.lit(1)).alias("size"))
+    groups = cores.groupBy("group").agg(F.max_by("core", F.struct("size", "core")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most")).where(F.col("all") > F.col("most"))
+    groups = groups.select("group", "largest", F.ceil((F.col("all") - F.col("most")) / QUERY_BLOCK).alias("query_blocks"), F.ceil(F.col("all") / MEMBER_BLOCK).alias("member_blocks"))
+    rows = members.join(groups, "group").join(sets, "cid")
+    mixed = lambda name: F.pmod(F.xxhash64("cid"), F.col(name))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    queries = rows.where("core <> largest").select("group", mixed("query_blocks").alias("q"), every("member_blocks").alias("m"), F.lit(True).alias("is_query"), "cid", "core", "tokens")
+    others = rows.select("group", every("query_blocks").alias("q"), mixed("member_blocks").alias("m"), F.lit(False).alias("is_query"), "cid", "core", "tokens")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        parts: tuple[list, list] = ([], [])
+        for is_query, cid, core, tokens in zip(frame["is_query"], frame["cid"], frame["core"], frame["tokens"], strict=True):
+            parts[int(is_query)].append((cid, core, np.frombuffer(tokens, dtype=np.uint64)))
+        found = block_links(parts[1], parts[0], percent) if parts[0] and parts[1] else []
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return queries.unionByName(others).groupBy("group", "q", "m").applyInPandas(run, "u long, v long")
 
 
 def _size_bound(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _named_pairs(classes: DataFrame, percent: int) -> DataFrame:
+def _named_pairs(classes: DataFrame, low: int) -> DataFrame:
     """Pairs (u, v) of classes and the representative of those that share a minimum hash with them."""
     keyed = classes.select("cid", "n", F.posexplode("keys").alias("i", "key"))
     named = keyed.groupBy("i", "key").agg(F.min(F.struct("cid", "n")).alias("named"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = keyed.join(named, ["i", "key"]).where((F.col("cid") != F.col("named.cid")) & _size_bound("n", "named.n", percent))
+    pairs = keyed.join(named, ["i", "key"]).where((F.col("cid") != F.col("named.cid")) & _size_bound("n", "named.n", low))
     return materialize(pairs.select(F.col("cid").alias("u"), F.col("named.cid").alias("v")).distinct(), "near-pairs")
 
 
@@ -313,15 +357,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = rows.where("n_shingles > 0")
     classes = materialize(sets.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    pairs = _named_pairs(classes, percent)
+    pairs = _named_pairs(classes, GROUP_PERCENT)
     near_sets = fetch_sets(docs, classes, pairs, width)
-    grouped = materialize(components(materialize(compare(pairs, near_sets, percent), "near-links")), "groups")
-    grouped_sets = near_sets.join(grouped.select(F.col("node").alias("cid"), F.col("root").alias("group")), "cid").select("cid", "tokens", "group")
+    near = materialize(compare(pairs, near_sets, percent, GROUP_PERCENT), "near-links")
+    cores = components(near.where("linked").select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("core"))
+    groups = components(near.select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("group"))
+    members = materialize(groups.join(cores, "cid", "left").select("cid", "group", F.coalesce("core", "cid").alias("core")), "groups")
+    within = materialize(_links_within(members, near_sets, percent), "links")
+    grouped_sets = near_sets.join(members.select("cid", "group"), "cid").select("cid", "tokens", "group")
     candidates = _open_groups(docs, classes, grouped_sets, total, width, percent)
-    more = materialize(compare(candidates, fetch_sets(docs, classes, candidates, width), percent), "links")
-    if more.limit(1).count():
-        merged = components(grouped.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-        grouped = materialize(merged, "groups")
+    across = materialize(compare(candidates, fetch_sets(docs, classes, candidates, width), percent).select("u", "v"), "links")
+    links = near.where("linked").select("u", "v").unionByName(within).unionByName(across)
+    grouped = materialize(components(links), "components")
     named = classes.select("cid", "rep").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     labels = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(labels, "root").select("cid", "component_id")
