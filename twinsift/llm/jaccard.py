@@ -342,9 +342,9 @@ def _open_groups(docs: DataFrame, classes: DataFrame, grouped_sets: DataFrame, t
     matrix = rows.groupBy("key", "group").agg(F.max("is_index").alias("is_index"), F.min("n").alias("low"), F.max("n").alias("high"))
     side = lambda name: matrix.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "is_index", "low", "high")))
     overlaps = side(1).join(side(2), "key").where(f"group1 < group2 and (is_index1 or is_index2) and high1 * 100 >= low2 * {percent} and high2 * 100 >= low1 * {percent}")
-    qualified = materialize(overlaps.select("group1", "group2").distinct(), "qualified")
+    qualified = materialize(overlaps.select("key", "group1", "group2"), "qualified")
     # Open them.
-    side = lambda name: rows.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "cid", "n", "is_index"))).join(qualified, f"group{name}")
+    side = lambda name: rows.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "cid", "n", "is_index"))).join(qualified, ["key", f"group{name}"])
     opened = side(1).join(side(2), ["key", "group1", "group2"])
     opened = opened.where(_size_bound("n1", "n2", percent) & ((F.col("is_index1") & (F.col("n1") <= F.col("n2"))) | (F.col("is_index2") & (F.col("n2") <= F.col("n1")))))
     return materialize(opened.select(F.col("cid1").alias("u"), F.col("cid2").alias("v")).distinct(), "candidates")
