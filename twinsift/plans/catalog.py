@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import embedding
+from ..chunker import parse_files
 from ..functions import scalars
 from ..operators import cache, changes, exclusions, knn, ranking, status
 from ..sources.globs import GlobSet
@@ -459,6 +461,26 @@ SELECT count(*) AS chunks, count(embedding) AS embedded, count(*) - count(embedd
        (SELECT count(*) FROM labels) AS labels, (SELECT CAST(coalesce(sum(toxic), 0) AS BIGINT) FROM labels) AS toxic FROM docs LEFT JOIN embeddings ON vec_id = id
 """
 
+SOURCES = [
+    ("a.ts", "export const load = async (id: string): Promise<Row> => {\n  const row = await db.find(id);\n  return row;\n};\n"),
+    ("b.jsx", "export default function App({ a }) {\n  return (\n    <p>{a}</p>\n  );\n}\n"),
+    ("c.rs", "impl S {\n    fn load(&self, path: &str) -> u8 {\n        self.read(path)\n    }\n}\n"),
+    ("d.py", "def greet(name: str) -> str:\n    text = hello(name)\n    return text\n"),
+    ("e.go", "package main"),
+]
+
+
+def chunk_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of every language; no SQL form."""
+    return parse_files(spark.createDataFrame(SOURCES, "file_path string, source string"))
+
+
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all distinct contents by the local embedder; no SQL form."""
+    texts = documents(spark, sf_dir).groupBy("content_hash").agg(F.min("text").alias("source_text"))
+    return embedding.embed_texts(texts, embedding.HashingEmbedder())
+
+
 CATALOG: dict[str, tuple[Query, str | None]] = {
     "scan_pairs": (scan_pairs, scan_sql()),
     "scan_top": (scan_top, scan_sql(tail=f"ORDER BY distance, a_id, b_id LIMIT {ranking.SCAN_TOP}")),
@@ -497,4 +519,6 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "cache_prune_summary": (cache_prune_summary, f"WITH {CACHE_SQL}, m AS (SELECT content_hash IN {_USED} AS used FROM cache) SELECT count(*) AS entries_before, count(*) FILTER (NOT used) AS entries_removed, count(*) FILTER (used) AS entries_kept FROM m"),
     "exact_duplicates": (exact_duplicates, f"WITH {DOCUMENTS_SQL} SELECT content_hash, count(*) AS copies, min(id) AS first_id FROM docs GROUP BY content_hash HAVING count(*) > 1"),
     "index_status": (index_status, STATUS_SQL),
+    "chunk_functions": (chunk_functions, None),
+    "embed_documents": (embed_documents, None),
 }
