@@ -375,3 +375,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_sets = sets.select("doc_id", "n_shingles", "cid").join(of_class, "cid").select("doc_id", "n_shingles", "component_id")
     result = with_sets.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return result.select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "n_shingles", F.expr(f"nullif(component_id, {NO_ID})").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, whose id names its component in `found` (of near_duplicates), each id once.
+
+    Ids that go or are repeated are few, so a bitmap of fixed size tells the other rows, which stay without a shuffle;
+    what hits it is decided by a join. Rows without an id all stay.
+    """
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    named = found.where("doc_id = component_id").select("doc_id").distinct()
+    marked = materialize(found.where("doc_id <> component_id").select("doc_id").union(repeated).where("doc_id is not null"), "marked")
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(marked)))
+    place = docs.columns.index(id_col)
+
+    def rows(hit: bool):
+        def run(batches):
+            wanted = np.unpackbits(bits.value).astype(bool)
+            for batch in batches:
+                ids = batch.column(place).cast(pa.int64())
+                one, two = _filter_bits(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array((wanted[one] & wanted[two] & ids.is_valid().to_numpy(zero_copy_only=False)) == hit))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    doubtful = rows(True).join(named.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
+    return rows(False).unionByName(doubtful.select(*docs.columns))

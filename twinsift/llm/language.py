@@ -173,8 +173,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame, model: Filter, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """docs with two more columns, the language and its score."""
+    """docs with two more columns, the language and its score; older columns of these names are replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop(lang_name, score_name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

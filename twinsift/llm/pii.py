@@ -78,7 +78,8 @@ def is_phone(text: str) -> bool:
 
 
 def is_ip(text: str) -> bool:
-    return all(len(part) < 20 and int(part) <= 255 for part in text.split("."))
+    parts = [part.lstrip("0") for part in text.split(".")]
+    return all(len(part) < 4 and int(part or 0) <= 255 for part in parts)
 
 
 def rule_spans(text: str) -> list[Span]:
