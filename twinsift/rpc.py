@@ -11,7 +11,7 @@ from typing import Any, TextIO
 
 from pyspark.sql import SparkSession
 
-from . import __version__, commands, embedding, search
+from . import __version__, commands, embedding, render, search
 from .index import Index
 from .operators import ranking
 
@@ -109,7 +109,10 @@ class Server:
         return search.scan(self.index(), threshold, top_n)
 
     def tool_status(self) -> dict:
-        return self.index().status() | {"indexing": dict(self.runs.state)}
+        state = dict(self.runs.state)
+        if state["state"] == "running" and state["embedded"]:
+            state["remaining"] = render.duration((time.time() - state["started"]) / state["embedded"] * max(0, state["left"] - state["embedded"]))
+        return self.index().status() | {"indexing": state}
 
     def tool_add_exclusion(self, file_a: str, function_a: str, file_b: str, function_b: str, reason: str = "") -> dict:
         return commands.exclude_pair(self.index(), (file_a, function_a), (file_b, function_b), reason)

@@ -6,17 +6,28 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _scratch: list[tuple[SparkSession, str]] = []
+_temporary: ContextVar[list | None] = ContextVar("temporary", default=None)
+
+
+#: Bytes of an Arrow batch where the session sets none; long texts must not fill a worker's memory.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the executors' Python workers (once for each application)."""
+    """Make this package importable by the executors' Python workers (once for each application), and bound batches."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -49,14 +60,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Within `temporaries()` the table goes when that ends, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
+    passing = _temporary.get()
+    if passing is not None and not keep:
+        passing.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporaries() -> Iterator[None]:
+    """Tables that are materialized inside, and not kept, are deleted at the end."""
+    token = _temporary.set([])
+    try:
+        yield
+    finally:
+        for spark, path in _temporary.get():
+            drop_path(spark, path)
+        _temporary.reset(token)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
