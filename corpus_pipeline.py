@@ -14,7 +14,7 @@ from twinsift.session import materialize
 
 
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those with no known n-gram; learns from the stage's own labelled rows."""
+    """Drops documents without a letter and those in no learned language; learns from the stage's own labelled rows."""
     return language.only_identified(docs, language.train(docs, F.lit(True)))
 
 

@@ -63,8 +63,9 @@ def test_training_and_filter_over_tables(spark, documents):
     model = language.train(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 4 != 2)
     rows = language.identify(docs, model).collect()
     assert len(rows) == docs.count() and all(r["lang_pred"] == r["lang"] for r in rows if r["doc_id"] is not None)
+    docs = docs.unionByName(documents(["qxq wxw zxz jxj kxk vxv yxy uxu " * 5, "zq"], [500, 501], None).select(*docs.columns))
     kept = language.only_identified(docs, model)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == set(range(90))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == {*range(90), 501}
     assert language.identify(docs.limit(0), model).count() == 0
     assert language.train(docs.limit(0), F.lit(True)).languages == []
 

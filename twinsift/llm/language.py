@@ -31,6 +31,7 @@ UNDETERMINED = "und"
 WIDTH, SLOTS, HASHES = 4, 1 << 18, 2
 SAMPLE_TEXTS, GRAMS_PER_LANGUAGE, MAX_RATIO = 4000, 6000, 2.0
 MAX_LANGUAGES = 64
+LEAST_SHARE, ENOUGH_GRAMS = 0.05, 32
 SLAB_BYTES = 1 << 20
 _HASHES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
@@ -99,17 +100,20 @@ class Filter:
                 total[first:end, bit] += np.bincount(who[(masks >> masks.dtype.type(bit)) & masks.dtype.type(1) > 0], minlength=end - first)
         return np.maximum(0.0, (total - seen[:, None] * self.rates) / (1 - self.rates)), seen
 
+    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, share of the n-grams that the language holds, n-grams) of each text."""
+        names, total = np.array(self.languages, dtype=object), len(texts)
+        counts, seen = self.counts(texts)
+        best = counts.argmax(axis=1) if len(names) else np.zeros(total, dtype=np.int64)
+        top = np.sort(counts, axis=1)[:, ::-1] if len(names) else np.zeros((total, 1))
+        first, second = top[:, 0], top[:, 1] if top.shape[1] > 1 else np.zeros(total)
+        score = np.divide(first, first + second, out=np.zeros(total), where=first > 0)
+        chosen = np.where(first > 0, names[best], self.default) if len(names) else np.full(total, UNDETERMINED, dtype=object)
+        lettered = pc.match_substring_regex(texts.cast(pa.large_string()).fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
+        return np.where(lettered, chosen, UNDETERMINED).tolist(), np.where(lettered, score, 0.0), first / np.maximum(1, seen), seen
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        names = np.array(self.languages, dtype=object)
-        counts, _ = self.counts(texts)
-        best = counts.argmax(axis=1) if len(names) else np.zeros(len(texts), dtype=np.int64)
-        top = np.sort(counts, axis=1)[:, ::-1] if len(names) else np.zeros((len(texts), 1))
-        first, second = top[:, 0], top[:, 1] if top.shape[1] > 1 else np.zeros(len(texts))
-        score = np.divide(first, first + second, out=np.zeros(len(texts)), where=first > 0)
-        chosen = np.where(first > 0, names[best], self.default) if len(names) else np.full(len(texts), UNDETERMINED, dtype=object)
-        texts = texts.cast(pa.large_string()).fill_null("")
-        lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-        return np.where(lettered, chosen, UNDETERMINED).tolist(), np.where(lettered, score, 0.0)
+        return self.judge(texts)[:2]
 
 
 def _slots_of(grams: np.ndarray) -> list[np.ndarray]:
@@ -188,15 +192,19 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text", lang_name:
     return docs.mapInArrow(run, schema)
 
 
-def only_identified(docs: DataFrame, model: Filter, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose language is determined with at least this score."""
+def only_identified(docs: DataFrame, model: Filter, text_col: str = "text", least_share: float = LEAST_SHARE, enough: int = ENOUGH_GRAMS) -> DataFrame:
+    """The rows of docs, all columns, without those whose text has no letter or is in no learned language.
+
+    A text is in none if it has `enough` n-grams and the best language holds less than least_share of them; too short a
+    text to tell stays.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(place))
-            yield batch.filter(pa.array((np.array(names, dtype=object) != UNDETERMINED) & (scores >= least_score)))
+            names, _, share, seen = shared.value.judge(batch.column(place))
+            yield batch.filter(pa.array((np.array(names, dtype=object) != UNDETERMINED) & ((share >= least_share) | (seen < enough))))
 
     return docs.mapInArrow(run, docs.schema)
