@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship
+from ..session import materialize, ship, temporaries
 from .graph import components
 from .shingles import STEP, mix, shingle_sets
 
@@ -40,7 +40,7 @@ WIDTH, THRESHOLD_PERCENT = 5, 75
 KEYS = 6
 SAMPLE_TEXTS, FREQUENT_TOKENS, FREQUENT_COUNT = 16_384, 1 << 16, 3
 BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 1_000_000
-GROUP_PERCENT, QUERY_BLOCK, MEMBER_BLOCK = 35, 512, 2048
+GROUP_PERCENT, QUERY_BLOCK, MEMBER_BLOCK = 35, 1024, 4096
 FILTER_BITS = 23
 NO_ID = (1 << 63) - 1  # stands for a null id: the last to name a component
 
@@ -353,22 +353,23 @@ def _open_groups(docs: DataFrame, classes: DataFrame, grouped_sets: DataFrame, t
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: connected components of Jaccard >= percent / 100."""
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(profiles(docs, "doc_id", "text", width), "profiles")
-    sets = rows.where("n_shingles > 0")
-    classes = materialize(sets.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    pairs = _named_pairs(classes, GROUP_PERCENT)
-    near_sets = fetch_sets(docs, classes, pairs, width)
-    near = materialize(compare(pairs, near_sets, percent, GROUP_PERCENT), "near-links")
-    cores = components(near.where("linked").select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("core"))
-    groups = components(near.select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("group"))
-    members = materialize(groups.join(cores, "cid", "left").select("cid", "group", F.coalesce("core", "cid").alias("core")), "groups")
-    within = materialize(_links_within(members, near_sets, percent), "links")
-    grouped_sets = near_sets.join(members.select("cid", "group"), "cid").select("cid", "tokens", "group")
-    candidates = _open_groups(docs, classes, grouped_sets, total, width, percent)
-    across = materialize(compare(candidates, fetch_sets(docs, classes, candidates, width), percent).select("u", "v"), "links")
-    links = near.where("linked").select("u", "v").unionByName(within).unionByName(across)
-    grouped = materialize(components(links), "components")
+    with temporaries():
+        rows = materialize(profiles(docs, "doc_id", "text", width), "profiles", keep=True)
+        sets = rows.where("n_shingles > 0")
+        classes = materialize(sets.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes", keep=True)
+        total = classes.agg(F.sum("n")).first()[0] or 0
+        pairs = _named_pairs(classes, GROUP_PERCENT)
+        near_sets = fetch_sets(docs, classes, pairs, width)
+        near = materialize(compare(pairs, near_sets, percent, GROUP_PERCENT), "near-links")
+        cores = components(near.where("linked").select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("core"))
+        groups = components(near.select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("group"))
+        members = materialize(groups.join(cores, "cid", "left").select("cid", "group", F.coalesce("core", "cid").alias("core")), "groups")
+        within = materialize(_links_within(members, near_sets, percent), "links")
+        grouped_sets = near_sets.join(members.select("cid", "group"), "cid").select("cid", "tokens", "group")
+        candidates = _open_groups(docs, classes, grouped_sets, total, width, percent)
+        across = materialize(compare(candidates, fetch_sets(docs, classes, candidates, width), percent).select("u", "v"), "links")
+        links = near.where("linked").select("u", "v").unionByName(within).unionByName(across)
+        grouped = materialize(components(links), "components", keep=True)
     named = classes.select("cid", "rep").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     labels = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(labels, "root").select("cid", "component_id")
@@ -385,8 +386,9 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataF
     """
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     named = found.where("doc_id = component_id").select("doc_id").distinct()
-    marked = materialize(found.where("doc_id <> component_id").select("doc_id").union(repeated).where("doc_id is not null"), "marked")
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(marked)))
+    with temporaries():
+        marked = materialize(found.where("doc_id <> component_id").select("doc_id").union(repeated).where("doc_id is not null"), "marked")
+        bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(marked)))
     place = docs.columns.index(id_col)
 
     def rows(hit: bool):
