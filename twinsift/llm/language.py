@@ -168,7 +168,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             found, at = np.unique(grams, return_inverse=True)
             counts = np.bincount(at, weights=np.concatenate([np.zeros(0), *(p[1] for p in parts)]), minlength=len(found))
             yield pa.RecordBatch.from_pydict({"lang": [language], "gram": pa.array([None], pa.int64()), "n": pa.array([number], pa.int64())})
-            yield pa.RecordBatch.from_pydict({"lang": [language] * len(found), "gram": pa.array(found.astype(np.int64)), "n": pa.array(counts.astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([language] * len(found), pa.string()), "gram": pa.array(found.astype(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     frame = counted.where("gram is null or n > 1").toPandas()
