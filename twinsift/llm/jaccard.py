@@ -40,7 +40,7 @@ WIDTH, THRESHOLD_PERCENT = 5, 75
 KEYS = 6
 SAMPLE_TEXTS, FREQUENT_TOKENS, FREQUENT_COUNT = 16_384, 1 << 16, 3
 BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 1_000_000
-GROUP_PERCENT, QUERY_BLOCK, MEMBER_BLOCK = 35, 1024, 4096
+GROUP_PERCENT, QUERY_BLOCK, MEMBER_BLOCK = 35, 512, 2048
 FILTER_BITS = 23
 NO_ID = (1 << 63) - 1  # stands for a null id: the last to name a component
 
@@ -166,6 +166,7 @@ def _links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     cores = members.groupBy("group", "core").agg(F.count(F.lit(1)).alias("size"))
     groups = cores.groupBy("group").agg(F.max_by("core", F.struct("size", "core")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most")).where(F.col("all") > F.col("most"))
     groups = groups.select("group", "largest", F.ceil((F.col("all") - F.col("most")) / QUERY_BLOCK).alias("query_blocks"), F.ceil(F.col("all") / MEMBER_BLOCK).alias("member_blocks"))
+    groups = materialize(groups, "group-sizes")  # a join of two tables, so that Spark can split a large group
     rows = members.join(groups, "group").join(sets, "cid")
     mixed = lambda name: F.pmod(F.xxhash64("cid"), F.col(name))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
