@@ -57,3 +57,49 @@ def test_repeated_rows_ids_and_empty_tables(documents):
 def test_no_python_on_the_way(documents):
     plan = licences.scan(documents([NOTICE]))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+#: Notices as they are published, in several paragraphs of short lines.
+PUBLISHED = {
+    "MIT": [r"(?=The above copyright)", r"(?=THE SOFTWARE IS PROVIDED)"],
+    "BSD-2-Clause": [r"(?=1\. Redist)", r"(?=2\. Redist)"],
+    "Apache-2.0": [r"(?=You may obtain)", r"(?=http:)", r"(?=Unless required)", r"(?=See the License)"],
+}
+
+
+def published(name, text):
+    parts = re.split("|".join(PUBLISHED.get(name, [r"(?!)"])), text)
+    return "\n\n".join(re.sub(r"(.{50,70}?) ", r"\1\n", part.strip()) for part in parts)
+
+
+def test_published_layouts_inside_long_texts(documents):
+    code = "\n\n".join(f"def area_{i}(width, height):\n    scaled = width * {i}\n    return scaled + height" for i in range(40))
+    texts = [layout for name, text in licences.TEMPLATES for layout in (f"{published(name, text)}\n\n{code}", f"{code}\n\n{published(name, text)}\n{code}", "/*\n * " + published(name, text).replace("\n", "\n * ") + f"\n */\n{code}")]
+    found = {(r["doc_id"], r["licence"]): r for r in licences.scan(documents(texts)).collect()}
+    for i in range(len(texts)):
+        assert found[i, licences.TEMPLATES[i // 3][0]]["dice"] > 0.75
+    full = next(i for i, (name, text) in enumerate(licences.TEMPLATES) if name == "MIT" and len(text) > 500)
+    assert (found[3 * full, "MIT"]["dice"], found[3 * full, "MIT"]["segments"]) == (1.0, 1) and (3 * full, "MIT") not in plain(texts)
+
+
+def test_passages_like_all_runs_and_ranges(documents):
+    templates = [("A", "one two three four five six seven eight"), ("B", "one two nine three four")]
+    words = "one two three four five six seven eight nine red x".split()
+    marks = [" ", "\n", " ", ". ", "\n\n", " ", " "]
+    texts = ["red one two red\none two three\nfour five one. six seven", "x one two three four five six seven eight x one two nine\n\nthree four red"]
+    texts += ["".join(words[(i * k + i // (k % 5 + 2)) % 9] + marks[i * (k + 2) % 7] for i in range(40)) for k in range(1, 25)]
+    want, whole = {}, set()
+    for i, text in enumerate(texts):
+        pieces = [licences.words_of(piece) for piece in re.split(r"\n|(?<=[.!?])\s+", text)]
+        own = [word for piece in pieces for word in piece]
+        runs = [[word for piece in pieces[a:b] for word in piece] for a in range(len(pieces)) for b in range(a + 1, len(pieces) + 1)]
+        for name, template in templates:
+            grams, length = set(licences.bigrams_of(template)), len(licences.words_of(template))
+            dice = lambda ws: 2 * len((g := set(licences.bigrams_of(" ".join(ws)))) & grams) / (len(g) + len(grams))  # noqa: E731, B023
+            best = max(map(dice, runs + [own[s : s + length] for s in range(max(1, len(own) - length + 1))]))
+            if best >= 0.5:
+                want[i, name] = round(best, 6)
+            if max(map(dice, map(licences.words_of, {text, *re.split(r"\n\s*\n", text), *text.split("\n"), *re.split(r"(?<=[.!?])\s+", text)}))) >= 0.5:
+                whole.add((i, name))
+    found = {(r["doc_id"], r["licence"]): r["dice"] for r in licences.scan(documents(texts), templates=templates, percent=50).collect()}
+    assert found.keys() == want.keys() and {k: v for k, v in found.items() if k not in whole} == {k: v for k, v in want.items() if k not in whole} and len(found.keys() - whole) >= 2

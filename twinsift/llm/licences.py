@@ -6,8 +6,15 @@ only templates of near sizes are compared. A segment that reaches t must also sh
 it has one of a few anchor words, which are chosen from the templates so that this test loses nothing; most texts end
 there.
 
+A notice may also be spread over several paragraphs or lines, or stand amid other words. So for each licence that no
+segment matches, passages are compared too: all runs of adjacent pieces (the text cut at line ends and sentence ends),
+and ranges of as many words as the template has. A text is looked at if it shares enough bigrams with a template at all.
+Of the runs only those are tried whose last piece adds a bigram of the template that the run doesn't have before, and
+whose first piece has one that it doesn't have later; the others have a shorter run that is no worse.
+
 Defined cases: null and empty texts, and segments of fewer than two words, match nothing; equal segments count each; ties
 in Dice go to all licences that reach the threshold; repeated rows are reported as one row with the segments of all;
+a text in which only a passage matches counts as one segment, if no segment of its id does;
 a null id is a document; empty tables give no rows; other columns are ignored.
 """
 
@@ -16,9 +23,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 THRESHOLD_PERCENT = 75
 
 # Licence names with their notices and texts, as published.
@@ -82,8 +91,56 @@ def _words(segment: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(segment), "[^0-9a-z]+", " "), " "), lambda word: word != "")
 
 
+def _bigrams(words: Column) -> Column:
+    return F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda pair: pair.isNotNull())
+
+
+def _passages(rows: DataFrame, known: list[tuple[str, int, list[str]]], percent: int) -> DataFrame:
+    """(doc_id, licence, dice) of each text and licence of which a passage reaches the threshold."""
+    table = F.array(*(F.struct(F.lit(i).alias("tid"), F.lit(name).alias("name"), F.lit(words).alias("words"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("size")) for i, (name, words, grams) in enumerate(known)))
+    template = F.element_at(table, F.col("tid") + 1)
+    every = F.array(*map(F.lit, sorted({gram for _, _, grams in known for gram in grams})))
+    # A passage that reaches the threshold has this share of the template's bigrams, so its text has it too.
+    enough = lambda common, size: common * (200 - percent) >= size * percent
+    least = F.ceil(template["size"] * percent / (200 - percent)).cast("int")
+    once = lambda value: F.explode(F.array(value))  # noqa: E731  a step of its own in the plan, so that the value is made once
+    split = rows.select("doc_id", "text", once(_bigrams(_words(F.col("text")))).alias("grams"))
+    split = split.select("doc_id", "text", once(F.array_intersect("grams", every)).alias("shared")).where(enough(F.size("shared"), min(len(grams) for _, _, grams in known)))
+    near = F.filter(table, lambda t: enough(F.size(F.array_intersect("shared", t["grams"])), t["size"]))
+    texts = split.select("doc_id", "text", once(F.transform(near, lambda t: t["tid"])).alias("tids")).where(F.size("tids") > 0)
+    texts = texts.select("doc_id", "tids", once(F.transform(F.split("text", r"\n|(?<=[.!?])\s+"), _words)).alias("pieces"))
+    piece_of = F.flatten(F.transform("pieces", lambda words, i: F.transform(words, lambda _: i)))
+    texts = texts.select("doc_id", "tids", piece_of.alias("piece_of"), _bigrams(F.flatten("pieces")).alias("grams"))
+    texts = materialize(texts.withColumn("k", F.monotonically_increasing_id()), "licence-texts")
+    # Places of a template's bigrams, with the pieces of both words and the places where the bigram stands before and after.
+    places = texts.select("k", F.explode("tids").alias("tid"), "grams", "piece_of").select("k", "tid", "piece_of", F.posexplode("grams").alias("place", "gram"))
+    places = places.where(F.array_contains(template["grams"], F.col("gram"))).select("k", "tid", "place", "gram", F.get("piece_of", F.col("place")).alias("opens"), F.get("piece_of", F.col("place") + 1).alias("closes"))
+    same, along = Window.partitionBy("k", "tid", "gram").orderBy("place"), Window.partitionBy("k", "tid").orderBy("place")
+    places = places.withColumn("before", F.coalesce(F.lag("place").over(same), F.lit(-1))).withColumn("after", F.coalesce(F.lead("place").over(same), F.lit((1 << 31) - 1)))
+    places = places.withColumn("number", F.row_number().over(along)).drop("gram")
+    first = places.groupBy("k", "tid", "opens").agg(F.min("place").alias("first"), F.max("after").alias("after"), F.min("number").alias("low"))
+    last = places.groupBy("k", "tid", "closes").agg(F.max("place").alias("last"), F.min("before").alias("before"), F.max("number").alias("high"))
+    runs = first.join(last, ["k", "tid"]).where("opens = closes or (opens < closes and before < first and after > last)").where(F.col("high") - F.col("low") + 1 >= least)
+    ends = places.select("k", "tid", (F.col("number") - least + 1).alias("number"), F.col("place").alias("end"))
+    ranges = places.join(ends, ["k", "tid", "number"]).where(F.col("end") - F.col("place") <= template["words"] - 2)
+    spans = runs.select("k", "tid", "opens", "closes", F.lit(None).cast("int").alias("place")).unionByName(ranges.select("k", "tid", F.lit(None).cast("int").alias("opens"), F.lit(None).cast("int").alias("closes"), "place"))
+    spans = spans.groupBy("k", "tid").agg(F.collect_list(F.struct("opens", "closes", "place")).alias("spans")).join(texts.drop("tids"), "k")
+
+    def inside(span: Column) -> Column:
+        total = F.size("piece_of")
+        start = F.coalesce(F.array_position("piece_of", span["opens"]).cast("int") - 1, F.greatest(F.lit(0), F.least(span["place"], total - template["words"])))
+        words = F.coalesce(total + 1 - F.array_position(F.reverse("piece_of"), span["closes"]).cast("int") - start, template["words"])
+        return F.slice("grams", start + 1, F.greatest(F.lit(0), words - 1))
+
+    # Slices as a step of their own, so that they are made once.
+    sets = F.transform(F.transform("spans", inside), lambda grams: F.array_distinct(grams))
+    sizes = F.transform(sets, lambda grams: F.struct(F.size(F.array_intersect(grams, template["grams"])).alias("common"), (F.size(grams) + template["size"]).alias("both")))
+    reached = spans.select("k", "doc_id", template["name"].alias("licence"), F.explode(F.filter(sizes, lambda m: m["common"] * 200 >= m["both"] * percent)).alias("m"))
+    return reached.groupBy("k", "doc_id", "licence").agg(F.max(F.col("m.common") * 2.0 / F.col("m.both")).alias("dice")).select("doc_id", "licence", "dice")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """(doc_id, licence, dice, segments): the licences that a segment of a text matches, with the best coefficient."""
+    """(doc_id, licence, dice, segments): the licences that a segment of a text, or else a passage, matches, with the best coefficient."""
     templates = TEMPLATES if templates is None else templates
     known = [(name, grams) for name, text in templates if (grams := bigrams_of(text))]
     anchors = F.lit(rf"(?:^|[^0-9a-z])(?:{'|'.join(anchor_words(templates, percent))})(?:[^0-9a-z]|$)")
@@ -95,8 +152,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     rows = rows.where(F.regexp_like(F.lower("text"), anchors))
     segments = rows.select("doc_id", F.explode(cuts).alias("segment")).where(F.regexp_like(F.lower("segment"), anchors))
     words = segments.select("doc_id", _words(F.col("segment")).alias("words")).where(F.size("words") > least)
-    pairs = F.filter(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b)), lambda pair: pair.isNotNull())
-    sized = words.select("doc_id", F.array_distinct(pairs).alias("grams")).where(F.size("grams").between(least, most))
+    sized = words.select("doc_id", F.array_distinct(_bigrams(F.col("words"))).alias("grams")).where(F.size("grams").between(least, most))
     size = F.size("grams")
     near = F.filter(table, lambda t: (t["size"] * (200 - percent) >= size * percent) & (size * (200 - percent) >= t["size"] * percent))
     compared = F.transform(near, lambda t: F.struct(t["name"].alias("name"), F.size(F.array_intersect("grams", t["grams"])).alias("common"), (t["size"] + size).alias("both")))
@@ -104,11 +160,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     numbered = sized.select("doc_id", matched.alias("matched")).where(F.size("matched") > 0).withColumn("s", F.monotonically_increasing_id())
     found = numbered.select("doc_id", "s", F.explode("matched").alias("m"))
     best = found.groupBy("doc_id", "s", F.col("m.name").alias("licence")).agg(F.max(F.col("m.common") * 2.0 / F.col("m.both")).alias("dice"))
-    return best.groupBy("doc_id", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), F.count(F.lit(1)).alias("segments"))
+    both = best.select("doc_id", "licence", "dice", F.lit(True).alias("cut")).unionByName(_passages(rows, [(name, len(words_of(text)), grams) for name, text in templates if (grams := bigrams_of(text))], percent).withColumn("cut", F.lit(False)))
+    ranked = both.groupBy("doc_id", "licence", "cut").agg(F.round(F.max("dice"), 6).alias("dice"), F.count(F.lit(1)).alias("segments"))
+    chosen = ranked.groupBy("doc_id", "licence").agg(F.max(F.struct("cut", "dice", "segments")).alias("best"))
+    return chosen.select("doc_id", "licence", "best.dice", "best.segments")
 
 
 def sql(templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> str:
-    """The same in DuckDB's SQL over `documents`, without the anchor words."""
+    """The same for segments in DuckDB's SQL over `documents`, without the anchor words and without passages."""
     quote = lambda text: "'" + text.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quote(name)}, [{', '.join(map(quote, bigrams_of(text)))}])" for i, (name, text) in enumerate(TEMPLATES if templates is None else templates))
     return rf"""
