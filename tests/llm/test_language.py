@@ -75,3 +75,23 @@ def test_query_on_the_given_tables(spark):
     Path(path).exists() or pytest.skip("needs the given tables")
     rows = op10_language_bloom(spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.99
+
+
+def test_more_languages_than_bits_of_a_word():
+    words = {f"l{i:03}": " ".join("".join(chr(97 + (i * 7 + j * k * 5 + i // 26 * j) % 26) for j in range(6)) for k in range(1, 6)) for i in range(150)}
+    rows = [(name, g, n) for name, text in words.items() for g, n in Counter(grams(text)).items()]
+    model = language.build_filter(pd.DataFrame(rows, columns=["lang", "gram", "n"]), dict.fromkeys(words, 1))
+    assert model.languages == sorted(words) and model.slots.shape[0] == 3
+    assert model.predict(pa.array(list(words.values())))[0] == list(words)
+
+
+def test_rare_languages_are_learned(spark, documents, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TEXTS", 10)
+    monkeypatch.setattr(language, "LEAST_TEXTS", 5, raising=False)
+    rare = "кошка и собака были с ними в этом доме"
+    docs = documents([SAMPLES["en"] + f" {i}" for i in range(400)]).select("doc_id", "text", "lang")
+    docs = docs.unionByName(documents([rare, rare + " да", rare + " нет"], [1000, 1001, 1002], "ru").select("doc_id", "text", "lang"))
+    model = language.train(docs, F.lit(True))
+    assert model.languages == ["en", "ru"] and model.default == "en"
+    assert model.predict(pa.array([rare, SAMPLES["en"]]))[0] == ["ru", "en"]
+    assert language.only_identified(docs, model).count() == 403

@@ -1,12 +1,14 @@
 """Language identification by bit-sliced Bloom filters over n-grams of bytes.
 
-Slot j of the filter is a word with one bit a language; the bits of an n-gram's languages are set in its k slots. One
-AND of k words thus returns every language that holds the n-gram. A text's n-grams are counted for each language by
+Slot j of the filter has one bit a language, in words of up to 64 bits (as many words as the languages need); the bits of
+an n-gram's languages are set in its k slots. One AND of k slots thus returns every language that holds the n-gram. A text's n-grams are counted for each language by
 popcounts of those words, corrected for the false positives that each language's fill predicts; the largest count
 decides, and its share of the two largest is the score.
 
 An n-gram belongs to a language if it is among its most frequent ones in the training sample and no other language has
-it several times as often. Training takes a bounded sample of labelled rows (SAMPLE_TEXTS); the filter has a fixed size.
+it several times as often. Training takes a bounded sample of labelled rows (SAMPLE_TEXTS), and for languages that have
+few rows in it a bounded number of rows each (LEAST_TEXTS), so a rare language is learned whatever the table's size. The
+filter has a fixed size for each 64 languages.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; texts with letters but no known n-gram get
 the most frequent learned language with score 0; ties go to the language with the smaller name; if nothing could be
@@ -25,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .sampling import by_hash
+from .sampling import by_hash_of_each
 
 UNDETERMINED = "und"
 WIDTH, SLOTS, HASHES = 4, 1 << 18, 2
-SAMPLE_TEXTS, GRAMS_PER_LANGUAGE, MAX_RATIO = 4000, 6000, 2.0
-MAX_LANGUAGES = 64
+SAMPLE_TEXTS, LEAST_TEXTS, GRAMS_PER_LANGUAGE, MAX_RATIO = 4000, 200, 6000, 2.0
+WORD_BITS = 64
 LEAST_SHARE, ENOUGH_GRAMS = 0.05, 32
 SLAB_BYTES = 1 << 20
 _HASHES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
@@ -73,17 +75,19 @@ def _grams(texts: pa.Array):
 
 @dataclass
 class Filter:
-    """slots: a word for each slot with a bit for each language; rates: false positives of each language."""
+    """slots: a row of words for each block of up to 64 languages, a word for each slot with a bit for each language; rates:
+    false positives of each language."""
 
     languages: list[str]
     slots: np.ndarray
     rates: np.ndarray
     default: str
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
+    def masks(self, grams: np.ndarray, block: int = 0) -> np.ndarray:
+        """The words of the n-grams for the languages from 64 * block on."""
         found = None
         for index in _slots_of(grams):
-            found = self.slots[index] if found is None else found & self.slots[index]
+            found = self.slots[block][index] if found is None else found & self.slots[block][index]
         return found
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +96,13 @@ class Filter:
         for first, end, grams, owner in _grams(texts):
             if not len(grams):
                 continue
-            masks = self.masks(grams)
             seen[first:end] += np.bincount(owner, minlength=end - first)
-            held = np.flatnonzero(masks)
-            masks, who = masks[held], owner[held]
-            for bit in range(len(self.languages)):
-                total[first:end, bit] += np.bincount(who[(masks >> masks.dtype.type(bit)) & masks.dtype.type(1) > 0], minlength=end - first)
+            for block in range(len(self.slots)):
+                masks = self.masks(grams, block)
+                held = np.flatnonzero(masks)
+                masks, who = masks[held], owner[held]
+                for bit, row in enumerate(range(WORD_BITS * block, min(WORD_BITS * (block + 1), len(self.languages)))):
+                    total[first:end, row] += np.bincount(who[(masks >> masks.dtype.type(bit)) & masks.dtype.type(1) > 0], minlength=end - first)
         return np.maximum(0.0, (total - seen[:, None] * self.rates) / (1 - self.rates)), seen
 
     def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -124,56 +129,54 @@ def _slots_of(grams: np.ndarray) -> list[np.ndarray]:
 
 def build_filter(frame: pd.DataFrame, texts_of: dict[str, int]) -> Filter:
     """A filter from counts of n-grams (lang, gram, n) and how many texts each language had."""
-    languages = sorted(texts_of)[:MAX_LANGUAGES]
+    languages = sorted(texts_of)
     if not languages:
-        return Filter([], np.zeros(SLOTS, dtype=np.uint8), np.zeros(0), UNDETERMINED)
+        return Filter([], np.zeros((0, SLOTS), dtype=np.uint8), np.zeros(0), UNDETERMINED)
     grams = np.unique(frame["gram"].to_numpy(np.int64)) if len(frame) else np.zeros(0, dtype=np.int64)
-    rates = np.zeros((len(languages), len(grams)))
-    for row, language in enumerate(languages):
-        own = frame[frame["lang"] == language]
-        rates[row, np.searchsorted(grams, own["gram"].to_numpy(np.int64))] = own["n"].to_numpy(float)
-        rates[row] /= max(1.0, rates[row].sum())
-    kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-    slots = np.zeros(SLOTS, dtype=kind)
-    most = rates.max(axis=0) if len(grams) else np.zeros(0)
-    for row in range(len(languages)):
-        typical = np.flatnonzero((rates[row] > 0) & (rates[row] * MAX_RATIO >= most))
-        picked = typical[np.lexsort((grams[typical], -rates[row, typical]))][:GRAMS_PER_LANGUAGE]
+    # Of each language (place in grams, rate); only its own n-grams, so many languages need no full matrix.
+    own_of, most = [], np.zeros(len(grams))
+    own_frames = dict(iter(frame.groupby("lang"))) if len(frame) else {}
+    for language in languages:
+        own = own_frames.get(language)
+        at = np.searchsorted(grams, own["gram"].to_numpy(np.int64)) if own is not None else np.zeros(0, dtype=np.int64)
+        rate = own["n"].to_numpy(float) if own is not None else np.zeros(0)
+        rate = rate / max(1.0, rate.sum())
+        np.maximum.at(most, at, rate)
+        own_of.append((at, rate))
+    kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(len(languages), WORD_BITS) <= bits)
+    slots = np.zeros((-(-len(languages) // WORD_BITS), SLOTS), dtype=kind)
+    for row, (at, rate) in enumerate(own_of):
+        typical = (rate > 0) & (rate * MAX_RATIO >= most[at])
+        at, rate = at[typical], rate[typical]
+        picked = at[np.lexsort((grams[at], -rate))][:GRAMS_PER_LANGUAGE]
         for index in _slots_of(grams[picked].astype(np.uint32)):
-            slots[index] |= kind(1 << row)
-    fill = np.array([((slots >> kind(row)) & kind(1)).mean() for row in range(len(languages))])
+            slots[row // WORD_BITS, index] |= kind(1 << row % WORD_BITS)
+    fill = np.array([((slots[row // WORD_BITS] >> kind(row % WORD_BITS)) & kind(1)).mean() for row in range(len(languages))])
     return Filter(languages, slots, np.minimum(0.99, fill**HASHES), max(languages, key=lambda name: (texts_of[name], name)))
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter:
-    """A filter from a bounded sample of the rows for which `learn` holds and the language is known."""
+    """A filter from a bounded sample, of each language, of the rows for which `learn` holds and the language is known."""
     ship(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNDETERMINED)).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sample = by_hash(rows, "doc_id", SAMPLE_TEXTS).select("lang", "text")
+    sample, texts_of = by_hash_of_each(rows, "doc_id", "lang", SAMPLE_TEXTS, LEAST_TEXTS)
 
     def count(batches):
-        tally: dict[str, dict] = {}
-        texts: dict[str, int] = {}
+        tally: dict[str, list] = {}
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for language in np.unique(langs):
-                own = batch.column(1).filter(pa.array(langs == language))
-                texts[language] = texts.get(language, 0) + len(own)
-                for _, _, grams, _ in _grams(own):
+                for _, _, grams, _ in _grams(batch.column(1).filter(pa.array(langs == language))):
                     found, counts = np.unique(grams, return_counts=True)
                     tally.setdefault(language, []).append((found, counts))
-        for language, number in texts.items():
-            parts = tally.get(language, [])
-            grams = np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts)])
+        for language, parts in tally.items():
+            grams = np.concatenate([p[0] for p in parts])
             found, at = np.unique(grams, return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([np.zeros(0), *(p[1] for p in parts)]), minlength=len(found))
-            yield pa.RecordBatch.from_pydict({"lang": [language], "gram": pa.array([None], pa.int64()), "n": pa.array([number], pa.int64())})
+            counts = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(found))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([language] * len(found), pa.string()), "gram": pa.array(found.astype(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frame = counted.where("gram is null or n > 1").toPandas()
-    sizes = frame[frame["gram"].isna()]
-    return build_filter(frame[frame["gram"].notna()], dict(zip(sizes["lang"], sizes["n"].astype(int), strict=True)))
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return build_filter(counted.where("n > 1").toPandas(), texts_of)
 
 
 def identify(docs: DataFrame, model: Filter, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
