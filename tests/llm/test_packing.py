@@ -68,3 +68,16 @@ def test_little_padding(documents):
     texts = [f"some words of a text {i} " * (1 + i * 37 % 400) for i in range(600)]
     frame = packing.pack(documents(texts)).toPandas()
     assert frame["length"].sum() / (frame["sequence_id"].nunique() * packing.CAPACITY) > 0.97
+
+
+def test_added_tokens_like_the_contract(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    contract = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y<|endoftext|", "no added token  here"]
+    want = [contract.encode(text, add_special_tokens=False).ids + [1] for text in texts]
+    assert len(want[0]) == 5 and 50256 in want[0]
+    assert [packing.token_ids(text).tolist() for text in texts] == want
+    rows = packing.pack(documents(texts)).collect()
+    assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows} == {i: (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for i, ids in enumerate(want)}

@@ -12,6 +12,7 @@ named ones are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +37,8 @@ def encoder(name: str):
     """Token ids of `name`, a file of the public tokenizers.
 
     The .tiktoken form of the vocabulary gives the ids of the .json form (a test compares them) at a fifth of the time.
-    Runs of one kind of character that are so long that its regular expression could exhaust the stack go to the .json
-    form.
+    Texts that hold an added token of the .json form, and runs of one kind of character that are so long that its regular
+    expression could exhaust the stack, go to the .json form.
     """
     if name not in _encoders:
         import public_tokenizers
@@ -55,9 +56,18 @@ def reference_encoder(name: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(public_tokenizers.path(key))
-        made.encode_special_tokens = True
-        _encoders[key] = made
+        _encoders[key] = Tokenizer.from_file(public_tokenizers.path(key))
+    return _encoders[key]
+
+
+def added_tokens(name: str) -> list[str]:
+    """Texts that the .json form takes as one token each, whatever stands around them."""
+    key = f"{name}.json added"
+    if key not in _encoders:
+        import public_tokenizers
+
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+            _encoders[key] = [token["content"] for token in json.load(file).get("added_tokens", [])]
     return _encoders[key]
 
 
@@ -65,8 +75,9 @@ def token_ids(text: str | None, name: str = "byte_bpe_50k") -> np.ndarray:
     """Ids of one text with the end id, as little-endian unsigned 32-bit numbers."""
     if not text:
         return np.array([END_ID], dtype="<u4")
+    added = any(token in text for token in added_tokens(name))
     try:
-        ids = encoder(name).encode_ordinary(text)
+        ids = reference_encoder(name).encode(text, add_special_tokens=False).ids if added else encoder(name).encode_ordinary(text)
     except (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError):
         raise
     except BaseException:  # noqa: BLE001  its regular expression engine gives up by a panic, which is no Exception
