@@ -19,7 +19,7 @@ def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate component, once; those without an id all stay."""
+    """Keeps the document with the smallest id of each near-duplicate component, once."""
     return jaccard.keep_one(docs, jaccard.near_duplicates(docs))
 
 

@@ -90,6 +90,14 @@ def test_keep_one(documents):
     assert kept.columns == docs.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(["2", "8", "10", "12", "None", "None"])
 
 
+def test_keep_one_where_ids_are_repeated_or_null(documents):
+    a, b, c, d = (" ".join(f"{letter}{i}" for i in range(50)) for letter in "abcd")
+    docs = documents([a, b, a + " x", c, c, d, d, d + " y", "", "", b, "lone"], [5, 5, 5, None, None, None, 9, None, 6, 6, 7, 8])
+    kept = jaccard.keep_one(docs, jaccard.near_duplicates(docs))
+    rows = [(r["doc_id"], r["text"].removesuffix(" x")) for r in kept.collect()]
+    assert kept.columns == docs.columns and sorted(rows, key=str) == sorted([(5, a), (5, b), (None, c), (9, d), (6, ""), (6, ""), (8, "lone")], key=str)
+
+
 def test_ids_and_empty_tables(documents):
     text = " ".join(f"w{i}" for i in range(50))
     rows = jaccard.near_duplicates(documents([text, text, text, None, ""], [7, 7, None, None, 3])).collect()

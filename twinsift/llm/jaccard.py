@@ -352,7 +352,10 @@ def _open_groups(docs: DataFrame, classes: DataFrame, grouped_sets: DataFrame, t
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: connected components of Jaccard >= percent / 100."""
+    """(doc_id, n_shingles, component_id, cid, root) for every row: connected components of Jaccard >= percent / 100.
+
+    cid names the text's shingle set and root the component, also where ids are repeated or null (null without shingles).
+    """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with temporaries():
         rows = materialize(profiles(docs, "doc_id", "text", width), "profiles", keep=True)
@@ -373,22 +376,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grouped = materialize(components(links), "components", keep=True)
     named = classes.select("cid", "rep").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     labels = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(labels, "root").select("cid", "component_id")
-    with_sets = sets.select("doc_id", "n_shingles", "cid").join(of_class, "cid").select("doc_id", "n_shingles", "component_id")
-    result = with_sets.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return result.select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "n_shingles", F.expr(f"nullif(component_id, {NO_ID})").alias("component_id"))
+    of_class = named.join(labels, "root").select("cid", "component_id", "root")
+    with_sets = sets.select("doc_id", "n_shingles", "cid").join(of_class, "cid").select("doc_id", "n_shingles", "component_id", "cid", "root")
+    result = with_sets.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")), allowMissingColumns=True)
+    return result.select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "n_shingles", F.expr(f"nullif(component_id, {NO_ID})").alias("component_id"), "cid", "root")
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, whose id names its component in `found` (of near_duplicates), each id once.
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of docs, all columns, of which each component in `found` (of near_duplicates) keeps one: of its smallest id.
 
     Ids that go or are repeated are few, so a bitmap of fixed size tells the other rows, which stay without a shuffle;
-    what hits it is decided by a join. Rows without an id all stay.
+    what hits it is decided by a join. Rows whose id is null or repeated are decided by their own shingle sets, so only
+    rows of one component replace each other; those without shingles all stay.
     """
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    named = found.where("doc_id = component_id").select("doc_id").distinct()
     with temporaries():
-        marked = materialize(found.where("doc_id <> component_id").select("doc_id").union(repeated).where("doc_id is not null"), "marked")
+        unclear = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"), "unclear", keep=True)
+        marked = materialize(found.where("doc_id <> component_id").select("doc_id").union(unclear).where("doc_id is not null"), "marked")
         bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(marked)))
     place = docs.columns.index(id_col)
 
@@ -398,9 +401,20 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataF
             for batch in batches:
                 ids = batch.column(place).cast(pa.int64())
                 one, two = _filter_bits(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array((wanted[one] & wanted[two] & ids.is_valid().to_numpy(zero_copy_only=False)) == hit))
+                yield batch.filter(pa.array(((wanted[one] & wanted[two]) | ids.is_null().to_numpy(zero_copy_only=False)) == hit))
 
         return docs.mapInArrow(run, docs.schema)
 
-    doubtful = rows(True).join(named.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
-    return rows(False).unionByName(doubtful.select(*docs.columns))
+    named = found.where("doc_id = component_id").select("doc_id").join(unclear, "doc_id", "left_anti")
+    clear = rows(True).join(named.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    kept = rows(False).unionByName(clear.select(*docs.columns))
+    if unclear.isEmpty():
+        return kept
+    of_repeated = rows(True).join(unclear.where("doc_id is not null").select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    doubtful = of_repeated.unionByName(rows(True).where(F.col(id_col).isNull())).select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("k"))
+    doubtful = materialize(doubtful, "doubtful", keep=True)
+    profiled = profiles(doubtful.select("k", F.col("row")[text_col].alias("text")), "k", "text", width).select(F.col("doc_id").alias("k"), "n_shingles", "cid")
+    of_class = found.where("cid is not null").groupBy("cid").agg(F.first("component_id").alias("component_id"), F.first("root").alias("root"))
+    decided = doubtful.join(profiled, "k")
+    first = decided.where("n_shingles > 0").join(of_class, "cid").where(F.col("row")[id_col].cast("long").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return kept.unionByName(first.select("row.*")).unionByName(decided.where("n_shingles = 0").select("row.*"))

@@ -77,7 +77,7 @@ FROM written GROUP BY conv_id
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
