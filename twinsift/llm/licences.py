@@ -167,7 +167,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def sql(templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> str:
-    """The same for segments in DuckDB's SQL over `documents`, without the anchor words and without passages."""
+    """The same for segments in DuckDB's SQL over `documents`, without the anchor words and without passages.
+
+    It also leaves out segments of more than 2000 words, which `scan` compares if they have few enough distinct bigrams.
+    """
     quote = lambda text: "'" + text.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quote(name)}, [{', '.join(map(quote, bigrams_of(text)))}])" for i, (name, text) in enumerate(TEMPLATES if templates is None else templates))
     return rf"""
