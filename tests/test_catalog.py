@@ -37,3 +37,10 @@ def test_without_sql(spark):
     assert {r["function_name"] for r in chunks if r["id"]} == {"load", "App", "greet"} and [r["error"] for r in chunks if r["error"]] == ["Unsupported file: e.go"]
     rows = CATALOG["embed_documents"][0](spark, str(DATA)).collect()
     assert rows and all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-5 for r in rows)
+
+
+def test_long_documents_are_embedded_whole(spark, tmp_path):
+    head = "some words " * 2000
+    spark.createDataFrame([(1, head + "one end", "en", "s", 0), (2, head + "another tail " * 500, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    one, two = (tuple(r["embedding"]) for r in CATALOG["embed_documents"][0](spark, str(tmp_path)).collect())
+    assert one != two

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -476,9 +477,9 @@ def chunk_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all distinct contents by the local embedder; no SQL form."""
+    """Vectors of all distinct contents, whole, by the local embedder, which needs no limit; no SQL form."""
     texts = documents(spark, sf_dir).groupBy("content_hash").agg(F.min("text").alias("source_text"))
-    return embedding.embed_texts(texts, embedding.HashingEmbedder())
+    return embedding.embed_texts(texts, embedding.HashingEmbedder(max_bytes=sys.maxsize))
 
 
 CATALOG: dict[str, tuple[Query, str | None]] = {
