@@ -1,7 +1,10 @@
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
-from hypothesis import given
+import pytest
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from twinsift.llm import packing
@@ -9,16 +12,48 @@ from twinsift.llm import packing
 from .conftest import ODD_TEXTS
 
 
+def contract():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+CONTRACT = contract()
+
+
 def reference_ids(text):
-    return packing.reference_encoder("byte_bpe_50k").encode(text or "", add_special_tokens=False).ids + [1]
+    return CONTRACT.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-def test_ids_are_the_tokenizers_own():
+def test_ids_are_the_contracts():
     texts = [t for t in ODD_TEXTS if t is None or len(t) < 1000] + ["<|endoftext|> don't  stop\n\n  x", "größer, señor; l'été 1234567", "a" * 2000, " " * 500 + "x"]
     for text in texts:
         assert packing.token_ids(text).tolist() == reference_ids(text)
 
 
+PIECES = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u180e", "\u200b", "\u2003", "\u3000", "a", "B", "é", "ß", "ÿ", "÷", "日本", "1", "23", "²", "'", "'s", "'ll", "don't", ".", "!?", "_", "<|endoftext|>", "<|", "\U0001f600", "\u0301", "\ufeff", "\x00"])
+
+
+@settings(max_examples=600)
+@given(st.lists(PIECES, max_size=14).map("".join) | st.text(max_size=30))
+def test_cut_texts_have_the_ids_of_whole_ones(text):
+    assert packing.token_ids(text).tolist() == reference_ids(text)
+
+
+def test_given_texts_have_the_contracts_ids(spark):
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    path.exists() or pytest.skip("needs the given tables")
+    texts = [r["text"] for r in spark.read.parquet(str(path)).select("text").collect()]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in packing.encoder().many(texts)] == [reference_ids(t) for t in texts]
+
+
+def test_a_full_store_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_PARTS", 3)
+    texts = ["one two three, four five six.", "four five six. seven eight", "one two", None]
+    assert [np.frombuffer(ids, "<u4").tolist() for _ in range(3) for ids in packing.encoder().many(texts)] == [reference_ids(t) for t in texts] * 3
+
+
 def first_fit(lengths, capacity):
     free, bins, offsets = [], [], []
     for length in lengths:
@@ -64,6 +99,17 @@ def test_repeated_rows_and_empty_tables(documents):
     assert packing.pack(documents([])).count() == 0
 
 
+def test_documents_are_whole_in_a_group_and_equal_rows_spread(documents):
+    long = "many words of one long text " * 3000
+    texts = ["same words"] * 300 + [long] * 3
+    rows = packing.pack(documents(texts, [7] * 300 + [8] * 3), group_pieces=20).toPandas()
+    groups = rows["sequence_id"] // (1 << 32)
+    assert groups[rows["doc_id"] == 7].value_counts().max() < 60 and groups[rows["doc_id"] == 7].nunique() >= 10
+    pieces = -(-int(rows["doc_tokens"].max()) // packing.CAPACITY)
+    by_group = Counter(groups[rows["doc_id"] == 8])
+    assert pieces > 5 and all(n % pieces == 0 for n in by_group.values()) and sum(by_group.values()) == 3 * pieces
+
+
 def test_little_padding(documents):
     texts = [f"some words of a text {i} " * (1 + i * 37 % 400) for i in range(600)]
     frame = packing.pack(documents(texts)).toPandas()
@@ -71,12 +117,8 @@ def test_little_padding(documents):
 
 
 def test_added_tokens_like_the_contract(documents):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    contract = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y<|endoftext|", "no added token  here"]
-    want = [contract.encode(text, add_special_tokens=False).ids + [1] for text in texts]
+    want = [CONTRACT.encode(text, add_special_tokens=False).ids + [1] for text in texts]
     assert len(want[0]) == 5 and 50256 in want[0]
     assert [packing.token_ids(text).tolist() for text in texts] == want
     rows = packing.pack(documents(texts)).collect()

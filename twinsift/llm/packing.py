@@ -1,24 +1,30 @@
 """Sequence packing: first-fit decreasing with a tournament tree of bin capacities.
 
 Documents become token ids (byte-level BPE, then the end id 1) and are cut into pieces of at most `capacity` ids. The
-pieces are dealt at random into groups of bounded size, and every group packs its own pieces, so no task holds more than
-a group and the result doesn't depend on how the input is partitioned. Only lengths are shuffled, never ids.
+documents are dealt at random into groups of bounded size, and every group packs its own pieces, so no task holds more
+than a group. Only lengths are shuffled, never ids. A row's group is drawn from its place in the table, so rows that are
+equal, however many, spread over all groups; which sequence a piece lies in thus depends on the table's partitions, but
+what the pieces are doesn't.
+
+Ids are those of the vocabulary's .json form. A text is cut at places where that form's pattern ends a match in any case, mostly
+between words; the parts are encoded each on its own, and the ids of those met before are remembered, up to a bound.
 
 Defined cases: a null text counts as empty and gives one piece that holds just the end id; repeated rows are packed each
-on its own; ties in length go by (doc_id, start, checksum); an empty table gives no rows; columns other than the two
-named ones are ignored.
+on its own; ties in length go by (doc_id, start, checksum); a document of more pieces than a group usually has makes its
+group larger; an empty table gives no rows; columns other than the two named ones are ignored.
 """
 
 from __future__ import annotations
 
-import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,62 +36,68 @@ GROUP_PIECES = 16_384
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
-_encoders: dict[str, object] = {}
+KNOWN_PARTS, TEXTS_AT_ONCE = 400_000, 1024
 
+_encoders: dict[str, "Encoder"] = {}
+#: Parts that may stand alone, as the pattern ends a match between them: it never goes on from another character to white
+#: space, or from a letter to an ASCII mark. Texts with other white space than these four stay whole.
+_PART = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_SEAM = re.compile(r"(?<=[A-Za-zß-öø-ÿ])(?=[!-/:-@[-`{-~])")
+_OTHER_SPACE = re.compile("[\x0b\x0c\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-def encoder(name: str):
-    """Token ids of `name`, a file of the public tokenizers.
 
-    The .tiktoken form of the vocabulary gives the ids of the .json form (a test compares them) at a fifth of the time.
-    Texts that hold an added token of the .json form, and runs of one kind of character that are so long that its regular
-    expression could exhaust the stack, go to the .json form.
-    """
-    if name not in _encoders:
-        import public_tokenizers
-        import tiktoken
-
-        lines = open(public_tokenizers.path(f"{name}.tiktoken"), "rb")
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[name]
+class Encoder:
+    """Token ids by a .json file of the public tokenizers; remembers the ids of words met before.
 
+    Texts are cut only if nothing normalises them, spaces are left to the byte-level pattern and they hold no added token.
+    """
 
-def reference_encoder(name: str):
-    key = f"{name}.json"
-    if key not in _encoders:
+    def __init__(self, name: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        _encoders[key] = Tokenizer.from_file(public_tokenizers.path(key))
-    return _encoders[key]
-
-
-def added_tokens(name: str) -> list[str]:
-    """Texts that the .json form takes as one token each, whatever stands around them."""
-    key = f"{name}.json added"
-    if key not in _encoders:
-        import public_tokenizers
-
-        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
-            _encoders[key] = [token["content"] for token in json.load(file).get("added_tokens", [])]
-    return _encoders[key]
+        self.made = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        settings = json.loads(self.made.to_str())
+        first, self.added = settings.get("pre_tokenizer") or {}, [token["content"] for token in settings.get("added_tokens", [])]
+        self.may_cut = settings.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+        self.known: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        whole = not self.may_cut or any(token in text for token in self.added) or _OTHER_SPACE.search(text)
+        return [text] if whole else _PART.findall(text)
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            found = self.made.encode(some, is_pretokenized=True, add_special_tokens=False)  # each by itself, in one call
+            edges = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1))).tolist()
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            out.update(zip(some, map(ids.__getitem__, map(slice, edges, edges[1:])), strict=False))
+        return out
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text with the end id, as little-endian unsigned 32-bit numbers."""
+        if len(self.known) > KNOWN_PARTS:
+            self.known.clear()
+        every, known = [self._parts(text or "") for text in texts], self.known
+        fresh = {part: None for own in every for part in own if part not in known}
+        split = [_SEAM.split(part) if self.may_cut and not any(token in part for token in self.added) else [part] for part in fresh]
+        of_word = self._encode(list({word: None for own in split for word in own}))
+        known.update((part, of_word[own[0]] if len(own) == 1 else b"".join([of_word[word] for word in own])) for part, own in zip(fresh, split, strict=True))
+        end = END_ID.to_bytes(4, "little")
+        return [b"".join([known[part] for part in own]) + end for own in every]
+
+
+def encoder(name: str = "byte_bpe_50k") -> Encoder:
+    if name not in _encoders:
+        _encoders[name] = Encoder(name)
+    return _encoders[name]
 
 
 def token_ids(text: str | None, name: str = "byte_bpe_50k") -> np.ndarray:
-    """Ids of one text with the end id, as little-endian unsigned 32-bit numbers."""
-    if not text:
-        return np.array([END_ID], dtype="<u4")
-    added = any(token in text for token in added_tokens(name))
-    try:
-        ids = reference_encoder(name).encode(text, add_special_tokens=False).ids if added else encoder(name).encode_ordinary(text)
-    except (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError):
-        raise
-    except BaseException:  # noqa: BLE001  its regular expression engine gives up by a panic, which is no Exception
-        ids = reference_encoder(name).encode(text, add_special_tokens=False).ids
-    out = np.empty(len(ids) + 1, dtype="<u4")
-    out[:-1] = ids
-    out[-1] = END_ID
-    return out
+    """Ids of one text with the end id."""
+    return np.frombuffer(encoder(name).many([text])[0], dtype="<u4")
 
 
 def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -126,20 +138,24 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """One row for each piece of each document, without a place in a sequence yet."""
+    """One row for each piece of each document, without a place in a sequence yet; draw is random and the same for all pieces of a row."""
     ship(docs.sparkSession)
 
     def run(batches):
+        random = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            rows: list[list[int]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_ids(text.as_py(), tokenizer)
-                for start, length, checksum in cut(ids, capacity):
-                    for column, value in zip(rows, (doc_id, start, length, checksum, len(ids)), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                rows: list[list[int]] = [[], [], [], [], [], []]
+                draws = random.integers(0, 1 << 62, part.num_rows).tolist()
+                every = encoder(tokenizer).many(part.column(1).to_pylist())
+                for doc_id, draw, ids in zip(part.column(0).to_pylist(), draws, every, strict=True):
+                    for start, length, checksum in cut(np.frombuffer(ids, dtype="<u4"), capacity):
+                        for column, value in zip(rows, (doc_id, start, length, checksum, len(ids) // 4, draw), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{PIECES}, draw long")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, tokenizer: str = "byte_bpe_50k") -> DataFrame:
@@ -157,5 +173,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         frame["padded_to"] = np.where(filled & (filled - 1), capacity, filled)
         return frame[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_to"]]
 
-    dealt = cutted.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = cutted.withColumn("pack_group", F.pmod("draw", F.lit(groups))).drop("draw")
     return dealt.groupBy("pack_group").applyInPandas(run, PACKED)
