@@ -92,3 +92,13 @@ def test_empty_tables(spark, documents):
     assert dc.contamination(documents([]), items(spark, ["a b c d e"])).count() == 0
     assert dc.contamination(documents(["a b c d e"]), items(spark, [])).count() == 0
     assert dc.without_contaminated(documents(["a b c d e"]), items(spark, [])).count() == 1
+
+
+def test_largest_coverage_of_an_id(spark, documents):
+    item = " ".join(f"w{i}" for i in range(20))
+    half, most = " ".join(item.split()[:12]), " ".join(item.split()[:18])
+    for texts in ([half, most], [most, half]):
+        rows = dc.contamination(documents(texts, [5, 5]), items(spark, [item, item, "other words of no use here"], [1, 1, 1])).collect()
+        assert [(r["doc_id"], r["item_id"], r["matched_words"], r["coverage"]) for r in rows] == [(5, 1, 18, 0.9)]
+    repeated = items(spark, [item] * 500, [1] * 500)
+    assert len(list(dc._blocks(repeated, "item_id", "text", 4, 200))) == 1

@@ -141,6 +141,13 @@ def test_word_hashes_match_words():
         assert at == len(texts) and len(set(values.values())) == len(values)
 
 
+@pytest.mark.parametrize("size", [shingles.SLAB_BYTES - 1, shingles.SLAB_BYTES, shingles.SLAB_BYTES + 1, shingles.SLAB_BYTES + 5, 2 * shingles.SLAB_BYTES])
+def test_words_as_long_as_a_slab(size):
+    word = "q" * size
+    found = [np.concatenate([words for _, _, words, _ in shingles.slabs(pa.array([text]))]).tolist() for text in (word, word + " ", " " + word, word + " a", "a " + word + "\n")]
+    assert len({own[0] if len(own) == 1 or i == 3 else own[1] for i, own in enumerate(found)}) == 1
+
+
 def test_block_links():
     chance = np.random.default_rng(3)
     rows = [(i, i % 3, np.unique(chance.integers(0, 40, 30).astype(np.uint64))) for i in range(40)]

@@ -9,8 +9,10 @@ The benchmark is read in blocks of bounded size, one scan of the texts each, so
 bounded however large it is.
 
 Defined cases: null and empty texts match nothing; an item with fewer than min_match words is never matched; equal items
-are reported each; repeated rows are reported once for each (id, item); empty tables give no rows; other columns are
-ignored.
+are reported each; repeated rows, of texts or of items, are reported once for each (id, item), and where rows of one id
+have different texts the largest coverage counts; of equally long matches the first in the text, then in the item, is
+marked first; very long texts are read whole, in parts of bounded size; a null id is an id; empty tables give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -179,7 +181,7 @@ def _matches(block: Seeds, maybe: np.ndarray, texts: pa.Array, coverage: float)
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_match: int, block_bytes: int) -> Iterator[Seeds]:
     """The seeds of the benchmark, a part of about block_bytes of text at a time."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for block in range(blocks):
@@ -210,7 +212,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         found = docs.mapInArrow(run, REPORT)
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["doc_id", "item_id"]) if out is not None else spark.createDataFrame([], REPORT)
+    if out is None:
+        return spark.createDataFrame([], REPORT)
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched_words", "item_words", "n_tiles")).alias("best"))
+    return best.select("doc_id", "item_id", "best.*")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

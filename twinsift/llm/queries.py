@@ -19,8 +19,7 @@ def op1_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    read = transport.read_media(transport.to_media(docs))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return transport.read_media(materialize(transport.to_media(docs), "media"))
 
 
 def op3_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

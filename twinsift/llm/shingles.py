@@ -75,6 +75,10 @@ def _long_text_words(data: np.ndarray, breaks: np.ndarray) -> np.ndarray:
                 while stop < len(data) and not breaks[data[stop]]:
                     ahead = np.flatnonzero(breaks[data[stop : stop + SLAB_BYTES]])
                     stop = stop + int(ahead[0]) if len(ahead) else min(len(data), stop + SLAB_BYTES)
+                if stop - at <= SLAB_BYTES:  # it fills the slab, and is hashed as elsewhere
+                    parts.append(_slab_words(data[at:stop], np.array([0, stop - at]), breaks)[0])
+                    at = stop
+                    continue
                 value = np.zeros(1, dtype=np.uint64)
                 for piece in range(at, stop, SLAB_BYTES):
                     block = data[piece : min(stop, piece + SLAB_BYTES)]

@@ -6,8 +6,13 @@ a random-access point. `demux` is a general reader of such streams: it parses th
 continuity counters, drops repeated packets, reassembles elementary packets and returns payload, timestamps and
 random-access points.
 
+Tables may span several packets, and several sections may share one; a table in several sections is read whole.
+
 Defined cases: a null text counts as empty, and an empty payload is padded to 64 zero bytes; equal texts give equal
-media; a broken stream raises TransportError in strict mode and is counted in the result otherwise.
+media, whatever their ids (no ties arise); repeated rows give a row each; a null id is kept; a very long text is one
+stream of as many packets as it needs, with all its timestamps and random-access points listed; empty tables give no rows;
+columns other than the two named ones are ignored, so theirs can't clash; null media give null columns; a broken stream
+raises TransportError in strict mode and is counted in the result otherwise.
 """
 
 from __future__ import annotations
@@ -148,28 +153,49 @@ def mux(payload: bytes, length: int | None = None) -> bytes:
 
 
 def _sections(rows: np.ndarray, pid: int, table: int) -> list[bytes]:
-    """Bodies of the checked sections of a table that fits one packet."""
-    found = []
-    for row in rows:
+    """Bodies of the checked sections of a table, in order, from the packets of its pid."""
+    found, held = [], None  # held: the section that is being gathered
+    for row in _checked(rows, Stream()):
         start = 4 + (1 + int(row[4]) if row[3] & 0x20 else 0)
         data = row.tobytes()[start:]
-        data = data[1 + data[0] :] if data else b""
-        size = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF) if len(data) >= 3 else 0
-        if size < 12 or size > len(data) or data[0] != table:
+        if row[1] & 0x40:
+            pointer, data = (data[0], data[1:]) if data else (0, b"")
+            if held is not None:
+                held += data[:pointer]
+                if 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF) > len(held):
+                    raise TransportError(f"a section of table {table} on pid {pid} is cut off")
+                found.append(held)
+            held, data = None, data[pointer:]
+            while len(data) >= 3 and data[0] != 0xFF and len(data) >= (size := 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)):
+                found.append(data[:size])
+                data = data[size:]
+            held = data if data and data[0] != 0xFF else None
+        elif held is not None:
+            held += data
+            if len(held) >= 3 and len(held) >= (size := 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)):
+                found.append(held[:size])
+                held = None
+    bodies = {}
+    for data in found:
+        size = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)
+        if size < 12 or data[0] != table:
             raise TransportError(f"no section of table {table} on pid {pid}")
         if section_crc(data[:size]):
             raise TransportError(f"checksum of table {table}")
-        found.append(data[8 : size - 4])
-    return found
+        if data[5] & 1:  # in force now
+            bodies[data[6]] = data[8 : size - 4]
+    if held is not None or not bodies:
+        raise TransportError(f"no section of table {table} on pid {pid}")
+    return [bodies[number] for number in sorted(bodies)]
 
 
 def _tables(packets: np.ndarray, pids: np.ndarray, found: Stream) -> None:
-    for body in _sections(packets[(pids == 0) & (packets[:, 1] & 0x40 > 0)], 0, PAT_TABLE):
+    for body in _sections(packets[pids == 0], 0, PAT_TABLE):
         for at in range(0, len(body) - 3, 4):
             if program := int.from_bytes(body[at : at + 2], "big"):
                 found.programs[program] = int.from_bytes(body[at + 2 : at + 4], "big") & NULL_PID
     for pid in found.programs.values():
-        for body in _sections(packets[(pids == pid) & (packets[:, 1] & 0x40 > 0)], pid, PMT_TABLE):
+        for body in _sections(packets[pids == pid], pid, PMT_TABLE):
             at = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
             while at + 5 <= len(body):
                 size = int.from_bytes(body[at + 3 : at + 5], "big") & 0x0FFF
@@ -244,7 +270,7 @@ def describe(found: Stream) -> str:
     """A short text feature of a stream."""
     first, last = (found.pts[0], found.pts[-1]) if found.pts else ("-", "-")
     values = np.frombuffer(found.payload, dtype=np.uint8)
-    return f"programs={len(found.programs)};units={len(found.pts)};random_access={','.join(map(str, found.random_access[:8]))}/{len(found.random_access)};pts={first}-{last};breaks={found.discontinuities};mean={values.mean() if len(values) else 0:.3f}"
+    return f"programs={len(found.programs)};units={len(found.pts)};random_access={','.join(map(str, found.random_access))}/{len(found.random_access)};pts={first}-{last};breaks={found.discontinuities};mean={values.mean() if len(values) else 0:.3f}"
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +285,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 media = [mux(pad(data), len(data)) for data in (value.as_py() or b"" for value in texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
@@ -276,9 +302,12 @@ def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
             rows = []
             for doc_id, value in zip(batch.column(0), batch.column(1), strict=True):
                 data = value.as_py()
+                if data is None:
+                    rows.append((doc_id.as_py(), *[None] * (len(names) - 1)))
+                    continue
                 found = demux(data)
                 rows.append((doc_id.as_py(), found.length, len(found.payload), hashlib.sha256(found.payload).hexdigest(), zlib.crc32(found.payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), describe(found), found.pts, found.random_access))
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, READ)
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, READ)
