@@ -1,4 +1,9 @@
-"""Connected components of a link table, distributed: alternating large-star and small-star rounds."""
+"""Connected components of a link table, distributed: alternating large-star and small-star rounds.
+
+A round joins the links of each node with the node's smallest neighbour. A node of very many links would bring them all
+to one task, so those that have more than one in HOT_SHARE of all links (there can't be more than 2 * HOT_SHARE of them)
+are split by their neighbour into SALTS parts.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +12,29 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+HOT_SHARE, SALTS, LEAST_HOT = 500, 64, 100
+
+
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """links (u, v) with m, the smallest v of the same u."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    hot = [row["u"] for row in links.groupBy("u").count().where(F.col("count") > max(LEAST_HOT, total // HOT_SHARE)).select("u").collect()]
+    if not hot:
+        return links.join(least, "u")
+    is_hot = F.col("u").isin(hot)
+    dealt = links.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    copies = least.select("u", "m", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return dealt.join(copies, ["u", "salt"]).select("u", "v", "m")
+
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    met = _with_least(edges, total)
+    return met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,8 +46,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "edges")
     before = _state(edges)
-    while True:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+    while before[0]:
+        larger = materialize(_large_star(edges, before[0]), "edges")
+        edges = materialize(_small_star(larger, before[0]), "edges")
         after = _state(edges)
         if after == before:
             break

@@ -3,25 +3,34 @@
 1. Texts with equal shingle sets become one class, known by a 64-bit digest of the set.
 2. Similar classes are partitioned into groups: classes that share one of a few minimum hashes are compared with one
    representative each; groups are the connected components at a low similarity, and cores within them those at the
-   threshold. Thousands of near copies thus cost a comparison or two each. Within a group, every class outside its
-   largest core is compared with all classes of other cores, in blocks of bounded size; pairs within a core need no
-   further work, since only connections are asked for.
-3. The matrix holds, for each key, the groups of which a class has it. Keys are pairs of tokens that are neighbours in a
-   set's hash order: each token in which two sets differ breaks at most two of them, so two sets at or above the
-   threshold share at least (2t - 1) n of the n - 1 keys of the larger one. By prefix filtering under any common order
-   of keys, they share one within the first 2 (1 - t) n keys of the larger and 3 (1 - t) / (1 + t) n of the smaller, so a
-   group without a key in common with a query's prefix can't hold a match. A passage that many texts share rarely makes
-   two neighbours in both of two texts, and keys of two tokens that a sample shows to be frequent come last in the order.
-4. Only groups that qualify are opened: their classes are paired key by key with the query's, pairs outside the size bound
-   are dropped, and the rest are compared exactly. Their links complete the components.
-
-Every link between different groups is found, whatever the grouping was; grouping and the order of keys only decide how
-much work it takes. What stays quadratic is a passage that fills most of many texts which aren't similar enough to link. Postings travel as packed arrays, one row for each task and bucket of tokens.
+   threshold. Thousands of near copies thus cost a comparison or two each. A class without a neighbour is a group by itself.
+3. The matrix stores each group's token union, with the number of members that have each token, in slices of bounded size
+   (a group of one class is its own union). Two bounds come from it:
+   - Within a group, no other member can share a token that only one member has. A class with less than the threshold's
+     share of tokens that two members or more have can't link to any other member and is done.
+   - Between groups, a class can't link to a member of a group whose union holds less than the threshold's share of its
+     tokens. Which pairs of groups may reach it is found by prefix keys: pairs of tokens that are neighbours in a set's
+     hash order. Each token in which two sets differ breaks at most two of them, so two sets at or above the threshold
+     share at least (2t - 1) n of the n - 1 keys of the larger one, and by prefix filtering under any common order of keys
+     they share one within the first 2 (1 - t) n keys of the larger and 3 (1 - t) / (1 + t) n of the smaller. For groups
+     that share such a key, the classes of the one with fewer members are queries to the other, and each query's overlap
+     with the union is counted.
+4. Only groups that qualify are opened, and their members compared with the query exactly. Within a group, the classes
+   that are left outside its largest core are compared with the members left in other cores, in blocks of bounded size;
+   pairs within a core need no further work, since only connections are asked for.
+
+Every link between different components is found, whatever the grouping was; grouping and the order of keys only decide
+how much work it takes. A passage that many texts share rarely makes two neighbours in both of two texts, and keys of two
+tokens that a sample shows to be frequent come last in the order. What stays quadratic: classes of one group that share
+almost enough tokens with each other, and texts of different groups that consist mostly of the same passages. Postings
+travel as packed arrays, one row for each task and bucket of keys; keys of frequent tokens, the only ones that a large
+share of all texts can have in common, are dealt by their class instead, so no bucket holds all of such a key's postings.
 
 Defined cases: texts without words (null ones too) have no shingles and link with nothing; with fewer words than the
 width the whole sequence is the one shingle; repeated rows are one class and each returned; a null id links others but
-isn't a component's name unless all ids are null; an empty table gives no rows; other columns are ignored. Set digests
-and shingle hashes have 64 bits, so n distinct sets collide with probability n * n / 2 ** 65.
+isn't a component's name unless all ids are null; very long texts are read whole, in parts of bounded size; a pair of
+just the threshold is linked; an empty table gives no rows; other columns are ignored. Set digests and shingle hashes
+have 64 bits, so n distinct sets collide with probability n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -33,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, temporaries
+from .bitmap import bitmap_of, rows_that_may_hold
 from .graph import components
 from .shingles import STEP, mix, shingle_sets
 
@@ -41,7 +51,7 @@ KEYS = 6
 SAMPLE_TEXTS, FREQUENT_TOKENS, FREQUENT_COUNT = 16_384, 1 << 16, 3
 BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 1_000_000
 GROUP_PERCENT, QUERY_BLOCK, MEMBER_BLOCK = 35, 512, 2048
-FILTER_BITS = 23
+SLICE_TOKENS = 500_000
 NO_ID = (1 << 63) - 1  # stands for a null id: the last to name a component
 
 _ODD = [np.uint64(2 * x + 1) for x in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x106689D45497FDB5, 0x3C6EF372FE94F82A, 0x27220A95F3A1B7C9)]
@@ -80,35 +90,12 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cid long, keys array<long>")
 
 
-def _filter_bits(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mixed = mix(values.view(np.uint64) + np.uint64(1))
-    return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (mixed & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that has the bits of every id of the one column of ids."""
-
-    def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
-            for index in _filter_bits(batch.column(0).to_numpy(zero_copy_only=False)):
-                bits[index] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
-
-    found = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for row in ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        found |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return np.unpackbits(found).astype(bool)
-
-
-def _sets_of(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
-    """(cid, tokens) of the texts whose ids pass the bitmap."""
+def _sets_of(docs: DataFrame, width: int) -> DataFrame:
+    """(cid, tokens) of each text that has words."""
 
     def run(batches):
         for batch in batches:
-            one, two = _filter_bits(batch.column(0).to_numpy(zero_copy_only=False))
-            picked = batch.filter(pa.array(wanted[one] & wanted[two]))
-            for _, _, tokens, sizes in shingle_sets(picked.column(1), width):
+            for _, _, tokens, sizes in shingle_sets(batch.column(1), width):
                 full = np.flatnonzero(sizes)
                 at = _starts(sizes)
                 blobs = [tokens[at[i] : at[i] + sizes[i]].tobytes() for i in full]
@@ -117,11 +104,15 @@ def _sets_of(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "cid long, tokens binary")
 
 
-def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(cid, tokens) of the classes that occur in pairs (u, v), and of a few others."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid").select("rep")
-    wanted = _id_filter(materialize(needed, "needed"))
-    return materialize(_sets_of(docs, width, wanted).dropDuplicates(["cid"]), "sets", codec="none")
+def fetch_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, tokens) of the classes in the column cid of `wanted`, and of a few others."""
+    needed = materialize(wanted.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("rep"), "needed")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(needed))
+    return materialize(_sets_of(rows_that_may_hold(docs.select("doc_id", "text"), "doc_id", bits, True), width).dropDuplicates(["cid"]), "sets", codec="none")
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("cid"))
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int, low: int | None = None) -> DataFrame:
@@ -161,8 +152,58 @@ def block_links(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[
     return out
 
 
-def _links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between different cores of the same group; members has (cid, group, core)."""
+def _cut_by_slice(sets: DataFrame) -> DataFrame:
+    """(group, slice, cid, own, tokens): the tokens of sets (group, slices, cid, own, tokens), dealt by their first bits."""
+
+    def run(batches):
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for group, slices, cid, own, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                tokens = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
+                at = (tokens >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+                edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
+                for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    for column, value in zip(out, (group, int(at[low]), cid, own, tokens[low:high].tobytes()), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["group", "slice", "cid", "own", "tokens"])
+
+    return sets.select("group", "slices", "cid", "own", "tokens").mapInArrow(run, "group long, slice long, cid long, own boolean, tokens binary")
+
+
+def token_union(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of a slice of a group, how many members have each, how many tokens of each member another one has too)."""
+    sizes = np.array([len(blob) // 8 for blob in frame["tokens"]], dtype=np.int64)
+    tokens, where, counts = np.unique(np.frombuffer(b"".join(frame["tokens"]), dtype=np.uint64), return_inverse=True, return_counts=True)
+    common = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=counts[where] > 1, minlength=len(sizes)).astype(np.int64)
+    return tokens, counts, common
+
+
+def _matrix(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of members (cid, group, core, n): the token unions (group, slice, slices, tokens, counts), and (cid, common), the
+    number of a class's tokens that another member of its group has too."""
+    sliced = members.groupBy("group").agg(F.ceil(F.sum("n") / SLICE_TOKENS).alias("slices"))
+    sliced = materialize(sliced, "slices")  # a join of tables, so that Spark can split a large group
+    parts = _cut_by_slice(members.join(sliced, "group").join(sets, "cid").withColumn("own", F.lit(True)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        tokens, counts, common = token_union(frame)
+        row = {"group": frame["group"].iloc[0], "slice": frame["slice"].iloc[0], "tokens": tokens.tobytes(), "counts": counts.astype("<u4").tobytes()}
+        return pd.DataFrame([row | {"cids": frame["cid"].to_numpy(np.int64).tobytes(), "common": common.tobytes()}])
+
+    def shared(batches):
+        for batch in batches:
+            columns = [pa.array(np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.int64)) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "common"])
+
+    made = materialize(parts.groupBy("group", "slice").applyInPandas(run, "group long, slice long, tokens binary, counts binary, cids binary, common binary"), "unions", codec="none")
+    common = made.select("cids", "common").mapInArrow(shared, "cid long, common long").groupBy("cid").agg(F.sum("common").alias("common"))
+    return made.select("group", "slice", "tokens", "counts").join(sliced, "group"), common
+
+
+def _links_within(members: DataFrame, sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different cores of the same group; members has (cid, group, core, n)."""
+    members = materialize(members.join(common, "cid").where(F.col("common") * 100 >= F.col("n") * percent).select("cid", "group", "core"), "members-left")
     cores = members.groupBy("group", "core").agg(F.count(F.lit(1)).alias("size"))
     groups = cores.groupBy("group").agg(F.max_by("core", F.struct("size", "core")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most")).where(F.col("all") > F.col("most"))
     groups = groups.select("group", "largest", F.ceil((F.col("all") - F.col("most")) / QUERY_BLOCK).alias("query_blocks"), F.ceil(F.col("all") / MEMBER_BLOCK).alias("member_blocks"))
@@ -183,6 +224,26 @@ def _links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return queries.unionByName(others).groupBy("group", "q", "m").applyInPandas(run, "u long, v long")
 
 
+def _qualified(asked: DataFrame, sets: DataFrame, unions: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the queries asked (cid, group) whose overlap with the group's token union reaches the bound."""
+    sliced = unions.select("group", "slices").distinct()
+    parts = _cut_by_slice(asked.join(sliced, "group").join(sets, "cid").withColumn("own", F.lit(False)))
+    blocks = parts.groupBy("group", "slice").agg(F.ceil(F.sum(F.octet_length("tokens")) / (8 * SLICE_TOKENS)).alias("blocks"))
+    blocks = materialize(blocks, "query-blocks")
+    queries = parts.join(blocks, ["group", "slice"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).drop("blocks", "own")
+    held = unions.join(blocks, ["group", "slice"]).select("group", "slice", F.lit(None).cast("long").alias("cid"), "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        is_query = frame["cid"].notna()
+        union = np.concatenate([np.frombuffer(blob, dtype=np.uint64) for blob in frame["tokens"][~is_query]] or [np.zeros(0, dtype=np.uint64)])
+        found = [len(np.intersect1d(np.frombuffer(blob, dtype=np.uint64), union, assume_unique=True)) for blob in frame["tokens"][is_query]]
+        return pd.DataFrame({"group": frame["group"][is_query].astype("int64"), "cid": frame["cid"][is_query].astype("int64"), "overlap": np.array(found, dtype=np.int64)})
+
+    counted = queries.unionByName(held).groupBy("group", "slice", "block").applyInPandas(run, "group long, cid long, overlap long")
+    total = counted.groupBy("group", "cid").agg(F.sum("overlap").alias("overlap")).join(classes.select("cid", "n"), "cid")
+    return total.where(F.col("overlap") * 100 >= F.col("n") * percent).select("cid", "n", "group")
+
+
 def _size_bound(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -266,13 +327,15 @@ class _Packer:
             return
         keys, index, cids, groups = (np.concatenate(part) for part in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        at = ((keys >> np.uint64(39)) % np.uint64(self.buckets)).astype(np.int64)
+        # Keys of frequent tokens have the first bit: they go to buckets after the others, by their class.
+        late = keys >> np.uint64(63) > 0
+        at = np.where(late, self.buckets + (mix(cids.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64), ((keys >> np.uint64(39)) % np.uint64(self.buckets)).astype(np.int64))
         order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(self.buckets + 1))
+        edges = np.searchsorted(at[order], np.arange(2 * self.buckets + 1))
         short = ((keys & np.uint64((1 << 39) - 1)) << np.uint64(1) | index.astype(np.uint64))[order]
         packed = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         cids, groups = cids[order], groups[order] if len(groups) else None
-        full = [i for i in range(self.buckets) if edges[i] < edges[i + 1]]
+        full = [i for i in range(2 * self.buckets) if edges[i] < edges[i + 1]]
         cut = lambda values: [values[edges[i] : edges[i + 1]].tobytes() for i in full]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "keys": cut(packed), "cids": cut(cids), "groups": pa.array([None] * len(full) if groups is None else cut(groups), pa.binary())})
 
@@ -281,7 +344,7 @@ _PACKED = "bucket long, keys binary, cids binary, groups binary"
 
 
 def _shared_keys(docs: DataFrame, grouped_sets: DataFrame, buckets: int, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(key, group, cid, is_index) for prefix keys that classes of more than one group have.
+    """(key, group, cid, is_index) for prefix keys that classes of more than one group have, and for frequent ones.
 
     Every class emits its keys as a group of its own; those of larger groups (cid, tokens, group) emit them again with
     the group's name, which counts.
@@ -324,31 +387,57 @@ def _shared_keys(docs: DataFrame, grouped_sets: DataFrame, buckets: int, width:
         first = np.ones(len(keys), dtype=bool)
         first[1:] = (keys[1:] != keys[:-1]) | (cids[1:] != cids[:-1])
         keys, cids, groups, index = keys[first], cids[first], groups[first], index[first]
+        bucket = int(frame["bucket"].iloc[0])
+        if bucket >= buckets:  # it has only some classes of its keys; a join tells which lie in several groups
+            return pd.DataFrame({"key": ~keys, "group": groups, "cid": cids, "is_index": index})
         number = np.cumsum(np.concatenate(([True], keys[1:] != keys[:-1]))) - 1 if len(keys) else keys
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else keys
         across = (np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts))[number] if len(keys) else first
-        return pd.DataFrame({"key": keys[across] + (int(frame["bucket"].iloc[0]) << 39), "group": groups[across], "cid": cids[across], "is_index": index[across]})
+        return pd.DataFrame({"key": keys[across] + (bucket << 39), "group": groups[across], "cid": cids[across], "is_index": index[across]})
 
     dealt = docs.mapInArrow(alone, _PACKED).unionByName(grouped_sets.mapInArrow(together, _PACKED))
     return dealt.groupBy("bucket").applyInPandas(runs, "key long, group long, cid long, is_index boolean")
 
 
-def _open_groups(docs: DataFrame, classes: DataFrame, grouped_sets: DataFrame, total: int, width: int, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) of classes of different groups that have a prefix key in common and near sizes."""
+def _near_groups(docs: DataFrame, classes: DataFrame, grouped_sets: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+    """Pairs (group1, group2) of which classes have a prefix key in common and near sizes."""
     frequent = _frequent_tokens(docs, classes.count(), width)
     buckets = max(8, -(-2 * total * (100 - percent) // 100 // BUCKET_POSTINGS))
     shared = _shared_keys(docs, grouped_sets, buckets, width, percent, frequent)
-    rows = materialize(shared.join(classes.select("cid", "n"), "cid"), "matrix")
-    # The matrix by its columns: the groups of each key; which pairs of groups overlap.
-    matrix = rows.groupBy("key", "group").agg(F.max("is_index").alias("is_index"), F.min("n").alias("low"), F.max("n").alias("high"))
-    side = lambda name: matrix.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "is_index", "low", "high")))
-    overlaps = side(1).join(side(2), "key").where(f"group1 < group2 and (is_index1 or is_index2) and high1 * 100 >= low2 * {percent} and high2 * 100 >= low1 * {percent}")
-    qualified = materialize(overlaps.select("key", "group1", "group2"), "qualified")
-    # Open them.
-    side = lambda name: rows.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "cid", "n", "is_index"))).join(qualified, ["key", f"group{name}"])
-    opened = side(1).join(side(2), ["key", "group1", "group2"])
-    opened = opened.where(_size_bound("n1", "n2", percent) & ((F.col("is_index1") & (F.col("n1") <= F.col("n2"))) | (F.col("is_index2") & (F.col("n2") <= F.col("n1")))))
-    return materialize(opened.select(F.col("cid1").alias("u"), F.col("cid2").alias("v")).distinct(), "candidates")
+    rows = shared.join(classes.select("cid", "n"), "cid").groupBy("key", "group").agg(F.max("is_index").alias("is_index"), F.min("n").alias("low"), F.max("n").alias("high"))
+    rows = materialize(rows, "postings")
+    # Keys of just the same groups say the same; one of them is enough.
+    lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.bit_xor(F.xxhash64("group", "is_index", "low", "high")).alias("one"), F.sum(F.pmod(F.hash("group", "is_index", "low", "high"), F.lit(1 << 30))).alias("two")).where("groups > 1")
+    once = lists.groupBy("groups", "one", "two").agg(F.min("key").alias("key")).select("key")
+    rows = materialize(rows.join(once, "key"), "postings")
+    side = lambda name: rows.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "is_index", "low", "high")))
+    met = side(1).join(side(2), "key").where(f"group1 < group2 and (is_index1 or is_index2) and high1 * 100 >= low2 * {percent} and high2 * 100 >= low1 * {percent}")
+    return materialize(met.select("group1", "group2").distinct(), "near-groups")
+
+
+def _links_across(docs: DataFrame, classes: DataFrame, members: DataFrame, grouped_sets: DataFrame, unions: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between classes of different groups; members has the classes (cid, group, n) of groups of several."""
+    near = _near_groups(docs, classes, grouped_sets, total, width, percent)
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    of = lambda name: sizes.select(F.col("group").alias(f"group{name}"), F.col("members").alias(f"members{name}"))
+    near = near.join(of(1), "group1", "left").join(of(2), "group2", "left").na.fill(1, ["members1", "members2"])
+    # The group with fewer members asks, the other is asked.
+    first = F.struct("members1", "group1") <= F.struct(F.col("members2").alias("members1"), F.col("group2").alias("group1"))
+    either = lambda name, one, two: F.when(first, F.col(f"{name}{one}")).otherwise(F.col(f"{name}{two}"))
+    near = materialize(near.select(either("group", 1, 2).alias("asks"), either("members", 1, 2).alias("asking"), either("group", 2, 1).alias("group"), either("members", 2, 1).alias("asked")), "near-groups")
+    # A group of one class has the class's name and is its own union: comparing the sets is the bound.
+    alone = near.where("asked = 1").select(F.col("asks").alias("u"), F.col("group").alias("v"))
+    by_members = near.where("asked > 1 and asking > 1").select("asks", "group").join(members.select("cid", F.col("group").alias("asks")), "asks").select("cid", "group")
+    asked = materialize(near.where("asked > 1 and asking = 1").select(F.col("asks").alias("cid"), "group").unionByName(by_members), "asked")
+    sets = fetch_sets(docs, classes, _both(alone).unionByName(asked.select("cid")), width)
+    links = compare(alone, sets, percent)
+    if asked.isEmpty():
+        return materialize(links.select("u", "v"), "links")
+    opened = _qualified(asked, sets, unions, classes, percent).select(F.col("cid").alias("u"), "n", "group")
+    opened = opened.join(members.select(F.col("cid").alias("v"), F.col("n").alias("m"), "group"), "group").where(_size_bound("n", "m", percent))
+    opened = materialize(opened.select("u", "v"), "opened")
+    links = links.unionByName(compare(opened, sets.unionByName(grouped_sets.select("cid", "tokens")).dropDuplicates(["cid"]), percent))
+    return materialize(links.select("u", "v"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -363,15 +452,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = materialize(sets.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes", keep=True)
         total = classes.agg(F.sum("n")).first()[0] or 0
         pairs = _named_pairs(classes, GROUP_PERCENT)
-        near_sets = fetch_sets(docs, classes, pairs, width)
+        near_sets = fetch_sets(docs, classes, _both(pairs), width)
         near = materialize(compare(pairs, near_sets, percent, GROUP_PERCENT), "near-links")
         cores = components(near.where("linked").select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("core"))
         groups = components(near.select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("group"))
-        members = materialize(groups.join(cores, "cid", "left").select("cid", "group", F.coalesce("core", "cid").alias("core")), "groups")
-        within = materialize(_links_within(members, near_sets, percent), "links")
+        members = groups.join(cores, "cid", "left").select("cid", "group", F.coalesce("core", "cid").alias("core"))
+        members = materialize(members.join(classes.select("cid", "n"), "cid"), "groups")
+        unions, common = _matrix(members, near_sets)
+        within = materialize(_links_within(members, near_sets, common, percent), "links")
         grouped_sets = near_sets.join(members.select("cid", "group"), "cid").select("cid", "tokens", "group")
-        candidates = _open_groups(docs, classes, grouped_sets, total, width, percent)
-        across = materialize(compare(candidates, fetch_sets(docs, classes, candidates, width), percent).select("u", "v"), "links")
+        across = _links_across(docs, classes, members, grouped_sets, unions, total, width, percent)
         links = near.where("linked").select("u", "v").unionByName(within).unionByName(across)
         grouped = materialize(components(links), "components", keep=True)
     named = classes.select("cid", "rep").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
@@ -385,26 +475,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of docs, all columns, of which each component in `found` (of near_duplicates) keeps one: of its smallest id.
 
-    Ids that go or are repeated are few, so a bitmap of fixed size tells the other rows, which stay without a shuffle;
+    A bitmap of the ids that go or are repeated tells the other rows, which stay without a shuffle;
     what hits it is decided by a join. Rows whose id is null or repeated are decided by their own shingle sets, so only
     rows of one component replace each other; those without shingles all stay.
     """
     with temporaries():
         unclear = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"), "unclear", keep=True)
         marked = materialize(found.where("doc_id <> component_id").select("doc_id").union(unclear).where("doc_id is not null"), "marked")
-        bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(marked)))
-    place = docs.columns.index(id_col)
-
-    def rows(hit: bool):
-        def run(batches):
-            wanted = np.unpackbits(bits.value).astype(bool)
-            for batch in batches:
-                ids = batch.column(place).cast(pa.int64())
-                one, two = _filter_bits(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(((wanted[one] & wanted[two]) | ids.is_null().to_numpy(zero_copy_only=False)) == hit))
-
-        return docs.mapInArrow(run, docs.schema)
-
+        bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(marked))
+    rows = lambda hit: rows_that_may_hold(docs, id_col, bits, hit)
     named = found.where("doc_id = component_id").select("doc_id").join(unclear, "doc_id", "left_anti")
     clear = rows(True).join(named.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
     kept = rows(False).unionByName(clear.select(*docs.columns))
