@@ -109,3 +109,37 @@ def test_plug_in():
         assert by_name("Word\n1\n2", "x.toy")[0]["all"]["tokens"] == ["word"]
     finally:
         chunker.LANGUAGES.pop(0)
+
+
+def test_many_faults():
+    good = "def good(a):\n    b = a\n    return b\n"
+    for bad in ("x = = 1\n", "def (:\n", ")\n", "    y = 1 +\n", "a\0b\n"):
+        for count in (30, 60, 400):
+            found, errors = by_name(good + bad * count + "@dec\n" + good.replace("good", "last"), "a.py")
+            assert set(found) == {"good", "last"} and len(errors) >= count // 2
+            assert found["last"]["start_line"] in (count + 4, count + 5)
+    assert parse_source("\0", "a.py")[0] == [] and parse_source("(" * 5000 + "\n" + good, "a.py")[0][0]["function_name"] == "good"
+    assert len(parse_source(")\n" * 50, "a.ts")[1]) == 50
+
+
+class Lines(chunker.Language):
+    """A language of the test: every file is one function."""
+
+    name, extensions = "lines", (".lines",)
+
+    def parse(self, text):
+        from twinsift.chunker.tree import FUNCTION, OTHER, Function, Node, Parsed
+
+        return Parsed(Node(OTHER, 0, len(text), [Node(FUNCTION, 0, len(text), [], Function(text.split()[0]))]), [])
+
+
+def test_registered_languages_reach_executors(spark):
+    chunker.register(Lines())
+    try:
+        rows = chunker.parse_files(spark.createDataFrame([("a.lines", "first\nb\nc\n")], "file_path string, source string")).collect()
+        assert [(r["function_name"], r["error"]) for r in rows] == [("first", None)]
+        chunker.register_sql(spark, "chunk_lines")
+        assert spark.sql("SELECT function_name FROM chunk_lines('a.lines', 'other\\nb\\nc\\n')").first()[0] == "other"
+    finally:
+        chunker.LANGUAGES.pop(0)
+    assert chunker.parse_files(spark.createDataFrame([("a.lines", "x\ny\nz\n")], "file_path string, source string")).first()["error"] == "Unsupported file: a.lines"

@@ -38,6 +38,14 @@ def test_signature_hash_ignores_case_and_space(spark):
     assert found == plain_hash("Load", [("x", "map<K,V>"), ("y", "ANY")], "void")
 
 
+def test_signature_hash_knows_all_white_space(spark):
+    for space in ("\t", "\n", "\r\n", "\x0b", "\x85", "\u00a0", "\u2003", "\u3000", "\x1c"):
+        params = F.array(F.struct(F.lit("a").alias("name"), F.lit(f"Map<{space}K,{space}V>").alias("type")))
+        found = one(spark, scalars.signature_hash(F.lit(f"{space}Foo{space}"), params, F.lit(f"{space}int")))
+        assert found == plain_hash(f"{space}Foo{space}", [("a", f"Map<{space}K,{space}V>")], f"{space}int")
+        assert (found == plain_hash("foo", [("a", "map<k,v>")], "int")) == (space != "\x1c")
+
+
 def test_line_count(spark):
     assert [one(spark, scalars.line_count(F.lit(a), F.lit(b))) for a, b in ((3, 5), (5, 5), (6, 2))] == [3, 1, 1]
 

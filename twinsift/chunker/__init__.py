@@ -23,20 +23,20 @@ def register(language: Language) -> None:
     LANGUAGES.insert(0, language)
 
 
-def language_of(path: str) -> Language | None:
+def language_of(path: str, languages: list[Language] | None = None) -> Language | None:
     name = path.rsplit("/", 1)[-1]
-    return next((x for x in LANGUAGES if name.endswith(x.extensions) and not name.startswith(tuple(e for e in x.extensions if name == e))), None)
+    return next((x for x in (LANGUAGES if languages is None else languages) if name.endswith(x.extensions) and not name.startswith(tuple(e for e in x.extensions if name == e))), None)
 
 
-def is_source(path: str) -> bool:
+def is_source(path: str, languages: list[Language] | None = None) -> bool:
     """Whether a file's name is one of a language's and not excluded by it."""
-    language = language_of(path)
+    language = language_of(path, languages)
     return language is not None and not language.is_excluded(path.rsplit("/", 1)[-1])
 
 
-def parse_source(text: str, path: str) -> tuple[list[dict], list[str]]:
-    """(chunks, errors) of a file's text."""
-    language = language_of(path)
+def parse_source(text: str, path: str, languages: list[Language] | None = None) -> tuple[list[dict], list[str]]:
+    """(chunks, errors) of a file's text, by the registered languages unless others are given."""
+    language = language_of(path, languages)
     if language is None:
         return [], [f"Unsupported file: {path}"]
     chunker = Chunker(path, text, language.parse(text), language)
@@ -46,15 +46,20 @@ def parse_source(text: str, path: str) -> tuple[list[dict], list[str]]:
 PARSED = T.StructType([*CHUNK.fields, T.StructField("error", T.StringType())])
 
 
-def parse_files(files: DataFrame, path_col: str = "file_path", text_col: str = "source") -> DataFrame:
-    """Chunks of all files (see PARSED), and a row with an error for each fault; a null text is one."""
+def parse_files(files: DataFrame, path_col: str = "file_path", text_col: str = "source", excluded: bool = True) -> DataFrame:
+    """Chunks of all files (see PARSED), and a row with an error for each fault; a null text is one.
+
+    Without `excluded`, files that their language leaves out by name give nothing.
+    """
     ship(files.sparkSession)
-    names = [field.name for field in PARSED.fields]
+    names, languages = [field.name for field in PARSED.fields], list(LANGUAGES)  # the driver's, as executors have their own list
 
     def rows(path: str, text: str | None):
+        if not excluded and not is_source(path, languages):
+            return []
         if text is None:
             return [{"file_path": path, "error": f"Unreadable file: {path}"}]
-        chunks, errors = parse_source(text, path)
+        chunks, errors = parse_source(text, path, languages)
         return [*chunks, *({"file_path": path, "error": error} for error in errors)]
 
     def run(batches):
@@ -71,11 +76,12 @@ def parse_files(files: DataFrame, path_col: str = "file_path", text_col: str = "
 def register_sql(spark: SparkSession, name: str = "chunk_source") -> None:
     """A table function for SQL: chunk_source(path, text)."""
     ship(spark)
+    languages = list(LANGUAGES)
 
     @F.udtf(returnType=PARSED)
     class ChunkSource:
         def eval(self, path: str, text: str):
-            chunks, errors = parse_source(text, path) if text is not None else ([], [f"Unreadable file: {path}"])
+            chunks, errors = parse_source(text, path, languages) if text is not None else ([], [f"Unreadable file: {path}"])
             for row in [*chunks, *({"file_path": path, "error": error} for error in errors)]:
                 params = None if row.get("params") is None else [(p["name"], p["type"]) for p in row["params"]]
                 yield tuple(params if field.name == "params" else row.get(field.name) for field in PARSED.fields)

@@ -275,7 +275,7 @@ class Cursor:
 
     def errors(self) -> list[tuple[int, str]]:
         out = []
-        for at in sorted(self.unmatched)[:20]:
+        for at in sorted(self.unmatched):
             start = self.tokens[at].start
             end = self.text.find("\n", start)
             out.append((start, self.text[start : len(self.text) if end < 0 else end]))

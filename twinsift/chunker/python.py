@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import ast
 import io
+import itertools
 import keyword
+import re
 import tokenize
+import warnings
 
 from .tree import BLOCK, CONTROL, FUNCTION, OTHER, PARENT, Function, Language, Node, Parsed
 
-RETRIES = 50
+#: After so many faults a file is also read statement by statement.
+MANY_FAULTS = 50
 
+#: Lines at which a statement of a module begins, where no decorator stands before them.
+_TOP = re.compile(r"(?:(?:async\s+)?def|class|import|from)\s|@")
 _PARENTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.With, ast.AsyncWith)
 
 
@@ -48,22 +54,17 @@ class Python(Language):
         return not name.startswith("_")
 
     def parse(self, text: str) -> Parsed:
-        errors, lines = [], text.split("\n")
-        for _ in range(RETRIES):
-            try:
-                tree = ast.parse("\n".join(lines))
-                break
-            except (SyntaxError, ValueError) as error:
-                at = min(max(1, getattr(error, "lineno", None) or 1), len(lines)) - 1
-                if not lines[at].strip():
-                    at = max((i for i in range(at) if lines[i].strip()), default=at)
-                offset = sum(len(line) + 1 for line in text.split("\n")[:at])
-                errors.append((offset, lines[at].strip()))
-                indent = len(lines[at]) - len(lines[at].lstrip())
-                again = lines[at].strip() == "pass"
-                lines[at] = "" if again else lines[at][:indent] + "pass"
-        else:
-            return Parsed(Node(OTHER, 0, len(text)), [], errors)
+        lines = text.split("\n")
+        faults: list[int] = []
+        tree = _accepted(lines, 0, len(lines), faults, MANY_FAULTS)
+        if tree is None:  # statement by statement first, which takes time in proportion to the file
+            tops = [i for i, line in enumerate(lines) if _TOP.match(line) and not (i and lines[i - 1].startswith("@"))]
+            for low, high in zip([0, *tops], [*tops, len(lines)], strict=True):
+                _accepted(lines, low, high, faults)
+            tree = _accepted(lines, 0, len(lines), faults)
+        starts = [0, *itertools.accumulate(len(line) + 1 for line in text.split("\n"))]
+        given = text.split("\n")
+        errors = [(starts[at], given[at].strip()) for at in sorted(set(faults))]
         # Blanked lines change what the tree says of their own columns only; offsets are those of the given text.
         source = _Source(text)
         comments, identifiers = _tokens("\n".join(lines), source)
@@ -71,6 +72,36 @@ class Python(Language):
         return Parsed(root, identifiers, errors)
 
 
+def _accepted(lines: list[str], low: int, high: int, faults: list[int], most: int | None = None) -> ast.Module | None:
+    """The tree of lines[low:high], of which faulty ones become `pass` or, if that doesn't do, empty; None after `most` faults.
+
+    Every round empties a line more or shortens it to `pass`, so there is an end.
+    """
+    rounds = 0
+    while most is None or rounds < most:
+        rounds += 1
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                return ast.parse("\n".join(lines[low:high]))
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+            nulls = next((i for i in range(low, high) if "\0" in lines[i]), None)
+            line = getattr(error, "lineno", None)
+            if nulls is not None:
+                at = nulls
+            elif line is not None:
+                at = low + min(max(1, line), high - low) - 1
+            else:
+                at = max(range(low, high), key=lambda i: len(lines[i]))
+            if not lines[at].strip():
+                before = next((i for i in range(at - 1, low - 1, -1) if lines[i].strip()), None)
+                at = before if before is not None else next(i for i in range(low, high) if lines[i].strip())
+            faults.append(at)
+            indent = len(lines[at]) - len(lines[at].lstrip())
+            lines[at] = "" if lines[at].strip() == "pass" else lines[at][:indent].replace("\0", " ") + "pass"
+    return None
+
+
 def _tokens(text: str, source: _Source) -> tuple[list[int], list[tuple[int, str]]]:
     comments, names = [], []
     try:

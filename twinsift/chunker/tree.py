@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from ..functions.scalars import WHITE_SPACE
+
 MIN_LINES, MIN_BLOCK_LINES, MIN_BLOCK_STATEMENTS = 3, 6, 2
 
 FUNCTION, PARENT, CONTROL, BLOCK, EXPORT, OTHER = "function", "parent", "control", "block", "export", "other"
@@ -59,12 +62,12 @@ class Language:
 
 
 def type_hash_text(value: str | None, missing: str) -> str:
-    return "".join((missing if value is None else value).split()).lower()
+    return re.sub(f"{WHITE_SPACE}+", "", missing if value is None else value).lower()
 
 
 def signature_hash(name: str, params: list[tuple[str, str | None]], return_type: str | None) -> str:
     types = ",".join(type_hash_text(kind, "any") for _, kind in params)
-    return short_hash(f"{name.lower().strip()}({types}):{type_hash_text(return_type, 'void')}")
+    return short_hash(f"{re.sub(f'^{WHITE_SPACE}+|{WHITE_SPACE}+$', '', name).lower()}({types}):{type_hash_text(return_type, 'void')}")
 
 
 def short_hash(text: str) -> str:

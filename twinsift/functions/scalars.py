@@ -18,15 +18,19 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Unicode's white space, as a class of Java's and Python's expressions.
+WHITE_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def normal_type(value: Column, missing: str) -> Column:
     """Type text without white space, in lower case."""
-    return F.lower(F.regexp_replace(F.coalesce(value, F.lit(missing)), r"\s+", ""))
+    return F.lower(F.regexp_replace(F.coalesce(value, F.lit(missing)), f"{WHITE_SPACE}+", ""))
 
 
 def signature_hash(name: Column, params: Column, return_type: Column) -> Column:
     """First 16 hex digits over the name, the parameter types and the return type; params is an array of (name, type)."""
     types = F.array_join(F.transform(params, lambda p: normal_type(p["type"], "any")), ",")
-    return F.substring(F.sha2(F.concat(F.lower(F.trim(name)), F.lit("("), types, F.lit("):"), normal_type(return_type, "void")), 256), 1, 16)
+    return F.substring(F.sha2(F.concat(F.lower(F.regexp_replace(name, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")), F.lit("("), types, F.lit("):"), normal_type(return_type, "void")), 256), 1, 16)
 
 
 def chunk_id(path: Column, name: Column, line: Column) -> Column:

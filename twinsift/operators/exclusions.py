@@ -137,9 +137,18 @@ def stale(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return sides.join(known.select("signature_hash").distinct(), "signature_hash", "left_anti")
 
 
+GROUP_PARTS = 16
+
+
 def group_pairs(paths: DataFrame, existing: DataFrame, path_col: str = "path", group_col: str | None = None) -> DataFrame:
-    """(lo, hi): all pairs of paths of the same group that aren't in existing yet."""
-    keys = [F.lit(0).alias("__g") if group_col is None else F.col(group_col).alias("__g")]
-    one = paths.select(*keys, F.col(path_col).alias("lo")).distinct()
-    two = one.withColumnRenamed("lo", "hi")
-    return one.join(two, "__g").where("lo < hi").select("lo", "hi").distinct().join(existing, ["lo", "hi"], "left_anti")
+    """(lo, hi): all pairs of paths of the same group that aren't in existing yet.
+
+    The pairs are the result itself, so their number is a group's square; a group's paths are dealt into GROUP_PARTS
+    parts on either side, so that they are made by as many tasks as there are pairs of parts.
+    """
+    group = F.lit(0) if group_col is None else F.col(group_col)
+    one = paths.select(group.alias("__g"), F.col(path_col).alias("lo")).distinct()
+    part, every = F.pmod(F.xxhash64("lo"), F.lit(GROUP_PARTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(GROUP_PARTS - 1)))
+    low = one.withColumn("__a", part).withColumn("__b", every)
+    high = one.withColumn("__b", part).withColumn("__a", every).withColumnRenamed("lo", "hi")
+    return low.join(high, ["__g", "__a", "__b"]).where("lo < hi").select("lo", "hi").distinct().join(existing, ["lo", "hi"], "left_anti")

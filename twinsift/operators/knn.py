@@ -21,6 +21,7 @@ DECIMALS = 6
 BROADCAST_VALUES = 8 << 20  # 64 MB of doubles
 BLOCK_ROWS = 4096
 STEP_VALUES = 4 << 20
+FEW_QUERIES = 1000
 
 
 def unit_rows(vectors: list) -> np.ndarray:
@@ -106,10 +107,12 @@ def _by_blocks(queries: DataFrame, index: DataFrame, k: int, rows: int) -> DataF
 
 
 def knn_sql(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The same in SQL functions only: every query against every row, for few queries."""
+    """The same in SQL functions only, for few queries, which travel to the rows of the index; more go to `knn`."""
+    if queries.limit(FEW_QUERIES + 1).count() > FEW_QUERIES:
+        return knn(queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")), index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")), k)
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__q")).where("__q is not null")
     i = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v")).where("__v is not null")
-    pairs = i.crossJoin(q).select("query_id", "id", (F.round(cosine_distance(F.col("__q"), F.col("__v")), DECIMALS) + 0.0).alias("distance")).where("distance is not null")
+    pairs = i.crossJoin(F.broadcast(q)).select("query_id", "id", (F.round(cosine_distance(F.col("__q"), F.col("__v")), DECIMALS) + 0.0).alias("distance")).where("distance is not null")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 

@@ -29,13 +29,25 @@ def is_related(a: str, b: str) -> Column:
     return (c(a, "file_path") == c(b, "file_path")) & (child(a, b) | child(b, a) | siblings)
 
 
-def info(chunks: DataFrame, prefix: str, key: str) -> DataFrame:
+def info(chunks: DataFrame, prefix: str, key: str, names: list[str] = INFO) -> DataFrame:
     """What ranking needs of a chunk, without its vector and text."""
-    return chunks.select(F.col("id").alias(key), *(F.col(name).alias(f"{prefix}{name}") for name in INFO))
+    return chunks.select(F.col("id").alias(key), *(F.col(name).alias(f"{prefix}{name}") for name in names))
 
 
-def apply_rules(pairs: DataFrame, rules: Exclusions | None, a: str, b: str, root: str = "") -> DataFrame:
-    """Without pairs that signature, file-pair or file rules exclude."""
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The ids that occur in pairs (a_id, b_id)."""
+    return pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
+
+
+def _with_sides(pairs: DataFrame, chunks: DataFrame, names: list[str]) -> DataFrame:
+    """pairs (a_id, b_id) with columns of both chunks."""
+    for side in "ab":
+        pairs = pairs.join(chunks.select(F.col("id").alias(f"{side}_id"), *(F.col(name).alias(f"{side}_{name}") for name in names)), f"{side}_id")
+    return pairs
+
+
+def apply_rules(pairs: DataFrame, rules: Exclusions | None, a: str, b: str, root: str = "", both: bool = False) -> DataFrame:
+    """Without pairs that signature, file-pair or file rules exclude; file rules look at b, or at both sides."""
     if rules is None:
         return pairs
     spark = pairs.sparkSession
@@ -45,7 +57,8 @@ def apply_rules(pairs: DataFrame, rules: Exclusions | None, a: str, b: str, root
         path = lambda side: scalars.relative_path(F.col(f"{side}file_path"), root) if root else F.col(f"{side}file_path")
         pairs = without_pairs(pairs, path(a), path(b), pairs_frame(spark, rules.path_pairs()))
     if rules.files:
-        pairs = pairs.where(~is_excluded_file(F.col(f"{b}file_path"), rules.globs(), root))
+        for side in (a, b) if both else (b,):
+            pairs = pairs.where(~is_excluded_file(F.col(f"{side}file_path"), rules.globs(), root))
     return pairs
 
 
@@ -55,15 +68,17 @@ def scan(chunks: DataFrame, threshold: float = SCAN_THRESHOLD, top: int | None =
     if rules is not None and rules.files:
         queries = chunks.where(~is_excluded_file(F.col("file_path"), rules.globs(), root))
     found = knn(queries.select("id", "embedding"), chunks.select("id", "embedding"), neighbours)
-    near = found.where((F.col("distance") <= threshold) & (F.col("query_id") != F.col("id"))).select("query_id", "id", F.col("distance").alias("raw_distance"))
-    pairs = near.join(info(chunks, "q_", "query_id"), "query_id").join(info(chunks, "n_", "id"), "id").where(~is_related("q_", "n_"))
-    kept = apply_rules(pairs, rules, "q_", "n_", root)
-    kept = kept.withColumn("jaccard", F.round(scalars.jaccard(F.col("q_tokens"), F.col("n_tokens")), DECIMALS))
-    first = F.col("query_id") < F.col("id")
-    side = lambda name: (F.when(first, F.col(f"q_{name}")).otherwise(F.col(f"n_{name}")).alias(f"a_{name}"), F.when(first, F.col(f"n_{name}")).otherwise(F.col(f"q_{name}")).alias(f"b_{name}"))
-    ordered = kept.select(F.least("query_id", "id").alias("a_id"), F.greatest("query_id", "id").alias("b_id"), "raw_distance", "jaccard", *side("file_path"), *side("function_name")).dropDuplicates(["a_id", "b_id"])
+    # Both directions of a pair have the same distance and fate, so one is enough; what the rules and the overlap need is
+    # only made for the chunks of the pairs that are left.
+    near = found.where((F.col("distance") <= threshold) & (F.col("query_id") != F.col("id")))
+    near = near.groupBy(F.least("query_id", "id").alias("a_id"), F.greatest("query_id", "id").alias("b_id")).agg(F.min("distance").alias("raw_distance"))
+    plain = [c for c in INFO if c != "tokens"]
+    pairs = _with_sides(near, chunks, plain).where(~is_related("a_", "b_"))
+    kept = apply_rules(pairs, rules, "a_", "b_", root, both=True)
+    kept = _with_sides(kept, chunks.join(_ids(kept), "id", "left_semi"), ["tokens"])
+    kept = kept.withColumn("jaccard", F.round(scalars.jaccard(F.col("a_tokens"), F.col("b_tokens")), DECIMALS))
     distance = F.round(scalars.combined(F.col("raw_distance"), F.col("jaccard")), COMBINED_DECIMALS)
-    scored = ordered.withColumn("distance", distance).withColumn("similarity", scalars.tier(F.col("distance")))
+    scored = kept.select("a_id", "b_id", "raw_distance", "jaccard", *(f"{side}_{name}" for name in ("file_path", "function_name") for side in "ab")).withColumn("distance", distance).withColumn("similarity", scalars.tier(F.col("distance")))
     return scored if top is None else scored.orderBy("distance", "a_id", "b_id").limit(top)
 
 
@@ -71,11 +86,14 @@ def query(queries: DataFrame, index: DataFrame, top: int = QUERY_TOP, threshold:
     """(query_id, id, rank, raw_distance, jaccard, distance, similarity, ...): the best candidates of each query chunk."""
     found = knn(queries.select("id", "embedding"), index.select("id", "embedding"), OVERFETCH * top)
     near = found.where((F.col("distance") <= threshold) & (F.col("query_id") != F.col("id"))).select("query_id", "id", F.col("distance").alias("raw_distance"))
-    pairs = near.join(info(queries, "q_", "query_id"), "query_id").join(info(index, "n_", "id"), "id").where(~is_related("q_", "n_"))
-    scored = pairs.withColumn("jaccard", F.round(scalars.jaccard(F.col("q_tokens"), F.col("n_tokens")), DECIMALS))
+    plain = [c for c in INFO if c != "tokens"]
+    pairs = near.join(info(queries, "q_", "query_id", plain), "query_id").join(info(index, "n_", "id", plain), "id").where(~is_related("q_", "n_"))
+    kept = apply_rules(pairs, rules, "q_", "n_", root)
+    left = index.join(kept.select("id").distinct(), "id", "left_semi")
+    kept = kept.join(info(queries.join(kept.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi"), "q_", "query_id", ["tokens"]), "query_id").join(info(left, "n_", "id", ["tokens"]), "id")
+    scored = kept.withColumn("jaccard", F.round(scalars.jaccard(F.col("q_tokens"), F.col("n_tokens")), DECIMALS))
     scored = scored.withColumn("distance", F.round(scalars.combined(F.col("raw_distance"), F.col("jaccard")), COMBINED_DECIMALS))
-    kept = apply_rules(scored, rules, "q_", "n_", root)
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "raw_distance", "id"))).where(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "raw_distance", "id"))).where(F.col("rank") <= top)
     return ranked.select("query_id", "id", "rank", "raw_distance", "jaccard", "distance", scalars.tier(F.col("distance")).alias("similarity"), F.col("n_file_path").alias("file_path"), F.col("n_function_name").alias("function_name"))
 
 

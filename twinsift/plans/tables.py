@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators.exclusions import Exclusions, FileExclusion, FilePairExclusion, PairExclusion, Side
+from ..session import spread
 
 THRESHOLD = 0.7
 
@@ -25,7 +26,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks without vectors."""
     n = F.col("doc_id")
     block = n % 3 == 0
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         n.alias("id"),
         F.col("source").alias("file_path"),
         F.concat(F.lit("fn_"), (n % 50).cast("string")).alias("function_name"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunker import is_source, parse_files
+from .chunker import LANGUAGES, parse_files
 from .embedding import Embedder, embed_texts
 from .index import Index
 from .operators import changes, exclusions, ranking
@@ -68,17 +70,18 @@ def scan(index: Index, threshold: float = ranking.SCAN_THRESHOLD, top: int = ran
     return {"matches": matches, "pairsFound": len(matches), "chunksScanned": scanned.count(), "warnings": index.warnings()}
 
 
-def _versions(index: Index, diff: DataFrame, new_of, old_of) -> tuple[DataFrame, DataFrame]:
-    """Chunks of the new and of the old side of a diff's source files."""
-    entries = [(row["path"], row["status"]) for row in diff.collect() if is_source(row["path"])]
+def _versions(index: Index, diff: DataFrame, new: str | None, old: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the new and of the old side of a diff's source files; sides are revisions, or None for the work tree."""
+    endings = sorted({ending for language in LANGUAGES for ending in language.extensions})
+    entries = diff.where(functools.reduce(Column.__or__, (F.col("path").endswith(ending) for ending in endings)))
     sides = []
-    for read, skip in ((new_of, "Deleted"), (old_of, "Added")):
-        files = [(path, text) for path, status in entries if status != skip and (text := read(path)) is not None]
-        sides.append(parse_files(index.spark.createDataFrame(files, "file_path string, source string")).where("id is not null").drop("error").withColumn("content_hash", F.sha2("source_text", 256)).persist())
+    for revision, skip in ((new, "Deleted"), (old, "Added")):
+        files = repository.read_versions(entries.where(F.col("status") != skip), index.root, revision)
+        sides.append(parse_files(files, excluded=False).where("id is not null").drop("error").withColumn("content_hash", F.sha2("source_text", 256)).persist())
     return sides[0], sides[1]
 
 
-def _query_diff(index: Index, embedder: Embedder, diff: DataFrame, new_of, old_of, top: int, threshold: float) -> dict:
+def _query_diff(index: Index, embedder: Embedder, diff: DataFrame, new_of: str | None, old_of: str, top: int, threshold: float) -> dict:
     new, old = _versions(index, diff, new_of, old_of)
     side = lambda rows: rows.select("file_path", F.col("function_name").alias("name"), "content_hash", F.col("start_line").alias("position"), "chunk_type")
     compared = changes.compare_chunks(side(old), side(new)).persist()
@@ -92,10 +95,10 @@ def _query_diff(index: Index, embedder: Embedder, diff: DataFrame, new_of, old_o
 def query_working_tree(index: Index, embedder: Embedder, top: int = ranking.QUERY_TOP, threshold: float = ranking.QUERY_THRESHOLD) -> dict:
     """Similar chunks for what the work tree adds or changes against HEAD."""
     root = index.require().root
-    return _query_diff(index, embedder, repository.diff_working_tree(index.spark, root), lambda p: repository.working_file(root, p), lambda p: repository.file_at(root, "HEAD", p), top, threshold)
+    return _query_diff(index, embedder, repository.diff_working_tree(index.spark, root), None, "HEAD", top, threshold)
 
 
 def query_commit(index: Index, embedder: Embedder, commit: str, top: int = ranking.QUERY_TOP, threshold: float = ranking.QUERY_THRESHOLD) -> dict:
     """The same for what a commit adds or changes against its first parent."""
     root = index.require().root
-    return _query_diff(index, embedder, repository.diff_commit(index.spark, root, commit), lambda p: repository.file_at(root, commit, p), lambda p: repository.file_at(root, f"{commit}^", p), top, threshold)
+    return _query_diff(index, embedder, repository.diff_commit(index.spark, root, commit), commit, f"{commit}^", top, threshold)

@@ -39,13 +39,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all cores if it has fewer partitions than there are: a small file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where none is set."""
+    """The folder of spark.checkpoint.dir; where none is set, a temporary one, which only a local master can share."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='twinsift-checkpoints-')}"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import subprocess
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import name_status
+from ..session import ship
 
 
 class GitError(RuntimeError):
@@ -55,16 +57,28 @@ def diff_working_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def diff_commit(spark: SparkSession, root: str, commit: str) -> DataFrame:
     """(path, status) of a commit against its first parent, or of all its files if it has none."""
-    text = git(root, "diff", "--name-status", f"{commit}^", commit, "--")
+    text = git(root, "diff", "--name-status", "--end-of-options", f"{commit}^", commit, "--")
     if text is None:
-        text = git(root, "diff-tree", "--root", "--no-commit-id", "--name-status", "-r", commit, "--")
+        text = git(root, "diff-tree", "--root", "--no-commit-id", "--name-status", "-r", "--end-of-options", commit, "--")
     if text is None:
         raise GitError(f"no commit {commit}")
     return name_status(_lines(spark, text))
 
 
 def file_at(root: str, revision: str, path: str) -> str | None:
-    return git(root, "show", f"{revision}:{path}")
+    return git(root, "show", "--end-of-options", f"{revision}:{path}")
+
+
+def read_versions(paths: DataFrame, root: str, revision: str | None) -> DataFrame:
+    """(file_path, source) of the paths, at a revision or in the work tree, of a repository that every executor sees."""
+    ship(paths.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = [working_file(root, path) if revision is None else file_at(root, revision, path) for path in batch["path"]]
+            yield pd.DataFrame({"file_path": batch["path"], "source": texts})
+
+    return paths.select("path").mapInPandas(run, "file_path string, source string").where("source is not null")
 
 
 def working_file(root: str, path: str) -> str | None:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..chunker import is_source
+from ..chunker import LANGUAGES, is_source
 from ..session import ship
 from .globs import GlobSet, parse_rule
 
@@ -98,8 +98,14 @@ def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, source, mtime_ms) of all files below a path of any store that Spark reads, source files only."""
     root = path.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    endings = ",".join(sorted({ending.lstrip(".") for language in LANGUAGES for ending in language.extensions}))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{endings}}}").load(root)
     relative = F.regexp_extract("path", "[^:]*?" + root.split(":", 1)[-1].lstrip("/") + "/(.*)$", 1)
-    keep = F.udf(is_source, "boolean")
     ship(spark)
+    languages = list(LANGUAGES)
+
+    @F.pandas_udf("boolean")
+    def keep(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda path: is_source(path, languages)).astype(bool)
+
     return files.select(relative.alias("file_path"), F.expr("try_validate_utf8(cast(content as string))").alias("source"), (F.unix_millis("modificationTime")).alias("mtime_ms")).where(keep("file_path"))
