@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 
 from twinsift.llm import jaccard, shingles
 from twinsift.llm.graph import components
+from twinsift.llm.queries import OP7_SQL
 
 from .conftest import ODD_TEXTS, WORDS, plain_shingles, plain_words
 
@@ -105,6 +107,83 @@ def test_ids_and_empty_tables(documents):
     assert jaccard.near_duplicates(documents([])).count() == 0
 
 
+def test_like_sql(spark, documents):
+    import duckdb
+
+    texts = [*corpus(2), *(t for t in ODD_TEXTS if len(t or "") < 1000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t in enumerate(texts)])
+    found = jaccard.near_duplicates(documents(texts)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == sorted(con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({OP7_SQL})").fetchall())
+
+
+def test_token_union():
+    members = [{1, 5, 9, 2**63 + 7}, {5, 9}, {9, 11}, {100}]
+    frame = pd.DataFrame({"cid": range(4), "tokens": [np.array(sorted(m), dtype=np.uint64).tobytes() for m in members]})
+    tokens, counts, common = jaccard.token_union(frame)
+    assert tokens.tolist() == sorted(set().union(*members)) and counts.tolist() == [sum(t in m for m in members) for t in tokens.tolist()]
+    assert common.tolist() == [len(m & set().union(*(o for o in members if o is not m))) for m in members]
+
+
+@pytest.mark.parametrize("slice_tokens", [30, 10_000])
+def test_matrix_and_bounds(spark, monkeypatch, slice_tokens):
+    """Unions, counts, shared tokens and overlaps are those of plain sets, however a group is sliced."""
+    monkeypatch.setattr(jaccard, "SLICE_TOKENS", slice_tokens)
+    chance = random.Random(3)
+    pool = [chance.randrange(1 << 64) for _ in range(300)]
+    own = {cid: set(chance.sample(pool[:120] if cid < 8 else pool[100:], 40)) for cid in range(20)}
+    blob = lambda s: bytearray(np.array(sorted(s), dtype=np.uint64).tobytes())
+    group = lambda cid: 0 if cid < 8 else 8
+    sets = spark.createDataFrame([(cid, blob(s)) for cid, s in own.items()] + [(50, blob(pool[90:110])), (51, blob(pool[280:]))], "cid long, tokens binary")
+    members = spark.createDataFrame([(cid, group(cid), cid, len(s)) for cid, s in own.items()], "cid long, group long, core long, n long")
+    unions, common = jaccard._matrix(members, sets)
+    rows = unions.collect()
+    for g in (0, 8):
+        mine = [s for cid, s in own.items() if group(cid) == g]
+        got = {int(t): int(n) for r in rows if r["group"] == g for t, n in zip(np.frombuffer(r["tokens"], "u8"), np.frombuffer(r["counts"], "<u4"), strict=True)}
+        assert got == {t: sum(t in s for s in mine) for t in set().union(*mine)}
+    assert {r["cid"]: r["common"] for r in common.collect()} == {cid: len(s & set().union(*(o for c, o in own.items() if c != cid and group(c) == group(cid)))) for cid, s in own.items()}
+    classes = spark.createDataFrame([(50, 20), (51, 20)], "cid long, n long")
+    asked = spark.createDataFrame([(50, 0), (50, 8), (51, 0), (51, 8)], "cid long, group long")
+    union_of = {g: set().union(*(s for cid, s in own.items() if group(cid) == g)) for g in (0, 8)}
+    want = {(c, g) for c, s in ((50, set(pool[90:110])), (51, set(pool[280:]))) for g in (0, 8) if 100 * len(s & union_of[g]) >= 60 * len(s)}
+    assert {(r["cid"], r["group"]) for r in jaccard._qualified(asked, sets, unions, classes, 60).collect()} == want and 0 < len(want) < 4
+
+
+def test_queries_to_groups(documents, monkeypatch):
+    """Classes that grouping misses are found through a group's union."""
+    monkeypatch.setattr(jaccard, "KEYS", 1)
+    texts = corpus(5) + corpus(6)
+    check(documents(texts), texts)
+
+
+def test_hot_nodes(spark, monkeypatch):
+    from twinsift.llm import graph
+
+    monkeypatch.setattr(graph, "LEAST_HOT", 3)
+    pairs = [(0, i) for i in range(1, 60)] + [(99, i) for i in range(61, 98)] + [(5, 61), (200, 201), (201, 202)]
+    for order in (pairs, [(b, a) for a, b in pairs], [(300 - a, 300 - b) for a, b in pairs]):
+        found = dict(map(tuple, components(spark.createDataFrame(order, "u long, v long")).collect()))
+        big = {x for pair in order[:-2] for x in pair}
+        small = {x for pair in order[-2:] for x in pair}
+        assert found == {x: min(big) for x in big} | {x: min(small) for x in small}
+
+
+def test_bitmap(spark):
+    from twinsift.llm.bitmap import bitmap_of, rows_that_may_hold
+
+    values = [0, -1, 7, 1 << 62, -(1 << 63), *range(1000, 3000)]
+    made = bitmap_of(spark.createDataFrame([(v,) for v in values] + [(None,)], "x long"))
+    assert made.may_hold(np.array(values)).all()
+    others = np.arange(10_000, 60_000)
+    assert made.may_hold(others).mean() < 0.03 and not bitmap_of(spark.createDataFrame([], "x long")).may_hold(others).any()
+    rows = spark.createDataFrame([(7, "a"), (None, "b"), (8_888_888, "c")], "x long, text string")
+    bits = spark.sparkContext.broadcast(made)
+    assert {r["text"] for r in rows_that_may_hold(rows, "x", bits, True).collect()} - {"c"} == {"a", "b"}
+    assert {r["text"] for r in rows_that_may_hold(rows, "x", bits, False, null_hits=False).collect()} - {"c"} == {"b"}
+
+
 sets_of_tokens = st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=60, unique=True)
 
 

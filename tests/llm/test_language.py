@@ -77,6 +77,56 @@ def test_query_on_the_given_tables(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.99
 
 
+def plain_judgement(frame, texts_of, texts):
+    """(language, score) of each text by sets of slots, counted n-gram by n-gram."""
+    rates, names = {}, sorted(texts_of)
+    for name in names:
+        own = {int(g): int(n) for lang, g, n in frame if lang == name}
+        rates[name] = {g: n / sum(own.values()) for g, n in own.items()}
+    slots = lambda gram: [((gram + 1) * int(m) % (1 << 64)) >> (64 - language.SLOTS.bit_length() + 1) for m in language._HASHES[: language.HASHES]]
+    held = {}
+    for name in names:
+        typical = [g for g, r in rates[name].items() if r * language.MAX_RATIO >= max(rates[o].get(g, 0) for o in names)]
+        picked = sorted(typical, key=lambda g: (-rates[name][g], g))[: language.GRAMS_PER_LANGUAGE]
+        held[name] = {at for g in picked for at in slots(g)}
+    wrong = {name: (len(held[name]) / language.SLOTS) ** language.HASHES for name in names}
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        seen = grams(text)
+        counts = {n: max(0.0, (sum(all(at in held[n] for at in slots(g)) for g in seen) - len(seen) * wrong[n]) / (1 - wrong[n])) for n in names}
+        best = sorted(names, key=lambda n: (-counts[n], n))[:2]
+        top, next_one = counts[best[0]], counts[best[1]] if len(best) > 1 else 0.0
+        out.append((best[0], top / (top + next_one)) if top > 0 else (max(names, key=lambda n: (texts_of[n], n)), 0.0))
+    return out
+
+
+def test_like_a_plain_filter(spark):
+    """The filter, its corrected counts and the decisions against sets and loops over the given texts."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    Path(path).exists() or pytest.skip("needs the given tables")
+    docs = spark.read.parquet(path)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learned = [r for r in rows if r[0] % 4 != 2 and r[2] is not None]
+    tally = Counter((lang, g) for _, text, lang in learned for g in grams(text))
+    frame = [(lang, g, n) for (lang, g), n in tally.items() if n > 1]
+    texts = [text for _, text, _ in rows if len(text or "") < 20_000] + [t for t in ODD_TEXTS if len(t or "") < 1000]
+    want = plain_judgement(frame, Counter(lang for _, _, lang in learned), texts)
+    model = language.train(docs, F.col("doc_id") % 4 != 2)
+    names, scores = model.predict(pa.array(texts))
+    assert names == [name for name, _ in want] and np.allclose(scores, [score for _, score in want])
+
+
+def test_equal_votes_go_to_the_smaller_name():
+    text = "abcdef ghijkl"
+    rows = [(name, g, n) for name in ("zz", "aa", "mm") for g, n in Counter(grams(text)).items()]
+    model = language.build_filter(pd.DataFrame(rows, columns=["lang", "gram", "n"]), {"zz": 3, "aa": 1, "mm": 2})
+    names, scores = model.predict(pa.array([text]))
+    assert names == ["aa"] and abs(scores[0] - 0.5) < 0.01
+
+
 def test_more_languages_than_bits_of_a_word():
     words = {f"l{i:03}": " ".join("".join(chr(97 + (i * 7 + j * k * 5 + i // 26 * j) % 26) for j in range(6)) for k in range(1, 6)) for i in range(150)}
     rows = [(name, g, n) for name, text in words.items() for g, n in Counter(grams(text)).items()]

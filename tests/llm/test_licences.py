@@ -103,3 +103,17 @@ def test_passages_like_all_runs_and_ranges(documents):
                 whole.add((i, name))
     found = {(r["doc_id"], r["licence"]): r["dice"] for r in licences.scan(documents(texts), templates=templates, percent=50).collect()}
     assert found.keys() == want.keys() and {k: v for k, v in found.items() if k not in whole} == {k: v for k, v in want.items() if k not in whole} and len(found.keys() - whole) >= 2
+
+
+def test_long_segments_like_sql(spark, documents):
+    """A line of very many words but few distinct bigrams counts in both."""
+    import duckdb
+
+    line = "Released under the MIT License. " * 600
+    texts = [line, "Released under the MIT License.\n" * 600, "Licensed under the MIT License"]
+    found = sorted((r["doc_id"], r["licence"], r["dice"], r["segments"]) for r in licences.scan(documents(texts)).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert found == sorted(con.execute(f"SELECT doc_id, licence, dice, segments FROM ({licences.sql()})").fetchall())
+    assert next(row for row in found if row[0] == 0)[3] >= 2

@@ -105,6 +105,40 @@ def test_overlapping_windows_agree_on_long_texts(model):
     assert rules == brute(text) and not added
 
 
+def test_spans_are_read_to_their_ends(model, monkeypatch):
+    """A span that runs out of the windows around its digit is followed, however long it is."""
+    finder = pii.Finder(model)
+
+    def decode(pieces):
+        out = {}
+        for piece in dict.fromkeys(pieces):
+            labels = np.zeros(tagger.WINDOW, dtype=np.int64)
+            for i, char in enumerate(piece):
+                inside = char not in " \n"
+                labels[i] = 0 if not inside else (1 if i == 0 or piece[i - 1] in " \n" else 2)
+            out[piece] = labels
+        return out
+
+    monkeypatch.setattr(finder, "_decode", decode)
+    for left, right in ((0, 0), (5, 300), (300, 5), (1000, 3000)):
+        text = "words of a clean text " * 20 + "x" * left + "7" + "y" * right + " and more clean words" * 20
+        starts = pii.windows_of(text)
+        spans = [span for span, _ in finder._read(text, starts, decode([text[s : s + tagger.WINDOW] for s in starts]))]
+        low = text.index("7") - left
+        assert ("email", low, low + left + 1 + right) in spans
+    text = "z" * 20_000 + "7"
+    starts = pii.windows_of(text)
+    ((span, _),) = finder._read(text, starts, decode([text[s : s + tagger.WINDOW] for s in starts]))
+    assert span == ("email", 0, 20_001)
+
+
+def test_training_windows_come_from_whole_texts(documents):
+    text = " ".join(f"item {i} of a long list," for i in range(400)) + " call +49 170 1234567 now"
+    docs = documents([text.replace("item", f"item{k}") for k in range(60)])
+    found = pii.training_windows(docs)
+    assert len(found) <= 60 * pii.WINDOWS_OF_TEXT and any("39" in window for window, _ in found) and len({window[:4] for window, _ in found}) > 3
+
+
 def test_queries_rows(documents, model):
     texts = [*ODD_TEXTS, *EXAMPLES, EXAMPLES[0]]
     rows = {r["doc_id"]: r for r in pii.find_pii(documents(texts), model).collect()}

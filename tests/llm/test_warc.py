@@ -53,6 +53,22 @@ def test_repeated_rows_and_null_ids(spark):
     assert warc.read_archives(warc.write_archives(warc.plan_records(pages(spark, [])), warc.sample_dictionary(pages(spark, [])))).count() == 0
 
 
+def test_revisits_are_shuffled_without_payloads(spark, monkeypatch):
+    """Whatever the bitmaps pass, the records are the same, and no exchange carries a payload."""
+    from twinsift.llm import bitmap
+
+    texts = [f"{k} " * 700 for k in (1, 1, 2, 3, 3, 3)] + ["short"] * 3 + [None, "", f"{1} " * 700]
+    df = pages(spark, texts, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 2])
+    want = [(1, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 6), (5, "revisit", 6), *((i, "response", None) for i in range(6, 12))]
+    for power in (bitmap.SMALLEST, 1):
+        monkeypatch.setattr(bitmap, "SMALLEST", 6 if power == 1 else power)
+        monkeypatch.setattr(bitmap, "LARGEST", 6 if power == 1 else 27)
+        planned = warc.plan_records(df)
+        rows = warc.read_archives(warc.write_archives(planned, b""), with_payload=True).collect()
+        assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in rows), key=str) == sorted(want, key=str)
+        assert all(bytes(r["payload"]).decode() == ("" if r["record_type"] == "revisit" else texts[min(r["page_id"], 11) - 1] or "") for r in rows)
+
+
 def test_validation():
     good = warc.record(1, "http://x", b"abc", 3, hashlib.sha1(b"abc").hexdigest(), None)
     assert warc.read_record(good)[:2] == (1, 3)

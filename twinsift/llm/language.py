@@ -12,7 +12,8 @@ filter has a fixed size for each 64 languages.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; texts with letters but no known n-gram get
 the most frequent learned language with score 0; ties go to the language with the smaller name; if nothing could be
-learned all texts are `und`; repeated rows are scored each; empty tables give no rows; other columns are ignored.
+learned all texts are `und`; repeated rows are scored each; very long texts are read whole, in parts of bounded size; any
+number of languages is learned; empty tables give no rows; other columns are kept, but for older ones of the results' names.
 """
 
 from __future__ import annotations

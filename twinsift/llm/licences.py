@@ -12,8 +12,9 @@ and ranges of as many words as the template has. A text is looked at if it share
 Of the runs only those are tried whose last piece adds a bigram of the template that the run doesn't have before, and
 whose first piece has one that it doesn't have later; the others have a shorter run that is no worse.
 
-Defined cases: null and empty texts, and segments of fewer than two words, match nothing; equal segments count each; ties
-in Dice go to all licences that reach the threshold; repeated rows are reported as one row with the segments of all;
+Defined cases: null and empty texts, and segments of fewer than two words, match nothing; equal segments of a text count
+once; ties in Dice go to all licences that reach the threshold; repeated rows, and rows of one id with different texts, are
+reported as one row with the segments of all; very long texts are cut and compared whole, a segment by its distinct bigrams;
 a text in which only a passage matches counts as one segment, if no segment of its id does;
 a null id is a document; empty tables give no rows; other columns are ignored.
 """
@@ -167,10 +168,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def sql(templates: list[tuple[str, str]] | None = None, percent: int = THRESHOLD_PERCENT) -> str:
-    """The same for segments in DuckDB's SQL over `documents`, without the anchor words and without passages.
-
-    It also leaves out segments of more than 2000 words, which `scan` compares if they have few enough distinct bigrams.
-    """
+    """The same for segments in DuckDB's SQL over `documents`, without the anchor words and without passages."""
     quote = lambda text: "'" + text.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quote(name)}, [{', '.join(map(quote, bigrams_of(text)))}])" for i, (name, text) in enumerate(TEMPLATES if templates is None else templates))
     return rf"""
@@ -179,7 +177,7 @@ cut AS (SELECT doc_id, unnest(list_distinct(list_concat([text], regexp_split_to_
           regexp_split_to_array(text, '\n'), string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))))) AS segment
         FROM documents WHERE text IS NOT NULL),
 w AS (SELECT row_number() OVER () AS s, doc_id, list_filter(string_split(regexp_replace(lower(segment), '[^0-9a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM cut),
-g AS (SELECT s, doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) BETWEEN 2 AND 2000),
+g AS (SELECT s, doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) >= 2),
 m AS (SELECT s, doc_id, licence, max(2.0 * len(list_intersect(grams, tgrams)) / (len(grams) + len(tgrams))) AS dice
       FROM g JOIN templates ON len(tgrams) * {200 - percent} >= len(grams) * {percent} AND len(grams) * {200 - percent} >= len(tgrams) * {percent}
       GROUP BY s, doc_id, licence)

@@ -6,17 +6,20 @@ forms that the rules don't know, reads overlapping windows. Each window is decod
 the distance from a window's edges, are votes in one decoding of the whole stretch, and of the spans found those count
 that pass the kind's check and overlap no span of the rules.
 
-A span needs a digit or an at sign, so only windows that have one are read; the others can't hold any.
+A span needs a digit, an at sign or a bracketed `at`, so reading starts with the windows that have one. Where a span runs
+to the edge of what was read, reading goes on from there until spans end within it, so none is cut.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each; a null id is kept; places are code
-points, ends exclusive; empty tables give no rows; other columns are ignored. Very long texts and runs of characters take
-time in proportion to their length.
+points, ends exclusive; of labels with equal votes the first in the order of labels counts, as in any tie of the decoding;
+spans that start together are listed by kind; empty tables give no rows; other columns are ignored. Very long texts and
+runs of characters take time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from ..session import ship
 from .sampling import by_hash
 from .tagger import ALLOWED, KINDS, LABELS, STRIDE, WINDOW, Tagger, classes_of, labels_of, spans_of, viterbi
 
-SAMPLE_TEXTS, SAMPLE_WINDOWS, MADE_WINDOWS = 20_000, 1500, 1200
+SAMPLE_TEXTS, WINDOWS_OF_TEXT, SAMPLE_WINDOWS, MADE_WINDOWS = 20_000, 6, 1500, 1200  # of the sample that is learned from
 LEAST_VOTE = 0.9
 
 _TRIGGER = re.compile("[0-9@]")
@@ -122,9 +125,10 @@ def windows_of(text: str) -> list[int]:
 _WEIGHTS = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32) / STRIDE
 
 
-def reconcile(text: str, starts: list[int], decoded: list[np.ndarray]) -> list[tuple[Span, float]]:
-    """One labelling of each covered stretch by the votes of its windows; spans with their share of the votes."""
-    out, at = [], 0
+def reconcile(text: str, starts: list[int], decoded: list[np.ndarray]) -> tuple[list[tuple[Span, float]], list[tuple[int, int]]]:
+    """One labelling of each covered stretch by the votes of its windows: spans with their share of the votes, and the
+    (start of a window, direction) where reading has to go on because a span reaches the edge of its stretch."""
+    out, on, at = [], [], 0
     while at < len(starts):
         end = at + 1
         while end < len(starts) and starts[end] <= starts[end - 1] + WINDOW - 1:
@@ -139,8 +143,12 @@ def reconcile(text: str, starts: list[int], decoded: list[np.ndarray]) -> list[t
         for kind, start, stop in spans_of(labels):
             own = 1 + 2 * KINDS.index(kind)
             out.append(((kind, low + start, low + stop), float(cast[start:stop, own : own + 2].sum(axis=1).mean())))
+            if start == 0 and low > 0:
+                on.append((low - STRIDE, -1))
+            if low + stop == high < len(text):
+                on.append((starts[end - 1] + STRIDE, 1))
         at = end
-    return out
+    return out, on
 
 
 class Finder:
@@ -159,6 +167,17 @@ class Finder:
             out.update(zip(part, self.tagger.decode(self.tagger.emissions(seen)), strict=True))
         return out
 
+    def _read(self, text: str, starts: list[int], decoded: dict[str, np.ndarray]) -> list[tuple[Span, float]]:
+        """The spans around the given windows; reads twice as many windows more each time that a span isn't at its end."""
+        reach = 1
+        while True:
+            found, on = reconcile(text, starts, [decoded[text[s : s + WINDOW]] for s in starts])
+            more = {s for first, way in on for s in range(first, first + way * reach * STRIDE, way * STRIDE) if 0 <= s < len(text)} - set(starts)
+            if not more:
+                return found
+            starts, reach = sorted({*starts, *more}), 2 * reach
+            decoded = decoded | self._decode([piece for s in more if (piece := text[s : s + WINDOW]) not in decoded])
+
     def find(self, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
         """(spans of the rules, spans that the tagger adds) of each text."""
         base = [rule_spans(text) for text in texts]
@@ -167,7 +186,7 @@ class Finder:
         out = []
         for text, own, rules in zip(texts, starts, base, strict=True):
             added: list[Span] = []
-            for span, vote in reconcile(text, own, [decoded[text[s : s + WINDOW]] for s in own]) if own else []:
+            for span, vote in self._read(text, own, decoded) if own else []:
                 kind, start, end = span
                 clear = all(end <= a or b <= start for _, a, b in rules)
                 if vote >= LEAST_VOTE and clear and _plausible(kind, text[start:end]):
@@ -213,7 +232,8 @@ def made_windows(count: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
 
 def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, list[Span]]]:
-    """Windows with the rules' spans from a bounded sample of the texts."""
+    """Windows with the rules' spans from a bounded sample: of SAMPLE_TEXTS texts WINDOWS_OF_TEXT each, drawn by their hash
+    from the whole text, and of these SAMPLE_WINDOWS."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = by_hash(rows, "doc_id", SAMPLE_TEXTS).where(F.regexp_like("text", F.lit("[0-9@]"))).select("text")
@@ -224,7 +244,8 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for value in batch.column(0):
                 text = value.as_py()
                 spans = rule_spans(text)
-                for start in windows_of(text)[:6]:
+                drawn = sorted(windows_of(text), key=lambda at: (zlib.crc32(text[at : at + WINDOW].encode("utf-8", "surrogatepass")), at))
+                for start in sorted(drawn[:WINDOWS_OF_TEXT]):
                     windows.append(text[start : start + WINDOW])
                     labels.append(listed([(k, a - start, b - start) for k, a, b in spans if b > start and a < start + WINDOW]))
             yield pa.RecordBatch.from_pydict({"window": pa.array(windows, pa.string()), "spans": pa.array(labels, pa.string())})

@@ -6,7 +6,9 @@ from the leading frame, decodes a frame for each record and validates headers, l
 
 Defined cases: a null payload counts as empty, a null URL is written as `about:blank`; of records with equal payloads
 of at least `min_bytes`, those with the largest id are responses (all of them, if a row is repeated) and the others
-revisit that id; a null id is never referred to; empty tables give no archives; other columns are ignored.
+revisit that id (so no tie is left open); a null id is never referred to; a very long payload is one record, in an archive
+of its size; empty tables give no archives; other columns are ignored. Marks have 64 bits, so of n pages two with repeated
+payloads are mixed up with probability n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialize, ship
+from .bitmap import bitmap_of, rows_that_may_hold
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC, FRAME_MAGIC, TRAINED_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -90,7 +93,7 @@ def frame_end(data: bytes, at: int) -> int:
     return at
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes | None, payload_bytes: int, digest: str, refers_to: int | None) -> bytes:
     """A response record, or a revisit record without payload if refers_to is given."""
     target = urllib.parse.quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%-._~")
     lines = [
@@ -100,7 +103,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_bytes:
     ]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode() + (payload if refers_to is None else b"")
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode() + (payload or b"" if refers_to is None else b"")
     return VERSION + "".join(f"\r\n{line}" for line in [*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -167,13 +170,30 @@ def sample_dictionary(pages: DataFrame, id_col: str = "page_id", payload_col: st
     return build_dictionary([row["payload"].encode() for row in rows])
 
 
+_PLANNED = ["page_id", "url", "payload", "payload_bytes", "digest", "refers_to"]
+
+
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, digest, refers_to) for each row."""
+    """(page_id, url, payload, payload_bytes, digest, refers_to) for each row; revisits have no payload.
+
+    Only ids, URLs and digests are shuffled. Bitmaps of the revisits tell the responses, which are read from the pages as
+    they are; the few of these that a bitmap can't tell are found by a join.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    newest = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
-    joined = rows.join(newest.select("digest", "newest"), "digest", "left")
-    return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(~F.col("newest").eqNullSafe(F.col("page_id")), F.col("newest")).alias("refers_to"))
+    rows = rows.withColumn("mark", F.xxhash64("page_id", "digest"))
+    slim = materialize(rows.drop("payload"), "page-digests")
+    newest = slim.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    revisits = materialize(slim.join(newest.select("digest", "newest"), "digest").where("newest is not null and not newest <=> page_id").withColumnRenamed("newest", "refers_to"), "revisits")
+    broadcast = pages.sparkSession.sparkContext.broadcast
+    of_revisits = broadcast(bitmap_of(revisits.select("mark")))
+    plain = rows_that_may_hold(rows, "mark", of_revisits, False)
+    unclear = materialize(rows_that_may_hold(slim, "mark", of_revisits, True).join(revisits.select("mark").distinct(), "mark", "left_anti").select("mark").distinct(), "unclear")
+    out = plain.withColumn("refers_to", F.lit(None).cast("long")).select(*_PLANNED).unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")).select(*_PLANNED))
+    if unclear.isEmpty():
+        return out
+    rest = rows_that_may_hold(rows, "mark", broadcast(bitmap_of(unclear)), True).join(unclear, "mark", "left_semi")
+    return out.unionByName(rest.withColumn("refers_to", F.lit(None).cast("long")).select(*_PLANNED))
 
 
 def write_archives(planned: DataFrame, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -197,7 +217,7 @@ def write_archives(planned: DataFrame, dictionary: bytes, archive_bytes: int = A
         if size:
             yield pa.RecordBatch.from_pydict({"archive": [f"pages-{part:05d}-{number:05d}.warc.zst"], "data": [b"".join(frames)]})
 
-    return planned.select("page_id", "url", "payload", "payload_bytes", "digest", "refers_to").mapInArrow(run, "archive string, data binary")
+    return planned.select(*_PLANNED).mapInArrow(run, "archive string, data binary")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
