@@ -6,6 +6,7 @@ import json
 import pytest
 
 from twinsift import cli, commands, embedding, search
+from twinsift import index as index_module
 from twinsift.index import Index, IndexStateError
 from twinsift.rpc import Server
 from twinsift.sources import repository
@@ -133,7 +134,7 @@ def test_rules_and_command_line(spark, project, monkeypatch, capsys):
 
 def test_tool_server(spark, project):
     root, _ = project
-    server = Server(spark, str(root), embedding.HashingEmbedder)
+    server = Server(spark, str(root))
     ask = lambda method, params=None, ident=1: server.answer({"jsonrpc": "2.0", "id": ident, "method": method, "params": params})
     tool = lambda name, **arguments: ask("tools/call", {"name": name, "arguments": arguments})["result"]
     assert len(ask("tools/list")["result"]["tools"]) == 9 and ask("initialize")["result"]["serverInfo"]["name"] == "twinsift"
@@ -145,15 +146,68 @@ def test_tool_server(spark, project):
     status = json.loads(tool("status")["content"][0]["text"])
     assert status["indexing"]["state"] == "done" and status["totalFunctions"] == 3
     assert json.loads(tool("index_stop")["content"][0]["text"])["status"] == "not running"
-    found = json.loads(tool("query", file_path="src/a.ts", threshold=0.9)["content"][0]["text"])
+    found = json.loads(tool("query", file="src/a.ts", threshold=0.9, topK=3, queryPrefix="", maxInputBytes=9000)["content"][0]["text"])
     assert found["functions"][0]["candidates"]
-    for name, arguments in (("add_exclusion", {"file_a": "src/a.ts", "function_a": "addAll", "file_b": "src/b.ts", "function_b": "sumAll"}), ("add_file_exclusion", {"pattern": "x/"}), ("add_file_pair_exclusion", {"file_a": "a", "file_b": "b"}), ("add_file_group_exclusion", {"files": ["a", "b", "c"]})):
+    for name, arguments in (("add_exclusion", {"queryPath": "src/a.ts", "queryFunction": "addAll", "querySignatureHash": "x", "candidatePath": "src/b.ts", "candidateFunction": "sumAll", "candidateSignatureHash": "y", "reason": "r"}), ("add_file_exclusion", {"pattern": "x/", "reason": "r"}), ("add_file_pair_exclusion", {"fileA": "a", "fileB": "b", "reason": "r"}), ("add_file_group_exclusion", {"files": ["a", "b", "c"], "reason": "r"})):
         assert "isError" not in tool(name, **arguments), name
     out = io.StringIO()
     server.serve(["not json\n", '{"jsonrpc": "2.0", "id": 7, "method": "ping"}\n', '{"jsonrpc": "2.0", "method": "ping"}\n'], out)
     assert json.loads(out.getvalue()) == {"jsonrpc": "2.0", "id": 7, "result": {}}
 
 
+def test_snapshots_and_vectors(spark, project):
+    """Steps append vectors, the run ends with one table, and a reader's snapshot outlives the next one."""
+    root, _ = project
+    index = Index(spark, str(root))
+    steps = []
+    index_module.STEP, kept = 2, index_module.STEP
+    try:
+        index.run(embedding.HashingEmbedder(), progress=lambda done, left: steps.append((done, index.store.current, index.store.folder.exists(f"{index.store.current}/vectors"), index.embedded().count())))
+    finally:
+        index_module.STEP = kept
+    assert [s[0] for s in steps] == [2, 3] and len({s[1] for s in steps}) == 1 and all(s[2] for s in steps) and [s[3] for s in steps] == [2, 3]
+    assert not index.store.folder.exists(f"{index.store.current}/vectors") and index.embedded().count() == 3
+    reader = index.chunks()
+    first = {r["file_path"]: r["indexed_at"] for r in index.tracked().collect()}
+    (root / "src/c.py").write_text("def greet(name):\n    message = 'bye ' + name\n    return message\n")
+    stopped = index.run(embedding.HashingEmbedder(), cancelled=lambda: True)
+    assert stopped.status == "cancelled" and reader.count() == 3
+    second = {r["file_path"]: r["indexed_at"] for r in index.tracked().collect()}
+    assert first["src/a.ts"] == second["src/a.ts"] and first["src/c.py"] < second["src/c.py"] and all(first.values())
+    assert index.run(embedding.HashingEmbedder()).embedded == 1
+    assert len([n for n in index.store.folder.names() if n.startswith("snapshot-")]) == 2
+    assert {r["function_name"] for r in index.with_signature(index.chunks().first()["signature_hash"]).collect()}
+    index.store.write({"chunks": index.chunks(), "files": index.tracked()}, {"schema_version": 99})
+    with pytest.raises(IndexStateError, match="99"):
+        index.store.meta()
+
+
+def test_cache_of_other_settings(spark, project):
+    root, _ = project
+    index = Index(spark, str(root))
+    index.run(embedding.HashingEmbedder())
+    with pytest.raises(IndexStateError, match="cache"):
+        index.run(embedding.HashingEmbedder(max_bytes=99))
+    assert index.run(embedding.HashingEmbedder(max_bytes=99), force=True).embedded == 3
+
+
+def test_query_prefix_and_tier(monkeypatch):
+    assert embedding.query_prefix(None, "nomic-embed-text:v1") == "search_query: " and embedding.query_prefix(None, "other") == "" and embedding.query_prefix("q ", "nomic-embed-text") == "q "
+    monkeypatch.setenv("TWINSIFT_QUERY_PREFIX", "env ")
+    assert embedding.query_prefix(None, "nomic-embed-text") == "env "
+    service = embedding.ServiceEmbedder("m:13b", "http://127.0.0.1:9", max_bytes=3, query_prefix="q: ")
+    assert service.tier == "13b" and embedding.ServiceEmbedder("m").tier == "7b" and not service.healthy() and embedding.as_query(service, "abcd") == "q: abc"
+
+
+def test_option_like_revisions(spark, project):
+    root, _ = project
+    for name in ("--output=x", "-p"):
+        with pytest.raises(repository.GitError):
+            repository.diff_commit(spark, str(root), name)
+        assert repository.file_at(str(root), name, "src/a.ts") is None
+    assert not (root / "x").exists()
+
+
 def test_model_choice():
     assert embedding.choose_model("x", ["y"]) == "x" and embedding.choose_model(None, [], "z") == "z"
     assert embedding.choose_model(None, ["nomic-embed-text:latest", "nomic-embed-code:7b"]) == "nomic-embed-code:7b"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import traceback
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,8 +23,9 @@ def session() -> SparkSession:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="twinsift", description="Finds duplicated and near-duplicate code.")
-    for name in ("--model", "--host", "--db"):
-        top.add_argument(name)
+    for names in (("--model",), ("--host", "--ollama-host"), ("--db",), ("--query-prefix",)):
+        top.add_argument(*names)
+    top.add_argument("--verbose", action="store_true", help="say on standard error what is being done")
     for name in ("--context-length", "--max-input-bytes", "--dimensions"):
         top.add_argument(name, type=int)
     top.add_argument("--json", action="store_true", help="JSON even on a terminal")
@@ -72,11 +74,12 @@ def run(options: argparse.Namespace, spark: SparkSession) -> tuple[dict, str]:
     """(result, text for people)."""
     start = options.path if options.verb == "index" else "."
     index = Index(spark, start, options.db)
-    embedder = lambda: embedding.resolve(options.model, options.host, options.dimensions, options.context_length, options.max_input_bytes)
+    embedder = lambda: embedding.resolve(options.model, options.host, options.dimensions, options.context_length, options.max_input_bytes, options.query_prefix)
     if options.verb == "index":
         here = Path(start).resolve()
         prefix = "" if str(here) == index.root else here.relative_to(index.root).as_posix() + "/"
-        result = index.dry_run(prefix, options.force) if options.dry_run else index.run(embedder(), prefix, options.force).as_json()
+        told = (lambda done, left: print(f"embedded {done}, {left} were left", file=sys.stderr)) if options.verbose else None
+        result = index.dry_run(prefix, options.force) if options.dry_run else index.run(embedder(), prefix, options.force, told).as_json()
         return result, render.table_text(result)
     if options.verb == "query":
         name = f"input.{options.language}" if options.language else search.VIRTUAL_NAME
@@ -107,6 +110,8 @@ def run(options: argparse.Namespace, spark: SparkSession) -> tuple[dict, str]:
 
 def main(arguments: list[str] | None = None) -> int:
     options = parser().parse_args(arguments)
+    if options.verbose:
+        print(f"{options.verb}: " + ", ".join(f"{k}={v}" for k, v in sorted(vars(options).items()) if v is not None and k != "verb"), file=sys.stderr)
     try:
         if options.verb == "serve":
             from .rpc import Server
@@ -115,6 +120,8 @@ def main(arguments: list[str] | None = None) -> int:
             return 0
         result, text = run(options, session())
     except Exception as error:  # noqa: BLE001  every failure becomes a message and an exit code
+        if options.verbose:
+            traceback.print_exc()
         print(f"error: {error}", file=sys.stderr)
         return 1
     print(json.dumps(result, indent=2) if options.json or not sys.stdout.isatty() else text)

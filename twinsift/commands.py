@@ -32,8 +32,16 @@ def _side(index: Index, path: str, function: str) -> exclusions.Side:
 
 
 def exclude_pair(index: Index, a: tuple[str, str], b: tuple[str, str], reason: str = "") -> dict:
+    """Exclude a pair of functions by (path, name)."""
+    sides = [_side(index, *side) for side in (a, b)]
+    return exclude_sides(index, *((side.path, side.function, side.signatureHash) for side in sides), reason)
+
+
+def exclude_sides(index: Index, a: tuple[str, str, str], b: tuple[str, str, str], reason: str = "") -> dict:
+    """Exclude a pair of functions by (path, name, signature hash)."""
     rules = exclusions.read(index.root)
-    added = rules.add_pair(exclusions.PairExclusion(_side(index, *a), _side(index, *b), reason, today()))
+    one, two = (exclusions.Side(relative(index, path), name, hashed) for path, name, hashed in (a, b))
+    added = rules.add_pair(exclusions.PairExclusion(one, two, reason, today()))
     exclusions.save(index.root, rules)
     return {"added": added, "exclusions": len(rules.pairs)}
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import http.client
 import json
 import os
+import subprocess
 import time
-import urllib.error
-import urllib.request
+import urllib.parse
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -23,7 +24,9 @@ BATCH = 32
 # Names and numbers of the service's contract.
 PREFERRED = ["nomic-embed-code", "nomic-embed-text"]
 QUERY_PREFIX_MODELS, QUERY_PREFIX = "nomic-embed", "search_query: "
-ATTEMPTS, PAUSE_S, TIMEOUT_S = 3, 0.5, 120
+DEFAULT_TIER, SERVE = "7b", ["ollama", "serve"]
+ATTEMPTS, PAUSE_S, TIMEOUT_S, CONNECT_S = 3, 0.5, 120, 10
+START_CHECKS, START_PAUSE_S = 20, 0.5
 
 
 class EmbedderError(RuntimeError):
@@ -75,24 +78,56 @@ class ServiceEmbedder:
     host: str = "http://localhost:11434"
     dimensions: int = 0
     max_bytes: int = 16_000
+    query_prefix: str = ""
+
+    @property
+    def tier(self) -> str:
+        """The model's tag, which says its size."""
+        return self.model.partition(":")[2].replace("latest", "") or DEFAULT_TIER
 
     def _ask(self, path: str, body: dict | None = None) -> dict:
         data = None if body is None else json.dumps(body).encode()
-        request = urllib.request.Request(self.host.rstrip("/") + path, data, {"Content-Type": "application/json"})
+        place = urllib.parse.urlsplit(self.host if "://" in self.host else f"http://{self.host}")
+        kind = http.client.HTTPSConnection if place.scheme == "https" else http.client.HTTPConnection
         for attempt in range(ATTEMPTS):
+            connection = kind(place.hostname, place.port, timeout=CONNECT_S)
             try:
-                with urllib.request.urlopen(request, timeout=TIMEOUT_S) as answer:
-                    return json.loads(answer.read())
-            except urllib.error.HTTPError as error:
-                raise EmbedderError(f"the model service answers {error.code}") from error
+                connection.connect()
+                connection.sock.settimeout(TIMEOUT_S)
+                connection.request("GET" if data is None else "POST", place.path.rstrip("/") + path, data, {"Content-Type": "application/json"})
+                answer = connection.getresponse()
+                if answer.status >= 400:
+                    raise EmbedderError(f"the model service answers {answer.status}")
+                return json.loads(answer.read())
             except ValueError as error:
                 raise EmbedderError("the model service's answer is no JSON") from error
-            except OSError as error:
+            except (OSError, http.client.HTTPException) as error:
                 if attempt == ATTEMPTS - 1:
                     raise EmbedderError(f"the model service at {self.host} can't be reached: {error}") from error
                 time.sleep(PAUSE_S)
+            finally:
+                connection.close()
         raise EmbedderError("no attempt was made")
 
+    def healthy(self) -> bool:
+        try:
+            self.models()
+        except EmbedderError:
+            return False
+        return True
+
+    def start(self) -> bool:
+        """Start the service on this machine, where it outlives this program, and wait until it answers."""
+        try:
+            subprocess.Popen(SERVE, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True)
+        except OSError:
+            return False
+        for _ in range(START_CHECKS):
+            time.sleep(START_PAUSE_S)
+            if self.healthy():
+                return True
+        return False
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         found = self._ask("/api/embed", {"model": self.model, "input": texts}).get("embeddings")
         if not isinstance(found, list) or len(found) != len(texts):
@@ -120,18 +155,33 @@ def choose_model(explicit: str | None, installed: list[str], env: str | None = N
     raise EmbedderError("no embedding model is installed")
 
 
-def resolve(model: str | None = None, host: str | None = None, dimensions: int | None = None, context: int | None = None, max_bytes: int | None = None) -> Embedder:
+def query_prefix(explicit: str | None, model: str) -> str:
+    """What goes before texts that are searched for: as given, or as the environment says, or as the model is used to."""
+    if explicit is not None:
+        return explicit
+    return os.environ.get("TWINSIFT_QUERY_PREFIX", QUERY_PREFIX if model.startswith(QUERY_PREFIX_MODELS) else "")
+
+
+def as_query(embedder: Embedder, text: str) -> str:
+    """A text to be searched for, cut, with the embedder's prefix."""
+    return f"{getattr(embedder, 'query_prefix', '')}{cut(text, embedder.max_bytes)}"
+
+
+def resolve(model: str | None = None, host: str | None = None, dimensions: int | None = None, context: int | None = None, max_bytes: int | None = None, prefix: str | None = None) -> Embedder:
     """The embedder that settings and environment ask for; the local one unless a service is named."""
-    host, named = host or os.environ.get("TWINSIFT_HOST"), model or os.environ.get("TWINSIFT_MODEL")
+    host, named = host or os.environ.get("TWINSIFT_HOST") or os.environ.get("OLLAMA_HOST"), model or os.environ.get("TWINSIFT_MODEL")
     env = lambda name: int(os.environ[name]) if os.environ.get(name) else None
     width = dimensions or env("TWINSIFT_DIMENSIONS")
     if not host:
         return HashingEmbedder(width or 64, f"hashing-{width or 64}", max_bytes or env("TWINSIFT_MAX_BYTES") or 16_000)
     service = ServiceEmbedder("", host)
+    if not service.healthy() and not (urllib.parse.urlsplit(host if "://" in host else f"http://{host}").hostname in ("localhost", "127.0.0.1") and service.start()):
+        raise EmbedderError(f"the model service at {host} doesn't answer")
     service.model = choose_model(model, [] if named else service.models(), os.environ.get("TWINSIFT_MODEL"))
     known_context, known_width = service.metadata()
     service.dimensions = width or known_width or len(service.embed(["probe"])[0])
     service.max_bytes = max_bytes or env("TWINSIFT_MAX_BYTES") or max_input_bytes(context or env("TWINSIFT_CONTEXT") or known_context)
+    service.query_prefix = query_prefix(prefix, service.model)
     return service
 
 

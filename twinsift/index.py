@@ -1,14 +1,14 @@
 """The index on disk: Parquet snapshots, an embedding cache beside them, and the runs that keep both up to date.
 
-A snapshot is a folder that is written once; the file CURRENT names the one in use and is replaced in one step, so readers
-see whole snapshots only and a failed run leaves the old one. Chunks without a vector are what a stopped run left to do.
+A snapshot is a folder of tables; the file CURRENT names the one in use and is replaced in one step, so readers see whole
+snapshots only and a failed run leaves the old one, which stays until the next but one is written. While texts are embedded,
+each step appends its vectors to the snapshot's own table of vectors, and the end of a run writes them into the chunks.
+Chunks without a vector are what a stopped run left to do. Folders may lie in any store that Spark reaches.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 import warnings
 from collections.abc import Callable
@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 from .chunker import parse_files
 from .embedding import Embedder, embed_texts
+from .files import Folder
 from .operators import cache as caching
 from .operators import changes, exclusions
-from .schema import CACHED, SCHEMA_VERSION, STORED
+from .schema import CACHED, SCHEMA_VERSION, STORED, TRACKED
 from .sources import repository
 from .sources.tree import project_root, read_files, source_paths
 
 FOLDER, CACHE_FOLDER = ".twinsift", "twinsift-cache"
 STEP = 4096
-TRACKED_FILES = "file_path string, content_hash string, mtime_ms long"
 
 
 class IndexStateError(RuntimeError):
@@ -62,37 +62,46 @@ class Store:
     """Folders of Parquet below a root, with a pointer to the current one."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.folder = spark, Folder(spark, root)
 
     @property
-    def current(self) -> Path | None:
-        pointer = self.root / "CURRENT"
-        return self.root / pointer.read_text().strip() if pointer.exists() else None
+    def current(self) -> str | None:
+        """The name of the snapshot in use."""
+        return self.folder.read("CURRENT").strip() if self.folder.exists("CURRENT") else None
 
     def meta(self) -> dict:
-        return json.loads((self.current / "meta.json").read_text()) if self.current else {}
+        name = self.current
+        found = json.loads(self.folder.read(f"{name}/meta.json")) if name else {}
+        if found.get("schema_version", 0) > SCHEMA_VERSION:
+            raise IndexStateError(f"the index has schema version {found['schema_version']}, this program knows {SCHEMA_VERSION}")
+        return found
 
     def read(self, name: str, schema) -> DataFrame:
-        if self.current is None:
+        snapshot = self.current
+        if snapshot is None or not self.folder.exists(f"{snapshot}/{name}"):
             return self.spark.createDataFrame([], schema)
-        found = self.spark.read.parquet(str(self.current / name))
-        for f in schema.fields if not isinstance(schema, str) else []:  # columns that older snapshots lack
+        found = self.spark.read.parquet(self.folder.at(f"{snapshot}/{name}"))
+        for f in schema.fields:  # columns that older snapshots lack
             if f.name not in found.columns:
                 found = found.withColumn(f.name, F.lit(None).cast(f.dataType))
-        return found if isinstance(schema, str) else found.select(*schema.fieldNames())
+        return found.select(*schema.fieldNames())
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """More rows for a table of the snapshot in use."""
+        rows.write.mode("append").parquet(self.folder.at(f"{self.current}/{name}"))
 
     def write(self, tables: dict[str, DataFrame], meta: dict) -> None:
-        """A new snapshot; the pointer moves when all of it is there, and the one before the last goes."""
-        old = self.current
-        folder = f"snapshot-{uuid.uuid4().hex}"
+        """A new snapshot; the pointer moves when all of it is there. The one before stays for those who still read it."""
+        old, fresh = self.current, f"snapshot-{uuid.uuid4().hex}"
         for name, rows in tables.items():
-            rows.write.parquet(str(self.root / folder / name))
-        (self.root / folder / "meta.json").write_text(json.dumps(meta))
-        fresh = self.root / f"CURRENT.{uuid.uuid4().hex}"
-        fresh.write_text(folder)
-        os.replace(fresh, self.root / "CURRENT")
-        if old is not None and old.exists():
-            shutil.rmtree(old)
+            rows.write.parquet(self.folder.at(f"{fresh}/{name}"))
+        self.folder.write(f"{fresh}/meta.json", json.dumps(meta))
+        pointer = f"CURRENT.{uuid.uuid4().hex}"
+        self.folder.write(pointer, fresh)
+        self.folder.move(pointer, "CURRENT")
+        for name in self.folder.names():
+            if name.startswith("snapshot-") and name not in (old, fresh):
+                self.folder.delete(name)
 
 
 class Index:
@@ -113,10 +122,18 @@ class Index:
         return self
 
     def chunks(self) -> DataFrame:
-        return self.store.read("chunks", STORED)
+        """The chunks, also with the vectors that a run has made so far."""
+        chunks, name = self.store.read("chunks", STORED), self.store.current
+        if name is None or not self.store.folder.exists(f"{name}/vectors"):
+            return chunks
+        return changes.with_embeddings(chunks, self.store.read("vectors", CACHED).dropDuplicates(["content_hash"]))
 
     def tracked(self) -> DataFrame:
-        return self.store.read("files", TRACKED_FILES)
+        return self.store.read("files", TRACKED)
+
+    def with_signature(self, signature_hash: str) -> DataFrame:
+        """The chunks of a signature hash."""
+        return self.chunks().where(F.col("signature_hash") == signature_hash)
 
     def embedded(self) -> DataFrame:
         return self.chunks().where("embedding is not null")
@@ -148,7 +165,7 @@ class Index:
         meta = self.store.meta()
         if meta.get("model_name") not in (None, embedder.model) and not force:
             raise IndexStateError(f"index was built with {meta['model_name']}; use force to build it anew with {embedder.model}")
-        result = IndexResult()
+        result, store = IndexResult(), self._cache_for(embedder, force)
         files, diff = self.plan(prefix, force)
         files, diff = files.persist(), diff.persist()
         try:
@@ -161,58 +178,52 @@ class Index:
             merged = changes.merge_chunks(old, fresh.withColumn("content_hash", F.sha2("source_text", 256)), diff)
             now = {**meta, "schema_version": SCHEMA_VERSION, "model_name": embedder.model, "model_dimensions": embedder.dimensions, "last_indexed_at": datetime.now(timezone.utc).isoformat(), "head_commit": repository.head(self.root)}
             now.setdefault("created_at", now["last_indexed_at"])
-            tracked = changes.merge_tracked(self.tracked(), files.where("source is not null"), diff)
+            tracked = changes.merge_tracked(self.tracked(), files.where("source is not null"), diff, F.lit(now["last_indexed_at"]).cast("timestamp"))
             self.store.write({"chunks": merged, "files": tracked}, now)
         finally:
             files.unpersist()
             diff.unpersist()
-        self._embed(embedder, now, result, force, progress, cancelled)
+        self._embed(embedder, now, store, result, progress, cancelled)
         result.functions_indexed = self.chunks().count()
         return result
 
-    def _cache_for(self, embedder: Embedder, force: bool, result: IndexResult) -> Store | None:
+    def _cache_for(self, embedder: Embedder, force: bool) -> Store | None:
         settings = {"model_name": embedder.model, "dimensions": embedder.dimensions, "max_input_bytes": embedder.max_bytes}
         if self.cache is None:
             return None
         known = self.cache.meta()
         if known and known != settings and not force:
-            result.warnings.append("the embedding cache has other settings and isn't used")
-            return None
+            raise IndexStateError(f"the embedding cache was made with {known.get('model_name')} of {known.get('dimensions')} dimensions; use force to build it anew")
         if not known or known != settings or force:
             self.cache.write({"vectors": self.spark.createDataFrame([], CACHED)}, settings)
         return self.cache
 
-    def _embed(self, embedder: Embedder, meta: dict, result: IndexResult, force: bool, progress, cancelled) -> None:
-        """Vectors for chunks that have none: from the cache, or made in steps; each step is a snapshot of its own."""
-        store = self._cache_for(embedder, force, result)
-        while True:
-            chunks = self.chunks()
-            missing = chunks.where("embedding is null")
-            left = missing.count()
-            if not left:
-                return
+    def _embed(self, embedder: Embedder, meta: dict, store: Store | None, result: IndexResult, progress, cancelled) -> None:
+        """Vectors for chunks that have none: from the cache, or made in steps, each of which is kept as soon as it is done."""
+        while left := (missing := self.chunks().where("embedding is null")).count():
             if cancelled and cancelled():
                 result.status = "cancelled"
-                return
+                break
             if store is not None:
-                known = store.read("vectors", CACHED)
-                hits = known.join(missing.select("content_hash").distinct(), "content_hash", "left_semi")
+                hits = store.read("vectors", CACHED).join(missing.select("content_hash").distinct(), "content_hash", "left_semi")
                 found = missing.join(hits.select("content_hash"), "content_hash", "left_semi").count()
                 if found:
                     result.cached += found
-                    self.store.write({"chunks": changes.with_embeddings(chunks, hits), "files": self.tracked()}, meta)
+                    self.store.append("vectors", hits)
                     continue
             todo = missing.groupBy("content_hash").agg(F.min("source_text").alias("source_text")).orderBy("content_hash").limit(STEP)
             vectors = embed_texts(todo, embedder).persist()
             try:
                 result.embedded += vectors.count()
-                self.store.write({"chunks": changes.with_embeddings(chunks, vectors), "files": self.tracked()}, meta)
+                self.store.append("vectors", vectors)
                 if store is not None:
-                    store.write({"vectors": caching.put(store.read("vectors", CACHED), vectors)}, store.meta())
+                    store.append("vectors", vectors.join(store.read("vectors", CACHED).select("content_hash"), "content_hash", "left_anti"))
             finally:
                 vectors.unpersist()
             if progress:
                 progress(result.embedded, left)
+        if self.store.folder.exists(f"{self.store.current}/vectors"):
+            self.store.write({"chunks": self.chunks(), "files": self.tracked()}, meta)
 
     # --- upkeep
 
@@ -238,7 +249,7 @@ class Index:
         """Drop cached vectors that no work tree's index refers to."""
         if self.cache is None or self.cache.current is None:
             return {"entriesRemoved": 0, "bytesFreed": 0}
-        before, size = self.cache.read("vectors", CACHED), _size(self.cache.current)
+        before, size = self.cache.read("vectors", CACHED), self.cache.folder.size(self.cache.current)
         indexes = []
         for tree in repository.worktrees(self.root) or [self.root]:
             other = Store(self.spark, str(Path(tree) / FOLDER))
@@ -249,8 +260,4 @@ class Index:
         hashes = caching.referenced(indexes) if indexes else self.spark.createDataFrame([], "content_hash string")
         count = before.count()
         self.cache.write({"vectors": caching.prune(before, hashes)}, self.cache.meta())
-        return {"entriesRemoved": count - self.cache.read("vectors", CACHED).count(), "bytesFreed": max(0, size - _size(self.cache.current))}
-
-
-def _size(folder: Path) -> int:
-    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+        return {"entriesRemoved": count - self.cache.read("vectors", CACHED).count(), "bytesFreed": max(0, size - self.cache.folder.size(self.cache.current))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,10 +36,13 @@ def merge_chunks(old: DataFrame, fresh: DataFrame, changes: DataFrame) -> DataFr
     return kept.select(*old.columns).unionByName(new.select(*old.columns))
 
 
-def merge_tracked(old: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
-    """The tracked files after a run; times of unchanged files are taken over as well."""
+def merge_tracked(old: DataFrame, current: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
+    """The tracked files after a run; times of unchanged files are taken over as well, but not when they were indexed."""
+    names = ["file_path", "content_hash", "mtime_ms", "indexed_at"]
     outside = old.join(changes.select("file_path"), "file_path", "left_anti")
-    return outside.select("file_path", "content_hash", "mtime_ms").unionByName(current.select("file_path", "content_hash", "mtime_ms"))
+    known = old.select("file_path", F.col("indexed_at").alias("__was")).join(changes.where("status = 'unchanged'"), "file_path", "left_semi")
+    seen = current.select("file_path", "content_hash", "mtime_ms").join(known, "file_path", "left")
+    return outside.select(*names).unionByName(seen.withColumn("indexed_at", F.coalesce("__was", F.current_timestamp() if now is None else now)).select(*names))
 
 
 def with_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import scalars
 from ..operators import cache, changes, exclusions, knn, ranking, status
 from ..sources.globs import GlobSet
 from ..sources.repository import worktree_paths
+from . import sources
 from .tables import CHUNKS_SQL, DOCUMENTS_SQL, RULES, THRESHOLD, TOKENS_SQL, chunks, combined_sql, distance_sql, documents, jaccard_sql, related_sql, table, tier_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -482,6 +483,51 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embed_texts(texts, embedding.HashingEmbedder(max_bytes=sys.maxsize))
 
 
+def set_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by content for chunks that have none."""
+    rows = documents(spark, sf_dir).withColumn("embedding", F.when(F.col("id") % 5 == 0, F.array(F.lit(9.0).cast("float"))))
+    made = rows.where("id % 2 = 0").groupBy("content_hash").agg(F.array(F.min("id").cast("float")).alias("embedding"))
+    return changes.with_embeddings(rows, made).select("id", F.get("embedding", F.lit(0)).cast("double").alias("first_value"))
+
+
+SET_EMBEDDINGS_SQL = f"""
+WITH {DOCUMENTS_SQL}, made AS (SELECT content_hash, min(id) AS v FROM docs WHERE id % 2 = 0 GROUP BY content_hash)
+SELECT id, CAST(CASE WHEN id % 5 = 0 THEN 9 ELSE v END AS DOUBLE) AS first_value FROM docs LEFT JOIN made USING (content_hash)
+"""
+
+
+def cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("id", scalars.cut_bytes(F.col("text"), F.col("id") % 60).alias("cut"))
+
+
+CUT_TEXTS_SQL = f"""
+WITH {DOCUMENTS_SQL}
+SELECT id, left(text, list_max(list_filter(range(0, id % 60 + 1), lambda k: strlen(left(text, k)) <= id % 60))) AS cut FROM docs
+"""
+
+
+def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, distance = F.col("id"), (F.col("id") % 101) / 100
+    params = F.when(n % 3 == 0, F.expr("array(named_struct('name', 'a', 'type', 'T'), named_struct('name', 'b', 'type', cast(null as string)))")).otherwise(F.expr("cast(array() as array<struct<name:string,type:string>>)"))
+    path = F.concat(F.when(n % 2 == 0, "/work/p/").otherwise("/work/pq/"), F.col("file_path"))
+    return documents(spark, sf_dir).select(
+        "id",
+        scalars.display_name(F.col("function_name"), F.col("chunk_type"), F.col("context")).alias("shown"),
+        scalars.similarity_text(distance).alias("similarity"),
+        scalars.relative_path(path, "/work/p").alias("path"),
+        scalars.signature_text(params, F.when(n % 4 == 0, "R")).alias("signature"),
+        scalars.block_signature((n % 30).cast("int")).alias("block_signature"),
+        scalars.line_count(n % 9, n % 20).alias("lines"),
+    )
+
+
+DISPLAY_SQL = f"""
+WITH {DOCUMENTS_SQL}
+SELECT id, function_name || CASE WHEN chunk_type = 'block' AND context IS NOT NULL THEN ' in ' || context ELSE '' END AS shown, printf('%.2f', (100 - id % 101) / 100.0::DOUBLE) AS similarity,
+       CASE WHEN id % 2 = 0 THEN file_path ELSE '/work/pq/' || file_path END AS path, CASE WHEN id % 3 = 0 THEN '(a: T, b)' ELSE '()' END || CASE WHEN id % 4 = 0 THEN ' => R' ELSE '' END AS signature,
+       '<block> (' || (id % 30) || ' lines)' AS block_signature, greatest(id % 20 - id % 9, 0) + 1 AS lines FROM docs
+"""
+
 CATALOG: dict[str, tuple[Query, str | None]] = {
     "scan_pairs": (scan_pairs, scan_sql()),
     "scan_top": (scan_top, scan_sql(tail=f"ORDER BY distance, a_id, b_id LIMIT {ranking.SCAN_TOP}")),
@@ -520,6 +566,11 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "cache_prune_summary": (cache_prune_summary, f"WITH {CACHE_SQL}, m AS (SELECT content_hash IN {_USED} AS used FROM cache) SELECT count(*) AS entries_before, count(*) FILTER (NOT used) AS entries_removed, count(*) FILTER (used) AS entries_kept FROM m"),
     "exact_duplicates": (exact_duplicates, f"WITH {DOCUMENTS_SQL} SELECT content_hash, count(*) AS copies, min(id) AS first_id FROM docs GROUP BY content_hash HAVING count(*) > 1"),
     "index_status": (index_status, STATUS_SQL),
+    "set_embeddings": (set_embeddings, SET_EMBEDDINGS_SQL),
+    "cut_texts": (cut_texts, CUT_TEXTS_SQL),
+    "display_texts": (display_texts, DISPLAY_SQL),
+    "chunk_sources": (sources.chunk_sources, sources.CHUNK_SOURCES_SQL),
+    "chunk_errors": (sources.chunk_errors, sources.CHUNK_ERRORS_SQL),
     "chunk_functions": (chunk_functions, None),
     "embed_documents": (embed_documents, None),
 }

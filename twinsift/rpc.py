@@ -20,26 +20,33 @@ INVALID_REQUEST, UNKNOWN_METHOD = -32600, -32603
 
 _STRING, _NUMBER, _INTEGER = {"type": "string"}, {"type": "number"}, {"type": "integer"}
 _LIST = {"type": "array", "items": _STRING}
+_DB = {"db": _STRING}
+#: What tools that embed take besides; the names on the right are those of `embedding.resolve`.
+SETTINGS = {"model": "model", "ollamaHost": "host", "contextLength": "context", "maxInputBytes": "max_bytes", "queryPrefix": "prefix", "dimensions": "dimensions"}
+_SETTINGS = {name: _STRING if name in ("model", "ollamaHost", "queryPrefix") else _INTEGER for name in SETTINGS} | _DB
+
+_PAIR = ("queryFunction", "queryPath", "querySignatureHash", "candidateFunction", "candidatePath", "candidateSignatureHash")
 
 #: name: (description, properties, required ones)
 TOOLS: dict[str, tuple[str, dict, list[str]]] = {
-    "query": ("Finds indexed code that is similar to a source text or file.", {"source": _STRING, "file_path": _STRING, "language": _STRING, "top_k": _INTEGER, "threshold": _NUMBER}, []),
-    "index": ("Brings the index up to date in the background.", {"path": _STRING, "force": {"type": "boolean"}}, []),
-    "index_stop": ("Stops a run of the index after its current step.", {}, []),
-    "scan": ("Lists the most similar pairs of the index.", {"top_n": _INTEGER, "threshold": _NUMBER}, []),
-    "status": ("Says how the index is and what a run of it does.", {}, []),
-    "add_exclusion": ("Excludes a pair of functions.", {"file_a": _STRING, "function_a": _STRING, "file_b": _STRING, "function_b": _STRING, "reason": _STRING}, ["file_a", "function_a", "file_b", "function_b"]),
-    "add_file_exclusion": ("Excludes files by a pattern.", {"pattern": _STRING, "reason": _STRING}, ["pattern"]),
-    "add_file_pair_exclusion": ("Excludes a pair of files.", {"file_a": _STRING, "file_b": _STRING, "reason": _STRING}, ["file_a", "file_b"]),
-    "add_file_group_exclusion": ("Excludes all pairs of a group of files.", {"files": _LIST, "reason": _STRING}, ["files"]),
+    "query": ("Finds indexed code that is similar to a source text or file.", {"file": _STRING, "source": _STRING, "language": _STRING, "topK": _INTEGER | {"default": ranking.QUERY_TOP}, "threshold": _NUMBER | {"default": ranking.QUERY_THRESHOLD}} | _SETTINGS, []),
+    "index": ("Brings the index up to date in the background.", {"path": _STRING, "force": {"type": "boolean", "default": False}} | _SETTINGS, []),
+    "index_stop": ("Stops a run of the index; what it has embedded is kept.", {}, []),
+    "scan": ("Lists the most similar pairs of the index.", {"topN": _INTEGER | {"default": ranking.SCAN_TOP}, "threshold": _NUMBER | {"default": ranking.SCAN_THRESHOLD}} | _DB, []),
+    "status": ("Says how the index is and what a run of it does.", _DB, []),
+    "add_exclusion": ("Excludes a pair of functions.", {name: _STRING for name in (*_PAIR, "reason")}, [*_PAIR, "reason"]),
+    "add_file_exclusion": ("Excludes files by a pattern.", {"pattern": _STRING, "reason": _STRING}, ["pattern", "reason"]),
+    "add_file_pair_exclusion": ("Excludes a pair of files.", {"fileA": _STRING, "fileB": _STRING, "reason": _STRING}, ["fileA", "fileB", "reason"]),
+    "add_file_group_exclusion": ("Excludes all pairs of a group of files.", {"files": _LIST, "reason": _STRING}, ["files", "reason"]),
 }
 
 
 class IndexRun:
     """The state of indexing in the background: idle, running, done, failed or cancelled."""
 
-    def __init__(self):
-        self.lock, self.stop = threading.Lock(), threading.Event()
+    def __init__(self, spark: SparkSession):
+        self.lock, self.stop, self.context = threading.Lock(), threading.Event(), spark.sparkContext
+        self.group = f"index-{id(self)}"
         self.state: dict[str, Any] = {"state": "idle"}
         self.thread: threading.Thread | None = None
 
@@ -59,10 +66,11 @@ class IndexRun:
 
     def _work(self, work) -> None:
         try:
+            self.context.setJobGroup(self.group, "index", interruptOnCancel=True)
             result = work(self._progress, self.stop.is_set)
             done = {"state": "cancelled" if result["status"] == "cancelled" else "done", "result": result}
         except Exception as error:  # noqa: BLE001  shown by status
-            done = {"state": "failed", "error": str(error)}
+            done = {"state": "cancelled"} if self.stop.is_set() else {"state": "failed", "error": str(error)}
         with self.lock:
             self.state = done
 
@@ -71,59 +79,65 @@ class IndexRun:
             running = self.state["state"] == "running"
         if running:
             self.stop.set()
+            self.context.cancelJobGroup(self.group)
         return running
 
 
 class Server:
     """Answers requests about the project that `root` lies in."""
 
-    def __init__(self, spark: SparkSession, root: str, resolve: Callable[[], embedding.Embedder] = embedding.resolve, db: str | None = None):
-        self.spark, self.root, self.resolve, self.db, self.runs = spark, root, resolve, db, IndexRun()
+    def __init__(self, spark: SparkSession, root: str, resolve: Callable[..., embedding.Embedder] = embedding.resolve, db: str | None = None):
+        self.spark, self.root, self.resolve, self.db, self.runs = spark, root, resolve, db, IndexRun(spark)
+
+    def index(self, db: str | None = None, path: str | None = None) -> Index:
+        return Index(self.spark, path or self.root, db or self.db)
 
-    def index(self) -> Index:
-        return Index(self.spark, self.root, self.db)
+    def embedder(self, settings: dict) -> embedding.Embedder:
+        if unknown := sorted(settings.keys() - SETTINGS.keys()):
+            raise ValueError(f"unknown argument {unknown[0]}")
+        return self.resolve(**{SETTINGS[name]: value for name, value in settings.items()})
 
     # --- tools
 
-    def tool_query(self, source: str | None = None, file_path: str | None = None, language: str | None = None, top_k: int = ranking.QUERY_TOP, threshold: float = ranking.QUERY_THRESHOLD) -> dict:
-        index = self.index()
+    def tool_query(self, file: str | None = None, source: str | None = None, language: str | None = None, topK: int = ranking.QUERY_TOP, threshold: float = ranking.QUERY_THRESHOLD, db: str | None = None, **settings) -> dict:  # noqa: N803
+        index, embedder = self.index(db), self.embedder(settings)
         name = f"input.{language}" if language else search.VIRTUAL_NAME
-        if source is None:
-            if file_path is None:
-                raise ValueError("source or file_path is needed")
-            name = commands.relative(index, file_path)
+        if file is not None:
+            name = commands.relative(index, file)
             source = (Path(index.root) / name).read_text()
-        return search.query_source(index, self.resolve(), source, name, top_k, threshold)
+        if source is None:
+            raise ValueError("file or source is needed")
+        return search.query_source(index, embedder, source, name, int(topK), threshold)
 
-    def tool_index(self, path: str | None = None, force: bool = False) -> dict:
-        index = Index(self.spark, path or self.root, self.db)
+    def tool_index(self, path: str | None = None, force: bool = False, db: str | None = None, **settings) -> dict:
+        index, embedder = self.index(db, path), self.embedder(settings)
         here = Path(path or self.root).resolve()
         prefix = "" if str(here) == index.root else here.relative_to(index.root).as_posix() + "/"
-        started = self.runs.start(lambda progress, cancelled: index.run(self.resolve(), prefix, force, progress, cancelled).as_json())
+        started = self.runs.start(lambda progress, cancelled: index.run(embedder, prefix, force, progress, cancelled).as_json())
         return {"status": "started" if started else "already running"}
 
     def tool_index_stop(self) -> dict:
         return {"status": "stopping" if self.runs.cancel() else "not running"}
 
-    def tool_scan(self, top_n: int = ranking.SCAN_TOP, threshold: float = ranking.SCAN_THRESHOLD) -> dict:
-        return search.scan(self.index(), threshold, top_n)
+    def tool_scan(self, topN: int = ranking.SCAN_TOP, threshold: float = ranking.SCAN_THRESHOLD, db: str | None = None) -> dict:  # noqa: N803
+        return search.scan(self.index(db), threshold, int(topN))
 
-    def tool_status(self) -> dict:
+    def tool_status(self, db: str | None = None) -> dict:
         state = dict(self.runs.state)
         if state["state"] == "running" and state["embedded"]:
             state["remaining"] = render.duration((time.time() - state["started"]) / state["embedded"] * max(0, state["left"] - state["embedded"]))
-        return self.index().status() | {"indexing": state}
+        return self.index(db).status() | {"indexing": state}
 
-    def tool_add_exclusion(self, file_a: str, function_a: str, file_b: str, function_b: str, reason: str = "") -> dict:
-        return commands.exclude_pair(self.index(), (file_a, function_a), (file_b, function_b), reason)
+    def tool_add_exclusion(self, queryFunction: str, queryPath: str, querySignatureHash: str, candidateFunction: str, candidatePath: str, candidateSignatureHash: str, reason: str) -> dict:  # noqa: N803
+        return commands.exclude_sides(self.index(), (queryPath, queryFunction, querySignatureHash), (candidatePath, candidateFunction, candidateSignatureHash), reason)
 
-    def tool_add_file_exclusion(self, pattern: str, reason: str = "") -> dict:
+    def tool_add_file_exclusion(self, pattern: str, reason: str) -> dict:
         return commands.exclude_file(self.index(), pattern, reason)
 
-    def tool_add_file_pair_exclusion(self, file_a: str, file_b: str, reason: str = "") -> dict:
-        return commands.exclude_file_pair(self.index(), file_a, file_b, reason)
+    def tool_add_file_pair_exclusion(self, fileA: str, fileB: str, reason: str) -> dict:  # noqa: N803
+        return commands.exclude_file_pair(self.index(), fileA, fileB, reason)
 
-    def tool_add_file_group_exclusion(self, files: list[str], reason: str = "") -> dict:
+    def tool_add_file_group_exclusion(self, files: list[str], reason: str) -> dict:
         return commands.exclude_file_group(self.index(), files, reason)
 
     # --- protocol

@@ -8,9 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..chunker import parse_files
 from ..embedding import Embedder, embed_texts
-from ..index import TRACKED_FILES, Store
+from ..index import Store
 from ..operators import changes
-from ..schema import SCHEMA_VERSION, STORED
+from ..schema import SCHEMA_VERSION, STORED, TRACKED
 
 #: What a stream of file versions has; a null source deletes the file.
 VERSIONS = "file_path string, source string, mtime_ms long"
@@ -21,7 +21,7 @@ def merge_versions(store: Store, versions: DataFrame, embedder: Embedder) -> Non
     newest = Window.partitionBy("file_path").orderBy(F.desc("mtime_ms"), F.desc("source"))
     files = versions.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n").withColumn("content_hash", F.sha2("source", 256)).persist()
     try:
-        current, tracked = files.where("source is not null"), store.read("files", TRACKED_FILES)
+        current, tracked = files.where("source is not null"), store.read("files", TRACKED)
         touched = tracked.join(files.select("file_path"), "file_path", "left_semi")
         diff = changes.file_changes(current, touched, trust_mtime=False).persist()
         fresh = parse_files(current.join(diff.where("status in ('added', 'modified')"), "file_path", "left_semi")).where("id is not null").drop("error")
