@@ -1,7 +1,11 @@
 """A corpus pipeline over `documents`: language, near duplicates, benchmark contamination, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last keep the columns of docs.
+stage's docs. All but the last keep the columns of docs, among which are doc_id, text, lang and n_chars; further ones stay.
+
+Defined cases: null and empty texts and those without a letter go in the first stage; rows of equal or near texts are one
+document each, the one with the smallest id (rows whose ids are all null: any one); rows that share an id but not a text
+are documents of their own; a text that only the language stage can't tell, as too short, stays; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm import decontaminate, jaccard, language, packing, pii
-from twinsift.session import materialize
+from twinsift.session import materialize, spread
 
 
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -9,7 +9,9 @@ import os
 import subprocess
 import time
 import urllib.parse
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -49,6 +51,12 @@ def cut(text: str, limit: int) -> str:
     return text if len(data) <= limit else data[:limit].decode(errors="ignore")
 
 
+@lru_cache(maxsize=1 << 18)
+def _gram_hash(gram: str) -> int:
+    """32 bits for a place, and one for a sign above them."""
+    return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest()[:5], "little") & 0x1FFFFFFFF
+
+
 @dataclass
 class HashingEmbedder:
     """Unit vectors of hashed words and their pairs: near texts get near vectors, equal texts equal ones."""
@@ -60,11 +68,11 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            vector = np.zeros(self.dimensions)
             words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-            for gram in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))] or [""]:
-                digest = hashlib.blake2b(gram.encode(), digest_size=8).digest()
-                vector[int.from_bytes(digest[:4], "little") % self.dimensions] += 1 if digest[4] & 1 else -1
+            counts = Counter([*words, *map(" ".join, zip(words, words[1:], strict=False))] or [""])
+            hashed = np.array([_gram_hash(gram) for gram in counts], dtype=np.int64)
+            signed = np.where(hashed >> 32 & 1, 1.0, -1.0) * np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+            vector = np.bincount((hashed & 0xFFFFFFFF) % self.dimensions, weights=signed, minlength=self.dimensions)
             norm = np.sqrt((vector * vector).sum())
             out.append((vector / norm if norm else np.eye(self.dimensions)[0]).tolist())
         return out

@@ -1,13 +1,19 @@
 """Exact k nearest neighbours by cosine distance.
 
-Small indexes travel to the executors as a matrix, after their size was checked; larger ones are dealt into blocks and
-every block of queries meets every block of the index in a task of its own, whose k best rows per query are merged by a
-second, small shuffle. Distances are rounded to DECIMALS places and ties go to the smaller id, so every path and SQL
-agree.
+Small indexes travel to the executors as a matrix, after their size was checked. Larger ones are dealt into cells, each
+row to the nearest of a bounded number of pivots, and a cell keeps how near and how far from its pivot its rows lie. A
+query first looks into the nearest cells that hold k rows; the distance of its k-th row then rules out all other cells
+that can't hold a nearer one, by the triangle inequality of angles, and only the rest are looked into. So vectors travel
+once to their cell and to the cells that matter, not to all. Within a cell, blocks of bounded size meet each other.
+Distances are rounded to DECIMALS places and ties go to the smaller id, so every path and SQL agree.
+
+Vectors without clusters leave little to rule out; then every query still meets most cells.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,11 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine_distance
-from ..session import ship
+from ..session import materialize, ship
 
 DECIMALS = 6
 BROADCAST_VALUES = 8 << 20  # 64 MB of doubles
-BLOCK_ROWS = 4096
+BLOCK_ROWS, MOST_PIVOTS = 4096, 1024
+SLACK = 1e-6  # of angles, for rounding
 STEP_VALUES = 4 << 20
 FEW_QUERIES = 1000
 
@@ -68,7 +75,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", vector
     rows, width = index.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not rows:
         return queries.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    found = _with_matrix(queries, index, k) if rows * width <= broadcast_values else _by_blocks(queries, index, k, rows)
+    found = _with_matrix(queries, index, k) if rows * width <= broadcast_values else _by_cells(queries, index, k, rows, width)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -90,20 +97,124 @@ def _with_matrix(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return queries.mapInArrow(run, schema)
 
 
-def _by_blocks(queries: DataFrame, index: DataFrame, k: int, rows: int) -> DataFrame:
-    blocks = -(-rows // BLOCK_ROWS)
-    asked = max(1, -(-queries.count() // BLOCK_ROWS))
-    dealt = lambda df, own, other, n, m, kind: df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.lit(kind).alias("kind"), "id", "v")
-    both = dealt(queries, "q", "i", asked, blocks, 0).select("q", "i", "kind", "id", "v").unionByName(dealt(index, "i", "q", blocks, asked, 1).select(F.col("q").cast("long").alias("q"), F.col("i").cast("long").alias("i"), "kind", "id", "v"))
+@dataclass
+class Cells:
+    """Pivots with the number of rows around each and the least and the largest angle between them and it."""
+
+    pivots: np.ndarray
+    rows: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def angles(self, vectors: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(vectors @ self.pivots.T, -1, 1))
+
+    def least_angles(self, vectors: np.ndarray) -> np.ndarray:
+        """The least angle that a row of each cell can have to each vector; infinite for empty cells and zero vectors."""
+        angles = self.angles(vectors)
+        least = np.maximum(0, np.maximum(angles - self.high, self.low - angles))
+        least[np.isnan(least)] = np.inf
+        least[:, self.rows == 0] = np.inf
+        return least
+
+    def first(self, vectors: np.ndarray, k: int) -> np.ndarray:
+        """Which cells each vector looks into first: the nearest ones that have k rows together."""
+        least = self.least_angles(vectors)
+        order = np.lexsort((np.nan_to_num(self.angles(vectors), nan=9.0), least), axis=1)
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        chosen = np.zeros(least.shape, dtype=bool)
+        np.put_along_axis(chosen, order, before < k, axis=1)
+        return chosen & np.isfinite(least)
+
+
+def _angle(distance: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(1 - distance - 10.0**-DECIMALS, -1, 1)) + SLACK
+
+
+def _cells(index: DataFrame, rows: int, width: int) -> tuple[DataFrame, Cells]:
+    """(cell, id, v) of the rows of index (id, v), as a table, and the cells."""
+    many = max(1, min(MOST_PIVOTS, int(rows**0.5) // 2, BROADCAST_VALUES // max(1, width)))
+    sample = index.orderBy(F.xxhash64("id"), "id").limit(many).toPandas()
+    pivots = unit_rows(sample["v"].tolist())
+    pivots = pivots[~np.isnan(pivots).any(axis=1)] if len(pivots) else pivots
+    made = Cells(pivots, *(np.zeros(len(pivots)) for _ in range(3)))
+    if not len(pivots):
+        pivots = made.pivots = np.eye(1, max(1, width))
+        made.rows = made.low = made.high = np.zeros(1)
+    shared = index.sparkSession.sparkContext.broadcast(made)
+
+    def run(batches):
+        for batch in batches:
+            vectors = unit_rows(batch.column(1).to_pylist())
+            if not len(vectors):
+                continue
+            angles = shared.value.angles(vectors)
+            usable = ~np.isnan(angles).any(axis=1)
+            cell = np.where(usable, np.nan_to_num(angles, nan=9.0).argmin(axis=1), 0)
+            columns = [pa.array(cell, pa.int64()), pa.array(angles[np.arange(len(cell)), cell]), *batch.columns]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "angle", "id", "v"]).filter(pa.array(usable))
+
+    kind = index.schema["id"].dataType.simpleString()
+    dealt = materialize(index.mapInArrow(run, f"cell long, angle double, id {kind}, v {index.schema['v'].dataType.simpleString()}"), "cells")
+    stats = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("angle").alias("low"), F.max("angle").alias("high")).toPandas()
+    made = Cells(pivots, *(np.zeros(len(pivots)) for _ in range(3)))
+    for name in ("rows", "low", "high"):
+        getattr(made, name)[stats["cell"].to_numpy(np.int64)] = stats[name].to_numpy(float)
+    return dealt.drop("angle"), made
+
+
+def _asked(queries: DataFrame, cells: Cells, choose) -> DataFrame:
+    """(query_id, q, cell): queries (id, v, ...) with each cell that choose(cells, vectors, batch) picks."""
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                row, cell = np.nonzero(choose(shared.value, unit_rows(part.column(1).to_pylist()), part))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(cell, pa.int64())], names=["query_id", "q", "cell"])
+
+    kinds = [queries.schema[name].dataType.simpleString() for name in ("id", "v")]
+    return queries.mapInArrow(run, f"query_id {kinds[0]}, q {kinds[1]}, cell long")
+
+
+def _met(asked: DataFrame, dealt: DataFrame, cells: Cells, search, schema: str) -> DataFrame:
+    """What search(query ids, vectors, ids, vectors) finds for the queries and the rows of each cell, block by block."""
+    asked = materialize(asked, "asked")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_ROWS))).cast("int")
+    stats = asked.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(cells.rows)], "cell long, rows long")
+    sizes = asked.groupBy("cell").agg(blocks(F.count(F.lit(1))).alias("qs")).join(stats, "cell").select("cell", "qs", blocks(F.col("rows")).alias("rs"))
+    sizes = materialize(sizes, "cell-sizes")  # a row for each pivot, so it may be broadcast
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    mixed = lambda key, name: F.pmod(F.xxhash64(key), F.col(name)).cast("int")
+    left = asked.join(F.broadcast(sizes), "cell").select("cell", mixed("query_id", "qs").alias("a"), every("rs").alias("b"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"))
+    right = dealt.join(F.broadcast(sizes), "cell").select("cell", every("qs").alias("a"), mixed("id", "rs").alias("b"), F.lit(False).alias("asks"), "id", "v")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own, other = frame[frame["kind"] == 0], frame[frame["kind"] == 1].sort_values("id")
+        own, other = frame[frame["asks"]], frame[~frame["asks"]].sort_values("id")
         if not len(own) or not len(other):
             return pd.DataFrame({"query_id": own["id"][:0], "id": other["id"][:0], "distance": np.zeros(0)})
-        q, i, d = nearest(unit_rows(own["v"].tolist()), unit_rows(other["v"].tolist()), k)
+        q, i, d = search(unit_rows(own["v"].tolist()), unit_rows(other["v"].tolist()))
         return pd.DataFrame({"query_id": own["id"].to_numpy()[q], "id": other["id"].to_numpy()[i], "distance": d})
 
-    return both.groupBy("q", "i").applyInPandas(run, _schema(queries, index, "id", "id"))
+    return left.unionByName(right).groupBy("cell", "a", "b").applyInPandas(run, schema)
+
+
+def _by_cells(queries: DataFrame, index: DataFrame, k: int, rows: int, width: int) -> DataFrame:
+    schema = _schema(queries, index, "id", "id")
+    dealt, cells = _cells(index, rows, width)
+    search = lambda own, other: nearest(own, other, k)
+    first = materialize(_met(_asked(queries, cells, lambda c, vectors, _: c.first(vectors, k)), dealt, cells, search, schema), "nearest")
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    best = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    bounds = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(2.0).alias("bound"))
+    again = queries.join(bounds.withColumnRenamed("query_id", "id"), "id").select("id", "v", "bound")
+
+    def rest(c: Cells, vectors: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        bound = _angle(part.column(2).to_numpy(zero_copy_only=False))
+        return (c.least_angles(vectors) <= bound[:, None]) & ~c.first(vectors, k)
+
+    return first.unionByName(_met(_asked(again, cells, rest), dealt, cells, search, schema))
 
 
 def knn_sql(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -116,29 +227,25 @@ def knn_sql(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", ve
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
+def within(queries: np.ndarray, index: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, index row, distance) of all pairs within the threshold; rows are unit vectors."""
+    out = []
+    step = max(1, STEP_VALUES // max(1, len(index)))
+    for at in range(0, len(queries), step):
+        distance = np.round(1 - queries[at : at + step] @ index.T, DECIMALS) + 0.0
+        q, i = np.nonzero(distance <= threshold)
+        out.append((q + at, i, distance[q, i]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
 def threshold_join(index: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """All pairs (a < b) within the distance, block by block; unlike the scan, not limited to near neighbours."""
+    """All pairs (a < b) within the distance, cell by cell; unlike the scan, not limited to near neighbours."""
     ship(index.sparkSession)
-    rows = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    numbered = rows.withColumn("block", block)
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: F.struct(F.least("block", other).alias("a"), F.greatest("block", other).alias("b")))
-    dealt = numbered.select("id", "v", "block", F.explode(pairs).alias("p")).select("id", "v", "block", "p.a", "p.b")
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        one, two = int(frame["a"].iloc[0]), int(frame["b"].iloc[0])
-        x, y = frame[frame["block"] == one].sort_values("id"), frame[frame["block"] == two].sort_values("id")
-        left, right = unit_rows(x["v"].tolist()), unit_rows(y["v"].tolist())
-        out = []
-        step = max(1, STEP_VALUES // max(1, len(right)))
-        for at in range(0, len(left), step if len(right) else len(left) + 1):
-            distance = np.round(1 - left[at : at + step] @ right.T, DECIMALS) + 0.0
-            i, j = np.nonzero(distance <= threshold)
-            a, b = x["id"].to_numpy()[i + at], y["id"].to_numpy()[j]
-            keep = a < b if one == two else a != b
-            out.append(pd.DataFrame({"a_id": np.minimum(a, b)[keep], "b_id": np.maximum(a, b)[keep], "distance": distance[i, j][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a_id": x["id"][:0], "b_id": x["id"][:0], "distance": np.zeros(0)})
-
-    return dealt.groupBy("a", "b").applyInPandas(run, f"a_id {kind}, b_id {kind}, distance double")
+    vectors = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
+    rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    kind = vectors.schema["id"].dataType.simpleString()
+    dealt, cells = _cells(vectors, rows, width or 1)
+    bound = float(_angle(np.array([threshold]))[0])
+    asked = _asked(vectors, cells, lambda c, v, _: c.least_angles(v) <= bound)
+    found = _met(asked, dealt, cells, lambda own, other: within(own, other, threshold), f"query_id {kind}, id {kind}, distance double")
+    return found.where("query_id < id").select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), "distance")

@@ -40,9 +40,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt evenly to all cores if it has fewer partitions than there are: a small file of one row group is one task."""
+    """df dealt evenly to all cores if it would leave most of them idle: a small file of one row group is one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
