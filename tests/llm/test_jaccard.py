@@ -120,35 +120,38 @@ def test_like_sql(spark, documents):
 
 def test_token_union():
     members = [{1, 5, 9, 2**63 + 7}, {5, 9}, {9, 11}, {100}]
-    frame = pd.DataFrame({"cid": range(4), "tokens": [np.array(sorted(m), dtype=np.uint64).tobytes() for m in members]})
-    tokens, counts, common = jaccard.token_union(frame)
+    arrays = [np.array(sorted(m), dtype=np.uint64) for m in members]
+    first = jaccard.token_union([(a, None) for a in arrays[:3]])
+    tokens, counts = jaccard.token_union([first, (arrays[3], None)])
     assert tokens.tolist() == sorted(set().union(*members)) and counts.tolist() == [sum(t in m for m in members) for t in tokens.tolist()]
-    assert common.tolist() == [len(m & set().union(*(o for o in members if o is not m))) for m in members]
+    assert [len(x) for x in jaccard.token_union([(np.zeros(0, dtype=np.uint64), None)])] == [0, 0]
 
 
 @pytest.mark.parametrize("slice_tokens", [30, 10_000])
 def test_matrix_and_bounds(spark, monkeypatch, slice_tokens):
     """Unions, counts, shared tokens and overlaps are those of plain sets, however a group is sliced."""
     monkeypatch.setattr(jaccard, "SLICE_TOKENS", slice_tokens)
+    monkeypatch.setattr(jaccard, "ASKED_TOKENS", slice_tokens)
     chance = random.Random(3)
     pool = [chance.randrange(1 << 64) for _ in range(300)]
     own = {cid: set(chance.sample(pool[:120] if cid < 8 else pool[100:], 40)) for cid in range(20)}
+    wide = lambda cid: cid + (1 << 62)  # noqa: E731  too wide for a floating number
     blob = lambda s: bytearray(np.array(sorted(s), dtype=np.uint64).tobytes())
     group = lambda cid: 0 if cid < 8 else 8
-    sets = spark.createDataFrame([(cid, blob(s)) for cid, s in own.items()] + [(50, blob(pool[90:110])), (51, blob(pool[280:]))], "cid long, tokens binary")
-    members = spark.createDataFrame([(cid, group(cid), cid, len(s)) for cid, s in own.items()], "cid long, group long, core long, n long")
-    unions, common = jaccard._matrix(members, sets)
+    sets = spark.createDataFrame([(wide(cid), blob(s)) for cid, s in own.items()] + [(wide(50), blob(pool[90:110])), (wide(51), blob(pool[280:]))], "cid long, tokens binary")
+    grouped = spark.createDataFrame([(wide(cid), blob(s), group(cid), len(s)) for cid, s in own.items()], "cid long, tokens binary, group long, n long")
+    unions = jaccard._matrix(grouped)
     rows = unions.collect()
     for g in (0, 8):
         mine = [s for cid, s in own.items() if group(cid) == g]
         got = {int(t): int(n) for r in rows if r["group"] == g for t, n in zip(np.frombuffer(r["tokens"], "u8"), np.frombuffer(r["counts"], "<u4"), strict=True)}
         assert got == {t: sum(t in s for s in mine) for t in set().union(*mine)}
-    assert {r["cid"]: r["common"] for r in common.collect()} == {cid: len(s & set().union(*(o for c, o in own.items() if c != cid and group(c) == group(cid)))) for cid, s in own.items()}
-    classes = spark.createDataFrame([(50, 20), (51, 20)], "cid long, n long")
-    asked = spark.createDataFrame([(50, 0), (50, 8), (51, 0), (51, 8)], "cid long, group long")
+    common = {r["cid"]: r["overlap"] for r in jaccard._overlaps(grouped, unions, shared=True).collect()}
+    assert common == {wide(cid): len(s & set().union(*(o for c, o in own.items() if c != cid and group(c) == group(cid)))) for cid, s in own.items()}
+    asked = spark.createDataFrame([(wide(c), g) for c in (50, 51) for g in (0, 8)], "cid long, group long").join(sets, "cid")
     union_of = {g: set().union(*(s for cid, s in own.items() if group(cid) == g)) for g in (0, 8)}
-    want = {(c, g) for c, s in ((50, set(pool[90:110])), (51, set(pool[280:]))) for g in (0, 8) if 100 * len(s & union_of[g]) >= 60 * len(s)}
-    assert {(r["cid"], r["group"]) for r in jaccard._qualified(asked, sets, unions, classes, 60).collect()} == want and 0 < len(want) < 4
+    want = {(wide(c), g): len(s & union_of[g]) for c, s in ((50, set(pool[90:110])), (51, set(pool[280:]))) for g in (0, 8)}
+    assert {(r["cid"], r["group"]): r["overlap"] for r in jaccard._overlaps(asked, unions, shared=False).collect()} == want and len(set(want.values())) > 2
 
 
 def test_queries_to_groups(documents, monkeypatch):
@@ -170,6 +173,12 @@ def test_hot_nodes(spark, monkeypatch):
         assert found == {x: min(big) for x in big} | {x: min(small) for x in small}
 
 
+def test_components_by_part(spark):
+    pairs = [(0, 1, 0), (1, 2, 0), (1, 2, 1), (5, 6, 1), (2, 5, 0)]
+    found = {(r["part"], r["node"]): r["root"] for r in components(spark.createDataFrame(pairs, "u long, v long, part int"), "part").collect()}
+    assert found == {(0, 0): 0, (0, 1): 0, (0, 2): 0, (0, 5): 0, (1, 1): 1, (1, 2): 1, (1, 5): 5, (1, 6): 5}
+
+
 def test_bitmap(spark):
     from twinsift.llm.bitmap import bitmap_of, rows_that_may_hold
 

@@ -35,6 +35,8 @@ have 64 bits, so n distinct sets collide with probability n * n / 2 ** 65.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -51,7 +53,7 @@ KEYS = 6
 SAMPLE_TEXTS, FREQUENT_TOKENS, FREQUENT_COUNT = 16_384, 1 << 16, 3
 BUCKET_POSTINGS, FLUSH_POSTINGS = 500_000, 1_000_000
 GROUP_PERCENT, QUERY_BLOCK, MEMBER_BLOCK = 35, 512, 2048
-SLICE_TOKENS = 500_000
+SLICE_TOKENS, ASKED_TOKENS, COPIES = 500_000, 8192, 4
 NO_ID = (1 << 63) - 1  # stands for a null id: the last to name a component
 
 _ODD = [np.uint64(2 * x + 1) for x in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x106689D45497FDB5, 0x3C6EF372FE94F82A, 0x27220A95F3A1B7C9)]
@@ -152,58 +154,114 @@ def block_links(queries: list[tuple[int, int, np.ndarray]], members: list[tuple[
     return out
 
 
-def _cut_by_slice(sets: DataFrame) -> DataFrame:
-    """(group, slice, cid, own, tokens): the tokens of sets (group, slices, cid, own, tokens), dealt by their first bits."""
-
-    def run(batches):
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for group, slices, cid, own, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-                tokens = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
-                at = (tokens >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
-                edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-                for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    for column, value in zip(out, (group, int(at[low]), cid, own, tokens[low:high].tobytes()), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["group", "slice", "cid", "own", "tokens"])
+def slice_edges(tokens: np.ndarray, slices: int) -> Iterator[tuple[int, int, int]]:
+    """(slice, first, end) of the parts of sorted tokens, dealt to so many slices by their first bits."""
+    at = (tokens >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+    edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(at[low]), low, high
 
-    return sets.select("group", "slices", "cid", "own", "tokens").mapInArrow(run, "group long, slice long, cid long, own boolean, tokens binary")
 
+def token_union(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, counts) of the parts together; a part without counts is a set."""
+    tokens = np.concatenate([t for t, _ in parts])
+    counts = np.concatenate([np.ones(len(t), dtype=np.int64) if n is None else n.astype(np.int64) for t, n in parts])
+    order = np.argsort(tokens, kind="stable")
+    tokens, counts = tokens[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, dtype=np.int64)
+    return tokens[first], np.add.reduceat(counts, first) if len(first) else counts
 
-def token_union(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens of a slice of a group, how many members have each, how many tokens of each member another one has too)."""
-    sizes = np.array([len(blob) // 8 for blob in frame["tokens"]], dtype=np.int64)
-    tokens, where, counts = np.unique(np.frombuffer(b"".join(frame["tokens"]), dtype=np.uint64), return_inverse=True, return_counts=True)
-    common = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=counts[where] > 1, minlength=len(sizes)).astype(np.int64)
-    return tokens, counts, common
 
+def _matrix(sets: DataFrame) -> DataFrame:
+    """The token unions (group, slice, slices, tokens, counts) of the sets (cid, tokens, group, n) of groups.
 
-def _matrix(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of members (cid, group, core, n): the token unions (group, slice, slices, tokens, counts), and (cid, common), the
-    number of a class's tokens that another member of its group has too."""
-    sliced = members.groupBy("group").agg(F.ceil(F.sum("n") / SLICE_TOKENS).alias("slices"))
+    Every task adds up what it has of a group first, so a slice gets a row from each task, however many members there are.
+    """
+    sliced = sets.groupBy("group").agg(F.ceil(F.sum("n") / SLICE_TOKENS).alias("slices"))
     sliced = materialize(sliced, "slices")  # a join of tables, so that Spark can split a large group
-    parts = _cut_by_slice(members.join(sliced, "group").join(sets, "cid").withColumn("own", F.lit(True)))
+
+    def add_up(batches):
+        held: dict[tuple[int, int, int], list] = {}
+        size = 0
+
+        def flush():
+            keys, made = list(held), [token_union(held[key]) for key in held]
+            held.clear()
+            columns = [pa.array([key[i] for key in keys], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([t.tobytes() for t, _ in made], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in made], pa.binary())], names=["group", "slices", "slice", "tokens", "counts"])
+
+        for batch in batches:
+            for group, slices, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens = np.frombuffer(blob.as_py(), dtype=np.uint64)
+                for place, low, high in slice_edges(tokens, slices):
+                    held.setdefault((group, slices, place), []).append((tokens[low:high], None))
+                size += len(tokens)
+                if size >= FLUSH_POSTINGS:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        tokens, counts, common = token_union(frame)
-        row = {"group": frame["group"].iloc[0], "slice": frame["slice"].iloc[0], "tokens": tokens.tobytes(), "counts": counts.astype("<u4").tobytes()}
-        return pd.DataFrame([row | {"cids": frame["cid"].to_numpy(np.int64).tobytes(), "common": common.tobytes()}])
+        tokens, counts = token_union([(np.frombuffer(t, dtype=np.uint64), np.frombuffer(n, dtype="<u4")) for t, n in zip(frame["tokens"], frame["counts"], strict=True)])
+        return pd.DataFrame([{"group": frame["group"].iloc[0], "slices": frame["slices"].iloc[0], "slice": frame["slice"].iloc[0], "tokens": tokens.tobytes(), "counts": counts.astype("<u4").tobytes()}])
+
+    schema = "group long, slices long, slice long, tokens binary, counts binary"
+    added = sets.join(sliced, "group").select("group", "slices", "tokens").mapInArrow(add_up, schema)
+    return materialize(added.groupBy("group", "slice").applyInPandas(run, schema), "unions", codec="none")
 
-    def shared(batches):
+
+def _overlaps(asked: DataFrame, unions: DataFrame, shared: bool) -> DataFrame:
+    """(group, cid, overlap): how many tokens of each query asked (cid, group, tokens) the group's union has; with `shared`,
+    only those count that two members or more have.
+
+    Queries meet a slice of the union in blocks of bounded size; a slice is copied to few enough blocks that it isn't more
+    than COPIES times what the queries bring.
+    """
+    sliced = unions.select("group", "slices").distinct()
+
+    def cut(batches):
         for batch in batches:
-            columns = [pa.array(np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.int64)) for i in range(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["cid", "common"])
+            out: tuple[list, ...] = ([], [], [], [])
+            for group, slices, cid, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                tokens = np.frombuffer(blob.as_py(), dtype=np.uint64)
+                for place, low, high in slice_edges(tokens, slices):
+                    for column, value in zip(out, (group, place, cid, tokens[low:high].tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["group", "slice", "cid", "tokens"])
+
+    parts = asked.join(sliced, "group").select("group", "slices", "cid", "tokens").mapInArrow(cut, "group long, slice long, cid long, tokens binary")
+    brought = parts.groupBy("group", "slice").agg((F.sum(F.octet_length("tokens")) / 8).alias("brought"))
+    fair = F.least(F.ceil(F.col("brought") / ASKED_TOKENS), COPIES * F.ceil(F.col("brought") * 8 / F.octet_length("tokens")))
+    blocks = materialize(unions.join(brought, ["group", "slice"]).select("group", "slice", F.greatest(F.lit(1), fair).cast("int").alias("blocks")), "query-blocks")
+    queries = parts.join(blocks, ["group", "slice"]).select("group", "slice", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), "cid", "tokens", F.lit(None).cast("binary").alias("counts"))
+    held = unions.join(blocks, ["group", "slice"]).select("group", "slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).cast("long").alias("cid"), "tokens", "counts")  # no null, which pandas would make floating numbers of
 
-    made = materialize(parts.groupBy("group", "slice").applyInPandas(run, "group long, slice long, tokens binary, counts binary, cids binary, common binary"), "unions", codec="none")
-    common = made.select("cids", "common").mapInArrow(shared, "cid long, common long").groupBy("cid").agg(F.sum("common").alias("common"))
-    return made.select("group", "slice", "tokens", "counts").join(sliced, "group"), common
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        is_query = frame["counts"].isna()
+        union = np.zeros(0, dtype=np.uint64)
+        for tokens, counts in zip(frame["tokens"][~is_query], frame["counts"][~is_query], strict=True):
+            union = np.frombuffer(tokens, dtype=np.uint64)
+            union = union[np.frombuffer(counts, dtype="<u4") > 1] if shared else union
+        blobs = frame["tokens"][is_query]
+        tokens = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+        found = union[np.minimum(np.searchsorted(union, tokens), len(union) - 1)] == tokens if len(union) else np.zeros(len(tokens), dtype=bool)
+        owner = np.repeat(np.arange(len(blobs)), [len(blob) // 8 for blob in blobs])
+        overlap = np.bincount(owner, weights=found, minlength=len(blobs)).astype(np.int64)
+        return pd.DataFrame({"group": frame["group"][is_query].to_numpy(np.int64), "cid": frame["cid"][is_query].to_numpy(np.int64), "overlap": overlap})
+
+    counted = queries.unionByName(held).groupBy("group", "slice", "block").applyInPandas(run, "group long, cid long, overlap long")
+    return counted.groupBy("group", "cid").agg(F.sum("overlap").alias("overlap"))
 
 
-def _links_within(members: DataFrame, sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+def _links_within(members: DataFrame, sets: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between different cores of the same group; members has (cid, group, core, n)."""
-    members = materialize(members.join(common, "cid").where(F.col("common") * 100 >= F.col("n") * percent).select("cid", "group", "core"), "members-left")
+    several = members.groupBy("group").agg(F.min("core").alias("least"), F.max("core").alias("most")).where("least <> most").select("group")
+    several = materialize(several, "several-cores")
+    asked = sets.join(several, "group")
+    common = _overlaps(asked, unions.join(several, "group", "left_semi"), shared=True).select("cid", "overlap")
+    members = materialize(members.join(common, "cid").where(F.col("overlap") * 100 >= F.col("n") * percent).select("cid", "group", "core"), "members-left")
+    sets = sets.select("cid", "tokens")
     cores = members.groupBy("group", "core").agg(F.count(F.lit(1)).alias("size"))
     groups = cores.groupBy("group").agg(F.max_by("core", F.struct("size", "core")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most")).where(F.col("all") > F.col("most"))
     groups = groups.select("group", "largest", F.ceil((F.col("all") - F.col("most")) / QUERY_BLOCK).alias("query_blocks"), F.ceil(F.col("all") / MEMBER_BLOCK).alias("member_blocks"))
@@ -224,26 +282,6 @@ def _links_within(members: DataFrame, sets: DataFrame, common: DataFrame, percen
     return queries.unionByName(others).groupBy("group", "q", "m").applyInPandas(run, "u long, v long")
 
 
-def _qualified(asked: DataFrame, sets: DataFrame, unions: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the queries asked (cid, group) whose overlap with the group's token union reaches the bound."""
-    sliced = unions.select("group", "slices").distinct()
-    parts = _cut_by_slice(asked.join(sliced, "group").join(sets, "cid").withColumn("own", F.lit(False)))
-    blocks = parts.groupBy("group", "slice").agg(F.ceil(F.sum(F.octet_length("tokens")) / (8 * SLICE_TOKENS)).alias("blocks"))
-    blocks = materialize(blocks, "query-blocks")
-    queries = parts.join(blocks, ["group", "slice"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).drop("blocks", "own")
-    held = unions.join(blocks, ["group", "slice"]).select("group", "slice", F.lit(None).cast("long").alias("cid"), "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        is_query = frame["cid"].notna()
-        union = np.concatenate([np.frombuffer(blob, dtype=np.uint64) for blob in frame["tokens"][~is_query]] or [np.zeros(0, dtype=np.uint64)])
-        found = [len(np.intersect1d(np.frombuffer(blob, dtype=np.uint64), union, assume_unique=True)) for blob in frame["tokens"][is_query]]
-        return pd.DataFrame({"group": frame["group"][is_query].astype("int64"), "cid": frame["cid"][is_query].astype("int64"), "overlap": np.array(found, dtype=np.int64)})
-
-    counted = queries.unionByName(held).groupBy("group", "slice", "block").applyInPandas(run, "group long, cid long, overlap long")
-    total = counted.groupBy("group", "cid").agg(F.sum("overlap").alias("overlap")).join(classes.select("cid", "n"), "cid")
-    return total.where(F.col("overlap") * 100 >= F.col("n") * percent).select("cid", "n", "group")
-
-
 def _size_bound(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -395,7 +433,7 @@ def _shared_keys(docs: DataFrame, grouped_sets: DataFrame, buckets: int, width:
         across = (np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts))[number] if len(keys) else first
         return pd.DataFrame({"key": keys[across] + (bucket << 39), "group": groups[across], "cid": cids[across], "is_index": index[across]})
 
-    dealt = docs.mapInArrow(alone, _PACKED).unionByName(grouped_sets.mapInArrow(together, _PACKED))
+    dealt = docs.mapInArrow(alone, _PACKED).unionByName(grouped_sets.select("cid", "tokens", "group").mapInArrow(together, _PACKED))
     return dealt.groupBy("bucket").applyInPandas(runs, "key long, group long, cid long, is_index boolean")
 
 
@@ -411,7 +449,7 @@ def _near_groups(docs: DataFrame, classes: DataFrame, grouped_sets: DataFrame, t
     once = lists.groupBy("groups", "one", "two").agg(F.min("key").alias("key")).select("key")
     rows = materialize(rows.join(once, "key"), "postings")
     side = lambda name: rows.select("key", *(F.col(c).alias(f"{c}{name}") for c in ("group", "is_index", "low", "high")))
-    met = side(1).join(side(2), "key").where(f"group1 < group2 and (is_index1 or is_index2) and high1 * 100 >= low2 * {percent} and high2 * 100 >= low1 * {percent}")
+    met = side(1).join(side(2), "key").where(f"group1 < group2 and ((is_index1 and low1 <= high2) or (is_index2 and low2 <= high1)) and high1 * 100 >= low2 * {percent} and high2 * 100 >= low1 * {percent}")
     return materialize(met.select("group1", "group2").distinct(), "near-groups")
 
 
@@ -433,7 +471,8 @@ def _links_across(docs: DataFrame, classes: DataFrame, members: DataFrame, group
     links = compare(alone, sets, percent)
     if asked.isEmpty():
         return materialize(links.select("u", "v"), "links")
-    opened = _qualified(asked, sets, unions, classes, percent).select(F.col("cid").alias("u"), "n", "group")
+    overlaps = _overlaps(asked.join(sets, "cid"), unions, shared=False).join(classes.select("cid", "n"), "cid")
+    opened = overlaps.where(F.col("overlap") * 100 >= F.col("n") * percent).select(F.col("cid").alias("u"), "n", "group")
     opened = opened.join(members.select(F.col("cid").alias("v"), F.col("n").alias("m"), "group"), "group").where(_size_bound("n", "m", percent))
     opened = materialize(opened.select("u", "v"), "opened")
     links = links.unionByName(compare(opened, sets.unionByName(grouped_sets.select("cid", "tokens")).dropDuplicates(["cid"]), percent))
@@ -454,13 +493,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = _named_pairs(classes, GROUP_PERCENT)
         near_sets = fetch_sets(docs, classes, _both(pairs), width)
         near = materialize(compare(pairs, near_sets, percent, GROUP_PERCENT), "near-links")
-        cores = components(near.where("linked").select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("core"))
-        groups = components(near.select("u", "v")).select(F.col("node").alias("cid"), F.col("root").alias("group"))
-        members = groups.join(cores, "cid", "left").select("cid", "group", F.coalesce("core", "cid").alias("core"))
-        members = materialize(members.join(classes.select("cid", "n"), "cid"), "groups")
-        unions, common = _matrix(members, near_sets)
-        within = materialize(_links_within(members, near_sets, common, percent), "links")
-        grouped_sets = near_sets.join(members.select("cid", "group"), "cid").select("cid", "tokens", "group")
+        both = near.select("u", "v", F.explode(F.when(F.col("linked"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"))
+        roots = components(both, "part").groupBy(F.col("node").alias("cid")).agg(F.max(F.when(F.col("part") == 0, F.col("root"))).alias("group"), F.max(F.when(F.col("part") == 1, F.col("root"))).alias("core"))
+        members = materialize(roots.join(classes.select("cid", "n"), "cid").select("cid", "group", F.coalesce("core", "cid").alias("core"), "n"), "groups")
+        grouped_sets = materialize(near_sets.join(members, "cid").select("cid", "tokens", "group", "n"), "grouped-sets", codec="none")
+        unions = _matrix(grouped_sets)
+        within = materialize(_links_within(members, grouped_sets, unions, percent), "links")
         across = _links_across(docs, classes, members, grouped_sets, unions, total, width, percent)
         links = near.where("linked").select("u", "v").unionByName(within).unionByName(across)
         grouped = materialize(components(links), "components", keep=True)
