@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +37,16 @@ GROUP_PIECES = 16_384
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
-KNOWN_PARTS, TEXTS_AT_ONCE = 400_000, 1024
+KNOWN_PARTS, TEXTS_AT_ONCE = 500_000, 4096
 
 _encoders: dict[str, "Encoder"] = {}
-#: Parts that may stand alone, as the pattern ends a match between them: it never goes on from another character to white
-#: space, or from a letter to an ASCII mark. Texts with other white space than these four stay whole.
+# Parts that may stand alone, as the pattern ends a match between them: it never goes on from another character to white
+# space, or from a letter to an ASCII mark. At single spaces texts are cut all at once; those where a space meets other
+# white space are cut one by one, unless they have white space that versions of Unicode disagree on.
 _PART = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _SEAM = re.compile(r"(?<=[A-Za-zß-öø-ÿ])(?=[!-/:-@[-`{-~])")
 _OTHER_SPACE = re.compile("[\x0b\x0c\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ANY_SPACE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
@@ -62,31 +65,73 @@ class Encoder:
         self.may_cut = settings.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
         self.known: dict[str, bytes] = {}
 
-    def _parts(self, text: str) -> list[str]:
-        whole = not self.may_cut or any(token in text for token in self.added) or _OTHER_SPACE.search(text)
-        return [text] if whole else _PART.findall(text)
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+    def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             found = self.made.encode(some, is_pretokenized=True, add_special_tokens=False)  # each by itself, in one call
             edges = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1))).tolist()
             ids = np.array(found.ids, dtype="<u4").tobytes()
-            out.update(zip(some, map(ids.__getitem__, map(slice, edges, edges[1:])), strict=False))
-        return out
+            self.known.update(zip(some, map(ids.__getitem__, map(slice, edges, edges[1:])), strict=False))
 
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text with the end id, as little-endian unsigned 32-bit numbers."""
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of the parts, which hold no added token."""
         if len(self.known) > KNOWN_PARTS:
             self.known.clear()
-        every, known = [self._parts(text or "") for text in texts], self.known
-        fresh = {part: None for own in every for part in own if part not in known}
-        split = [_SEAM.split(part) if self.may_cut and not any(token in part for token in self.added) else [part] for part in fresh]
-        of_word = self._encode(list({word: None for own in split for word in own}))
-        known.update((part, of_word[own[0]] if len(own) == 1 else b"".join([of_word[word] for word in own])) for part, own in zip(fresh, split, strict=True))
-        end = END_ID.to_bytes(4, "little")
-        return [b"".join([known[part] for part in own]) + end for own in every]
+        known, words, mixed = self.known, [], []
+        for part in parts:
+            if part not in known:
+                if part[1:].isalpha():
+                    words.append(part)
+                else:
+                    mixed.append((part, _SEAM.split(part)))
+        self._learn([*dict.fromkeys([*words, *(word for _, own in mixed for word in own if word not in known)])])
+        for part, own in mixed:
+            known[part] = b"".join([known[word] for word in own])
+        return [known[part] for part in parts]
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if not self.may_cut or any(token in text for token in self.added) or _OTHER_SPACE.search(text):
+                out.append(np.array(self.made.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+            else:
+                out.append(b"".join(self._ids_of(_PART.findall(text))))
+        return out
+
+    def _by_spaces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many of each) for texts that may be cut before every space."""
+        pieces = pc.split_pattern(texts, " ")
+        starts = np.diff(pieces.offsets.to_numpy())
+        coded = pieces.flatten().dictionary_encode()
+        code = 2 * coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(starts) - starts
+        code[first] += 1  # no space before these
+        seen = np.flatnonzero(np.bincount(code, minlength=2 * len(coded.dictionary)))
+        words = coded.dictionary.to_pylist()
+        found = self._ids_of([words[c >> 1] if c & 1 else " " + words[c >> 1] for c in seen.tolist()])
+        sizes = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
+        pool, at = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        row = np.searchsorted(seen, code)
+        many = sizes[row]
+        ends = np.cumsum(many)
+        ids = pool[np.repeat(at[row] - (ends - many), many) + np.arange(ends[-1])] if len(ends) else pool[:0]
+        return ids, np.add.reduceat(many, first) if len(first) else many
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text with the end id, as little-endian unsigned 32-bit numbers."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        alone = np.ones(len(texts), dtype=bool)
+        if self.may_cut and len(texts):
+            alone = pc.match_substring_regex(texts, f" {_ANY_SPACE}|{_ANY_SPACE} ").to_numpy(zero_copy_only=False).copy()
+            for token in self.added:
+                alone |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        ids, sizes = self._by_spaces(texts.filter(pa.array(~alone)))
+        out: list = [None] * len(texts)
+        for row, own in zip(np.flatnonzero(~alone).tolist(), np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [], strict=True):
+            out[row] = own
+        for row, own in zip(np.flatnonzero(alone).tolist(), self._one_by_one(texts.filter(pa.array(alone)).to_pylist()), strict=True):
+            out[row] = np.frombuffer(own, dtype="<u4")
+        return [np.append(own, np.uint32(END_ID)).astype("<u4") for own in out]
 
 
 def encoder(name: str = "byte_bpe_50k") -> Encoder:
@@ -97,7 +142,7 @@ def encoder(name: str = "byte_bpe_50k") -> Encoder:
 
 def token_ids(text: str | None, name: str = "byte_bpe_50k") -> np.ndarray:
     """Ids of one text with the end id."""
-    return np.frombuffer(encoder(name).many([text])[0], dtype="<u4")
+    return encoder(name).many(pa.array([text], pa.string()))[0]
 
 
 def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -148,10 +193,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 rows: list[list[int]] = [[], [], [], [], [], []]
                 draws = random.integers(0, 1 << 62, part.num_rows).tolist()
-                every = encoder(tokenizer).many(part.column(1).to_pylist())
+                every = encoder(tokenizer).many(part.column(1))
                 for doc_id, draw, ids in zip(part.column(0).to_pylist(), draws, every, strict=True):
-                    for start, length, checksum in cut(np.frombuffer(ids, dtype="<u4"), capacity):
-                        for column, value in zip(rows, (doc_id, start, length, checksum, len(ids) // 4, draw), strict=True):
+                    for start, length, checksum in cut(ids, capacity):
+                        for column, value in zip(rows, (doc_id, start, length, checksum, len(ids), draw), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw"])
 

@@ -7,23 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from . import chat, decontaminate, jaccard, language, licences, packing, pii, quality, transport, warc
 from .sampling import crc_of_id
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op1_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    packed = packing.pack(_documents(spark, sf_dir))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     return transport.read_media(materialize(transport.to_media(docs), "media"))
 
 
 def op3_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     return pii.find_pii(docs, pii.fit(docs))
 
 
@@ -76,7 +80,7 @@ FROM written GROUP BY conv_id
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 OP7_SQL = r"""
@@ -96,7 +100,7 @@ FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY
 
 
 def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1
     scored = quality.score(docs, quality.train(docs, labels, ~held_out))
@@ -104,15 +108,15 @@ def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op9_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return licences.scan(_documents(spark, sf_dir))
 
 
 def op10_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2
     model = language.train(docs, ~held_out)
     found = language.identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
