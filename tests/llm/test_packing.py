@@ -51,6 +51,7 @@ def test_given_texts_have_the_contracts_ids(spark):
 
 def test_a_full_store_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "KNOWN_PARTS", 3)
+    monkeypatch.setattr(packing, "TEXTS_AT_ONCE", 2)
     texts = ["one two three, four five six.", "four five six. seven eight", "one two", None]
     assert [ids.tolist() for _ in range(3) for ids in packing.encoder().many(pa.array(texts, pa.string()))] == [reference_ids(t) for t in texts] * 3
 

@@ -40,10 +40,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship, temporaries
+from ..session import materialize, ship, temporaries, tidy
 from .bitmap import bitmap_of, rows_that_may_hold
 from .graph import components
 from .shingles import STEP, mix, shingle_sets
@@ -88,16 +89,18 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
                 has = sizes > 0
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(has * KEYS))).astype(np.int32), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(sizes), pa.array(cids, mask=~has), lists], names=["doc_id", "n_shingles", "cid", "keys"])
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cid long, keys array<long>")
 
 
-def _sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(cid, tokens) of each text that has words."""
+def _sets_of(docs: DataFrame, width: int, bits: Broadcast) -> DataFrame:
+    """(cid, tokens) of the texts that have words and whose ids pass a bitmap."""
 
     def run(batches):
         for batch in batches:
-            for _, _, tokens, sizes in shingle_sets(batch.column(1), width):
+            picked = batch.filter(pa.array(bits.value.may_hold(batch.column(0).to_numpy(zero_copy_only=False))))
+            for _, _, tokens, sizes in shingle_sets(picked.column(1), width):
                 full = np.flatnonzero(sizes)
                 at = _starts(sizes)
                 blobs = [tokens[at[i] : at[i] + sizes[i]].tobytes() for i in full]
@@ -110,7 +113,7 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: in
     """(cid, tokens) of the classes in the column cid of `wanted`, and of a few others."""
     needed = materialize(wanted.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("rep"), "needed")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(needed))
-    return materialize(_sets_of(rows_that_may_hold(docs.select("doc_id", "text"), "doc_id", bits, True), width).dropDuplicates(["cid"]), "sets", codec="none")
+    return materialize(_sets_of(docs.select("doc_id", "text"), width, bits).dropDuplicates(["cid"]), "sets", codec="none")
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -400,6 +403,7 @@ def _shared_keys(docs: DataFrame, grouped_sets: DataFrame, buckets: int, width:
                 keys, owner, index = neighbour_keys(tokens, sizes, percent, frequent)
                 yield from packer.add(keys, index, digests[owner])
         yield from packer.flush()
+        tidy()
 
     def together(batches):
         packer = _Packer(buckets)

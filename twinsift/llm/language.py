@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, tidy
 from .sampling import by_hash_of_each
 
 UNDETERMINED = "und"
@@ -210,5 +210,6 @@ def only_identified(docs: DataFrame, model: Filter, text_col: str = "text", leas
         for batch in batches:
             names, _, share, seen = shared.value.judge(batch.column(place))
             yield batch.filter(pa.array((np.array(names, dtype=object) != UNDETERMINED) & ((share >= least_share) | (seen < enough))))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

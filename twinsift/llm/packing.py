@@ -7,7 +7,7 @@ equal, however many, spread over all groups; which sequence a piece lies in thus
 what the pieces are doesn't.
 
 Ids are those of the vocabulary's .json form. A text is cut at places where that form's pattern ends a match in any case, mostly
-between words; the parts are encoded each on its own, and the ids of those met before are remembered, up to a bound.
+between words; the parts are encoded each on its own, and the ids of those met lately are remembered, up to a bound.
 
 Defined cases: a null text counts as empty and gives one piece that holds just the end id; repeated rows are packed each
 on its own; ties in length go by (doc_id, start, checksum); a document of more pieces than a group usually has makes its
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship
+from ..session import materialize, ship, tidy
 
 END_ID = 1
 CAPACITY = 2048
@@ -37,7 +37,7 @@ GROUP_PIECES = 16_384
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
-KNOWN_PARTS, TEXTS_AT_ONCE = 500_000, 4096
+KNOWN_PARTS, TEXTS_AT_ONCE = 100_000, 1024
 
 _encoders: dict[str, "Encoder"] = {}
 # Parts that may stand alone, as the pattern ends a match between them: it never goes on from another character to white
@@ -63,7 +63,11 @@ class Encoder:
         settings = json.loads(self.made.to_str())
         first, self.added = settings.get("pre_tokenizer") or {}, [token["content"] for token in settings.get("added_tokens", [])]
         self.may_cut = settings.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # what was met lately
+        self.older: dict[str, bytes] = {}  # and before that
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
@@ -76,15 +80,24 @@ class Encoder:
     def _ids_of(self, parts: list[str]) -> list[bytes]:
         """The ids of each of the parts, which hold no added token."""
         if len(self.known) > KNOWN_PARTS:
-            self.known.clear()
-        known, words, mixed = self.known, [], []
+            self.known, self.older = {}, self.known
+        known, older, words, mixed = self.known, self.older, [], []
         for part in parts:
             if part not in known:
-                if part[1:].isalpha():
+                if part in older:
+                    known[part] = older[part]
+                elif part[1:].isalpha():
                     words.append(part)
                 else:
                     mixed.append((part, _SEAM.split(part)))
-        self._learn([*dict.fromkeys([*words, *(word for _, own in mixed for word in own if word not in known)])])
+        for _, own in mixed:
+            for word in own:
+                if word not in known:
+                    if word in older:
+                        known[word] = older[word]
+                    else:
+                        words.append(word)
+        self._learn(list(dict.fromkeys(words)))
         for part, own in mixed:
             known[part] = b"".join([known[word] for word in own])
         return [known[part] for part in parts]
@@ -103,7 +116,7 @@ class Encoder:
         pieces = pc.split_pattern(texts, " ")
         starts = np.diff(pieces.offsets.to_numpy())
         coded = pieces.flatten().dictionary_encode()
-        code = 2 * coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = 2 * coded.indices.to_numpy(zero_copy_only=False)
         first = np.cumsum(starts) - starts
         code[first] += 1  # no space before these
         seen = np.flatnonzero(np.bincount(code, minlength=2 * len(coded.dictionary)))
@@ -114,7 +127,7 @@ class Encoder:
         row = np.searchsorted(seen, code)
         many = sizes[row]
         ends = np.cumsum(many)
-        ids = pool[np.repeat(at[row] - (ends - many), many) + np.arange(ends[-1])] if len(ends) else pool[:0]
+        ids = pool[np.repeat((at[row] - (ends - many)).astype(np.int32), many) + np.arange(ends[-1], dtype=np.int32)] if len(ends) else pool[:0]
         return ids, np.add.reduceat(many, first) if len(first) else many
 
     def many(self, texts: pa.Array) -> list[np.ndarray]:
@@ -199,6 +212,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                         for column, value in zip(rows, (doc_id, start, length, checksum, len(ids), draw), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw"])
+        encoder(tokenizer).forget()
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{PIECES}, draw long")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, tidy
 from .sampling import by_hash
 from .tagger import ALLOWED, KINDS, LABELS, STRIDE, WINDOW, Tagger, classes_of, labels_of, spans_of, viterbi
 
@@ -328,5 +328,6 @@ def mask_pii(docs: DataFrame, tagger: Tagger, text_col: str = "text", length_col
             if count is not None:
                 columns[count] = pa.array([None if text is None else len(text) for text in texts], pa.int64()).cast(batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -91,9 +91,10 @@ sets AS (
                       ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
 links AS (
-  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
-reached AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON r.other = l.u)
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, e.v FROM reached r JOIN edges e ON r.other = e.u)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
 FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
 """
