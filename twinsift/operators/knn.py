@@ -180,11 +180,9 @@ def _asked(queries: DataFrame, cells: Cells, choose) -> DataFrame:
 
 def _met(asked: DataFrame, dealt: DataFrame, cells: Cells, search, schema: str) -> DataFrame:
     """What search(query ids, vectors, ids, vectors) finds for the queries and the rows of each cell, block by block."""
-    asked = materialize(asked, "asked")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_ROWS))).cast("int")
-    stats = asked.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(cells.rows)], "cell long, rows long")
-    sizes = asked.groupBy("cell").agg(blocks(F.count(F.lit(1))).alias("qs")).join(stats, "cell").select("cell", "qs", blocks(F.col("rows")).alias("rs"))
-    sizes = materialize(sizes, "cell-sizes")  # a row for each pivot, so it may be broadcast
+    asks = {row["cell"]: row["count"] for row in asked.groupBy("cell").count().collect()}  # a row for each pivot at most
+    blocks = lambda n: max(1, -(-int(n) // BLOCK_ROWS))
+    sizes = asked.sparkSession.createDataFrame([(cell, blocks(n), blocks(cells.rows[cell])) for cell, n in sorted(asks.items())], "cell long, qs int, rs int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     mixed = lambda key, name: F.pmod(F.xxhash64(key), F.col(name)).cast("int")
     left = asked.join(F.broadcast(sizes), "cell").select("cell", mixed("query_id", "qs").alias("a"), every("rs").alias("b"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"))
