@@ -42,6 +42,23 @@ def test_cut_texts_have_the_ids_of_whole_ones(texts):
     assert [ids.tolist() for ids in packing.encoder().many(pa.array(texts, pa.string()))] == [reference_ids(text) for text in texts]
 
 
+SEAMS = st.sampled_from(["a", "Bc", "é", "É", "×", "÷", "ÿ", "À", "ã", "1", "90", "'", "'s", "'LL", "'é", ".", "~", "\n", "\n\n", "\t", " ", "\x00", "\u0301", "Ā", "²", "日", "İ"])
+
+
+@settings(max_examples=500)
+@given(st.lists(st.lists(SEAMS, max_size=10).map("".join), max_size=4))
+def test_seams_between_kinds_of_characters(texts):
+    assert [ids.tolist() for ids in packing.encoder().many(pa.array(texts, pa.string()))] == [reference_ids(text) for text in texts]
+
+
+def test_words_are_shared_by_texts_that_join_them(monkeypatch):
+    own, words, learned = packing.Encoder("byte_bpe_50k"), [f"w{chr(97 + i)}{chr(122 - i)}" for i in range(20)], []
+    monkeypatch.setattr(own, "_learn", lambda some, learn=own._learn: (learned.extend(some), learn(some)))
+    texts = [f"{a}{mark}{b}" for a in words for b in words for mark in ("\n", ",", "7", ".\n")]
+    assert [ids.tolist() for ids in own.many(pa.array(texts))] == [reference_ids(text) for text in texts]
+    assert len(learned) == len(set(learned)) <= len(words) + 4
+
+
 def test_given_texts_have_the_contracts_ids(spark):
     path = Path("/root/testdata/sf0.001/documents.parquet")
     path.exists() or pytest.skip("needs the given tables")

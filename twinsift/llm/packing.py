@@ -6,8 +6,9 @@ than a group. Only lengths are shuffled, never ids. A row's group is drawn from
 equal, however many, spread over all groups; which sequence a piece lies in thus depends on the table's partitions, but
 what the pieces are doesn't.
 
-Ids are those of the vocabulary's .json form. A text is cut at places where that form's pattern ends a match in any case, mostly
-between words; the parts are encoded each on its own, and the ids of those met lately are remembered, up to a bound.
+Ids are those of the vocabulary's .json form. A text is cut at places where that form's pattern ends a match in any case: before
+spaces, and where letters, digits and marks meet; the parts are encoded each on its own, and the ids of those met lately are
+remembered, up to a bound.
 
 Defined cases: a null text counts as empty and gives one piece that holds just the end id; repeated rows are packed each
 on its own; ties in length go by (doc_id, start, checksum); a document of more pieces than a group usually has makes its
@@ -17,6 +18,7 @@ group larger; an empty table gives no rows; columns other than the two named one
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,18 +39,50 @@ GROUP_PIECES = 16_384
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
-KNOWN_PARTS, TEXTS_AT_ONCE = 100_000, 1024
+KNOWN_PARTS, TEXTS_AT_ONCE, WORDS_AT_ONCE = 200_000, 4096, 128
 
 _encoders: dict[str, "Encoder"] = {}
 # Parts that may stand alone, as the pattern ends a match between them: it never goes on from another character to white
-# space, or from a letter to an ASCII mark. At single spaces texts are cut all at once; those where a space meets other
-# white space are cut one by one, unless they have white space that versions of Unicode disagree on.
+# space, nor between letters, digits and marks, but for an apostrophe before letters. At these places texts are cut all at
+# once; those where a space meets other white space are cut one by one, unless they have white space that versions of
+# Unicode disagree on.
 _PART = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_SEAM = re.compile(r"(?<=[A-Za-zß-öø-ÿ])(?=[!-/:-@[-`{-~])")
+_OTHER, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _LINE, _SPACE = range(7)  # kinds of bytes; letters are ASCII's and those that begin with C3
+_KIND = np.zeros(256, dtype=np.uint8)
+for _low, _high, _kind in ((33, 127, _MARK), (48, 58, _DIGIT), (65, 91, _LETTER), (97, 123, _LETTER), (39, 40, _APOSTROPHE), (10, 11, _LINE), (32, 33, _SPACE)):
+    _KIND[_low:_high] = _kind
+_AFTER_C3 = np.zeros(256, dtype=bool)
+_AFTER_C3[0x80:0xC0] = True
+_AFTER_C3[[0x97, 0xB7]] = False  # signs of multiplication and division
+_ENDS = np.zeros((8, 8), dtype=bool)  # whether a match ends between two kinds
+_ENDS[:, _SPACE] = True
+_ENDS[_LETTER, [_DIGIT, _MARK, _APOSTROPHE, _LINE]] = True
+_ENDS[_DIGIT, [_LETTER, _MARK, _APOSTROPHE, _LINE]] = True
+_ENDS[_MARK, [_LETTER, _DIGIT, _LINE]] = True
+_ENDS[_APOSTROPHE, [_DIGIT, _LINE]] = True
+_ENDS[_LINE, [_LETTER, _DIGIT, _MARK, _APOSTROPHE]] = True  # if the line's end is the only white space there
+_ENDS = _ENDS.reshape(-1)
+_PLAIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _OTHER_SPACE = re.compile("[\x0b\x0c\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ANY_SPACE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where parts begin in the bytes of texts, with their bounds, that have no space beside other white space."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_AFTER_C3[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    begins = np.zeros(len(data), dtype=bool)
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    ends = _ENDS[(kind[:-1] << 3) | kind[1:]]
+    lines = np.flatnonzero(kind[:-1] == _LINE)
+    before = kind[np.maximum(0, lines - 1)]
+    ends[lines] &= (before >= _LETTER) & (before <= _APOSTROPHE)
+    begins[1:] |= ends
+    return np.flatnonzero(begins)
+
+
 class Encoder:
     """Token ids by a .json file of the public tokenizers; remembers the ids of words met before.
 
@@ -56,10 +90,14 @@ class Encoder:
     """
 
     def __init__(self, name: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.made = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.plain = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))  # for lines that are a match of the pattern each
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.line = self.made.token_to_id("\u010a")  # the id of a line's end
         settings = json.loads(self.made.to_str())
         first, self.added = settings.get("pre_tokenizer") or {}, [token["content"] for token in settings.get("added_tokens", [])]
         self.may_cut = settings.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
@@ -70,37 +108,36 @@ class Encoder:
         self.known, self.older = {}, {}
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+        plain, mixed = [], []
+        for word in words:
+            (plain if _PLAIN(word) else mixed).append(word)
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[at : at + WORDS_AT_ONCE]
+            ids = np.array(self.plain.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            self._keep(some, ids, np.append(0, ends[:-1] + 1), ends)
+        for at in range(0, len(mixed), WORDS_AT_ONCE):
+            some = mixed[at : at + WORDS_AT_ONCE]
             found = self.made.encode(some, is_pretokenized=True, add_special_tokens=False)  # each by itself, in one call
-            edges = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1))).tolist()
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            self.known.update(zip(some, map(ids.__getitem__, map(slice, edges, edges[1:])), strict=False))
+            edges = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1))
+            self._keep(some, np.array(found.ids, dtype="<u4"), edges[:-1], edges[1:])
+
+    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data = ids.tobytes()
+        self.known.update(zip(words, map(data.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist())), strict=True))
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
         """The ids of each of the parts, which hold no added token."""
         if len(self.known) > KNOWN_PARTS:
             self.known, self.older = {}, self.known
-        known, older, words, mixed = self.known, self.older, [], []
-        for part in parts:
-            if part not in known:
-                if part in older:
-                    known[part] = older[part]
-                elif part[1:].isalpha():
-                    words.append(part)
-                else:
-                    mixed.append((part, _SEAM.split(part)))
-        for _, own in mixed:
-            for word in own:
-                if word not in known:
-                    if word in older:
-                        known[word] = older[word]
-                    else:
-                        words.append(word)
-        self._learn(list(dict.fromkeys(words)))
-        for part, own in mixed:
-            known[part] = b"".join([known[word] for word in own])
-        return [known[part] for part in parts]
+        known, older = self.known, self.older
+        found = list(map(known.get, parts))
+        lost = [at for at, ids in enumerate(found) if ids is None]
+        known.update((parts[at], older[parts[at]]) for at in lost if parts[at] in older)
+        self._learn(list(dict.fromkeys(parts[at] for at in lost if parts[at] not in known)))
+        for at in lost:
+            found[at] = known[parts[at]]
+        return found
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -111,24 +148,25 @@ class Encoder:
                 out.append(b"".join(self._ids_of(_PART.findall(text))))
         return out
 
-    def _by_spaces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _at_once(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many of each) for texts that may be cut before every space."""
-        pieces = pc.split_pattern(texts, " ")
-        starts = np.diff(pieces.offsets.to_numpy())
-        coded = pieces.flatten().dictionary_encode()
-        code = 2 * coded.indices.to_numpy(zero_copy_only=False)
-        first = np.cumsum(starts) - starts
-        code[first] += 1  # no space before these
-        seen = np.flatnonzero(np.bincount(code, minlength=2 * len(coded.dictionary)))
-        words = coded.dictionary.to_pylist()
-        found = self._ids_of([words[c >> 1] if c & 1 else " " + words[c >> 1] for c in seen.tolist()])
-        sizes = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
-        pool, at = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
-        row = np.searchsorted(seen, code)
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+        if bounds[-1] == bounds[0]:
+            return np.zeros(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        starts = _cuts(data, bounds)
+        edges = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, edges, pa.py_buffer(data)]).dictionary_encode()
+        found = self._ids_of(coded.dictionary.to_pylist())
+        narrow = np.int32 if len(data) < 1 << 31 else np.int64  # a text has no more ids than bytes
+        sizes = np.fromiter(map(len, found), dtype=narrow, count=len(found)) // 4
+        pool, at = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes, dtype=narrow) - sizes
+        row = coded.indices.to_numpy(zero_copy_only=False)
         many = sizes[row]
-        ends = np.cumsum(many)
-        ids = pool[np.repeat((at[row] - (ends - many)).astype(np.int32), many) + np.arange(ends[-1], dtype=np.int32)] if len(ends) else pool[:0]
-        return ids, np.add.reduceat(many, first) if len(first) else many
+        ends = np.cumsum(many, dtype=narrow)
+        ids = pool[np.repeat(at[row] - (ends - many), many) + np.arange(ends[-1], dtype=narrow)]
+        return ids, np.diff(np.append(0, ends)[np.searchsorted(starts, bounds)])
 
     def many(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text with the end id, as little-endian unsigned 32-bit numbers."""
@@ -138,7 +176,7 @@ class Encoder:
             alone = pc.match_substring_regex(texts, f" {_ANY_SPACE}|{_ANY_SPACE} ").to_numpy(zero_copy_only=False).copy()
             for token in self.added:
                 alone |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        ids, sizes = self._by_spaces(texts.filter(pa.array(~alone)))
+        ids, sizes = self._at_once(texts.filter(pa.array(~alone)))
         out: list = [None] * len(texts)
         for row, own in zip(np.flatnonzero(~alone).tolist(), np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [], strict=True):
             out[row] = own
