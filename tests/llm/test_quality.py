@@ -32,6 +32,40 @@ def test_pairs_decide():
         assert (quality.fit(rows, labels).score(rows) == 0.5).all()
 
 
+def test_all_pairs_count():
+    random = np.random.default_rng(1)
+    good = random.random(2500) < 0.7
+    rows = random.standard_normal((2500, len(quality.FEATURES))) + np.where(good, 0.4, -0.4)[:, None] * np.arange(len(quality.FEATURES)) / 10
+    model = quality.fit(rows, good)
+    scaled = np.clip((rows - rows.mean(axis=0)) / rows.std(axis=0), -8, 8)
+    strength = scaled @ model.weights
+    lost = 1 / (1 + np.exp(strength[good][:, None] - strength[~good][None]))
+    slope = (lost.sum(axis=1) @ scaled[good] - lost.sum(axis=0) @ scaled[~good]) / lost.size - quality.RIDGE * model.weights
+    assert np.abs(slope).max() < 1e-4
+    assert (model.score(rows) >= 0.5).sum() == good.sum() and np.isclose(model.scale, strength.std())
+
+
+def test_a_threshold_among_many_equal_strengths(monkeypatch):
+    monkeypatch.setattr(quality, "NEAR", 50)
+    random = np.random.default_rng(2)
+    good = random.random(5000) < 0.6
+    rows = np.round(random.standard_normal((5000, 2))) + good[:, None]
+    model = quality.fit(rows, good)
+    bound = np.sort(model.strength(rows))[(~good).sum()]
+    assert abs(model.threshold - bound) < 1e-8 and model.threshold <= bound
+
+
+def test_all_labelled_rows_are_learned_from(spark, documents):
+    texts = [f"{'A' * (i % 7)} word {'x' * (i % 11)}{'.' * (i % 3)}" for i in range(7000)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 7000)], "doc_id long, quality int")
+    model = quality.train(documents(texts), labels, F.col("doc_id") % 8 != 1)
+    rows = quality.features(pa.array(texts))[np.arange(7000) % 8 != 1]
+    good = (np.arange(7000) % 5 > 0)[np.arange(7000) % 8 != 1]
+    assert np.allclose(model.centre, rows.mean(axis=0), atol=1e-8) and np.allclose(model.width, np.maximum(1e-6, rows.std(axis=0)), atol=1e-6)
+    same = quality.fit(rows, good)
+    assert np.allclose(model.weights, same.weights, atol=1e-6) and np.isclose(model.threshold, same.threshold, atol=1e-6)
+
+
 def table(spark):
     random = np.random.default_rng(4)
     texts, labels = [], []
