@@ -39,7 +39,7 @@ def masked_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, sparing=True)  # beside what the stages before have left in the executors
 
 
 STAGES = [

@@ -129,6 +129,12 @@ def test_documents_are_whole_in_a_group_and_equal_rows_spread(documents):
     assert pieces > 5 and all(n % pieces == 0 for n in by_group.values()) and sum(by_group.values()) == 3 * pieces
 
 
+def test_sparing_gives_the_same_pieces(documents):
+    docs = documents([*ODD_TEXTS, *(f"words, of text{i}\nand more " * i for i in range(300))])
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert sorted(packing.pack(docs, sparing=True).select(*columns).collect(), key=str) == sorted(packing.pack(docs).select(*columns).collect(), key=str)
+
+
 def test_little_padding(documents):
     texts = [f"some words of a text {i} " * (1 + i * 37 % 400) for i in range(600)]
     frame = packing.pack(documents(texts)).toPandas()

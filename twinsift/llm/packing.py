@@ -40,6 +40,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
 KNOWN_PARTS, TEXTS_AT_ONCE, WORDS_AT_ONCE = 200_000, 4096, 128
+SPARING = (20_000, 256)  # the first two where memory is short
 
 _encoders: dict[str, "Encoder"] = {}
 # Parts that may stand alone, as the pattern ends a match between them: it never goes on from another character to white
@@ -95,12 +96,13 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.made = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.plain = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))  # for lines that are a match of the pattern each
+        self.plain = Tokenizer(self.made.model)  # for lines that are a match of the pattern each
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.line = self.made.token_to_id("\u010a")  # the id of a line's end
-        settings = json.loads(self.made.to_str())
-        first, self.added = settings.get("pre_tokenizer") or {}, [token["content"] for token in settings.get("added_tokens", [])]
-        self.may_cut = settings.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+        first = json.loads(self.made.pre_tokenizer.__getstate__()) if self.made.pre_tokenizer else {}
+        self.added = [token.content for token in self.made.get_added_tokens_decoder().values()]
+        self.may_cut = self.made.normalizer is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+        self.keep: int | None = None  # how many, if not KNOWN_PARTS
         self.known: dict[str, bytes] = {}  # what was met lately
         self.older: dict[str, bytes] = {}  # and before that
 
@@ -128,7 +130,7 @@ class Encoder:
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
         """The ids of each of the parts, which hold no added token."""
-        if len(self.known) > KNOWN_PARTS:
+        if len(self.known) > (self.keep or KNOWN_PARTS):
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         found = list(map(known.get, parts))
@@ -156,7 +158,7 @@ class Encoder:
         data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]]
         bounds = bounds - bounds[0]
         starts = _cuts(data, bounds)
-        edges = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        edges = pa.py_buffer(np.append(starts, len(data)))
         coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, edges, pa.py_buffer(data)]).dictionary_encode()
         found = self._ids_of(coded.dictionary.to_pylist())
         narrow = np.int32 if len(data) < 1 << 31 else np.int64  # a text has no more ids than bytes
@@ -233,15 +235,16 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k", sparing: bool = False) -> DataFrame:
     """One row for each piece of each document, without a place in a sequence yet; draw is random and the same for all pieces of a row."""
     ship(docs.sparkSession)
 
     def run(batches):
         random = np.random.default_rng(TaskContext.get().partitionId())
+        encoder(tokenizer).keep, at_once = SPARING if sparing else (None, TEXTS_AT_ONCE)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 rows: list[list[int]] = [[], [], [], [], [], []]
                 draws = random.integers(0, 1 << 62, part.num_rows).tolist()
                 every = encoder(tokenizer).many(part.column(1))
@@ -256,9 +259,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{PIECES}, draw long")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """Pack all documents into sequences of at most `capacity` tokens; a row for each piece (see PACKED)."""
-    cutted = materialize(pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, tokenizer: str = "byte_bpe_50k", sparing: bool = False) -> DataFrame:
+    """Pack all documents into sequences of at most `capacity` tokens; a row for each piece (see PACKED).
+
+    If sparing, tasks take less memory and more time; the pieces are the same.
+    """
+    cutted = materialize(pieces(docs, id_col, text_col, capacity, tokenizer, sparing), "pieces")
     groups = max(1, -(-cutted.count() // group_pieces))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
