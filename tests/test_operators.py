@@ -32,6 +32,44 @@ def test_knn_of_nothing(spark):
     assert knn.knn(data, data, 3).count() == 0 and knn.threshold_join(data, 0.5).count() == 0
 
 
+def near_pairs(unit, k=None, threshold=None):
+    """Brute force in double precision: (query, id, rank), or (a, b)."""
+    distance = np.round(1 - unit @ unit.T, 6) + 0.0
+    if k is None:
+        return {(int(a), int(b)) for a, b in zip(*np.nonzero(distance <= threshold), strict=True) if a < b}
+    return {(q, int(i), rank) for q in range(len(unit)) for rank, i in enumerate(np.lexsort((np.arange(len(unit)), distance[q]))[:k], 1)}
+
+
+@pytest.mark.parametrize("name", [int, str])
+def test_vectors_travel_in_slices(spark, monkeypatch, name):
+    """Many blocks and slices, with ties across them; rows travel packed and the driver collects none of them."""
+    for constant, value in (("BLOCK_ROWS", 60), ("SLICE_ROWS", 16), ("STEP_ROWS", 25), ("STEP_PAIRS", 9)):
+        monkeypatch.setattr(knn, constant, value)
+    values = np.random.default_rng(2).standard_normal((500, 12)).astype(np.float32)
+    values[100:160], values[300:340] = values[7], values[8] * 2
+    unit = knn.unit_rows(values)
+    key = (lambda i: i) if name is int else (lambda i: f"{i:03}")
+    data = spark.createDataFrame([(key(i), v.tolist()) for i, v in enumerate(values)], f"id {'long' if name is int else 'string'}, embedding array<float>").repartition(3)
+    packed = knn._slices(data.select("id", data["embedding"].alias("v")), 5, 16, True).collect()
+    assert sorted(i for row in packed for i in row["ids"]) == [key(i) for i in range(500)] and max(len(row["ids"]) for row in packed) <= 16
+    per_part = [sum(len(row["ids"]) for row in packed if row["part"] == part) for part in range(5)]
+    assert 50 < min(per_part) and max(per_part) < 150
+    monkeypatch.setattr(type(data), "toPandas", lambda self: pytest.fail("the driver collects rows"))
+    assert {(int(r["query_id"]), int(r["id"]), r["rank"]) for r in knn.knn(data, data, 7, broadcast_values=0).collect()} == near_pairs(unit, 7)
+    few = knn.knn(data.where("cast(id as int) < 9"), data, 600, broadcast_values=0)
+    assert few.count() == 9 * 500
+    found = [(int(r["a_id"]), int(r["b_id"])) for r in knn.threshold_join(data, 0.4).collect()]
+    assert len(found) == len(set(found)) and set(found) == near_pairs(unit, threshold=0.4)
+
+
+def test_index_beyond_a_few_megabytes_is_not_broadcast(spark, monkeypatch):
+    """20,000 vectors of 64, which each worker of an executor would hold."""
+    monkeypatch.setattr(knn, "_with_matrix", lambda *_: pytest.fail("the index travels whole"))
+    data = spark.range(20_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda j: F.sin(F.col("id") * j).cast("float")).alias("embedding"))
+    found = knn.knn(data.where("id in (5, 77, 19000)"), data, 2).collect()
+    assert len(found) == 6 and all(r["id"] == r["query_id"] for r in found if r["rank"] == 1)
+
+
 def chunk_rows(spark, rows):
     return spark.createDataFrame(rows, "id string, file_path string, function_name string, chunk_type string, context string, signature_hash string, tokens array<string>, embedding array<float>")
 

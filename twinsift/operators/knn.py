@@ -1,33 +1,30 @@
 """Exact k nearest neighbours by cosine distance.
 
-Small indexes travel to the executors as a matrix, after their size was checked. Larger ones are dealt into cells, each
-row to the nearest of a bounded number of pivots, and a cell keeps how near and how far from its pivot its rows lie. A
-query first looks into the nearest cells that hold k rows; the distance of its k-th row then rules out all other cells
-that can't hold a nearer one, by the triangle inequality of angles, and only the rest are looked into. So vectors travel
-once to their cell and to the cells that matter, not to all. Within a cell, blocks of bounded size meet each other.
+Small indexes travel to the executors as a matrix, after their size was checked. Otherwise queries are dealt into blocks of
+bounded size, and the index passes by each block in slices, as a stream: a task holds its block, a slice and the k best rows
+so far. Products in single precision, with a bound on their error, tell which rows can be among them; only those are computed
+in double precision. The work is the product of both sizes, as vectors without clusters leave nothing to rule out.
 Distances are rounded to DECIMALS places and ties go to the smaller id, so every path and SQL agree.
-
-Vectors without clusters leave little to rule out; then every query still meets most cells.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import cosine_distance
-from ..session import materialize, ship
+from ..session import ship, tidy
 
 DECIMALS = 6
-BROADCAST_VALUES = 8 << 20  # 64 MB of doubles
-BLOCK_ROWS, MOST_PIVOTS = 4096, 1024
-SLACK = 1e-6  # of angles, for rounding
-STEP_VALUES = 4 << 20
+BROADCAST_VALUES = 1 << 20  # 8 MB of doubles
+BLOCK_ROWS, SLICE_ROWS = 16384, 2048  # of queries in a task, and of the index in a step
+STEP_ROWS, STEP_PAIRS = 512, 1 << 15  # of queries in a step, and pairs in double precision at once
+STEP_VALUES = 1 << 20
 FEW_QUERIES = 1000
 
 
@@ -75,7 +72,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", vector
     rows, width = index.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not rows:
         return queries.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    found = _with_matrix(queries, index, k) if rows * width <= broadcast_values else _by_cells(queries, index, k, rows, width)
+    found = _with_matrix(queries, index, k) if rows * width <= broadcast_values else _by_blocks(queries, index, k)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -91,128 +88,198 @@ def _with_matrix(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             own = batch.column(0).to_pandas().to_numpy()
-            q, i, d = nearest(unit_rows(batch.column(1).to_pylist()), matrix, k)
+            q, i, d = nearest(unit_rows(_matrix(batch.column(1))), matrix, k)
             yield pa.RecordBatch.from_arrays([pa.array(own[q], batch.column(0).type), pa.array(ids[i]), pa.array(d)], names=["query_id", "id", "distance"])
 
     return queries.mapInArrow(run, schema)
 
 
-@dataclass
-class Cells:
-    """Pivots with the number of rows around each and the least and the largest angle between them and it."""
-
-    pivots: np.ndarray
-    rows: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-
-    def angles(self, vectors: np.ndarray) -> np.ndarray:
-        return np.arccos(np.clip(vectors @ self.pivots.T, -1, 1))
-
-    def least_angles(self, vectors: np.ndarray) -> np.ndarray:
-        """The least angle that a row of each cell can have to each vector; infinite for empty cells and zero vectors."""
-        angles = self.angles(vectors)
-        least = np.maximum(0, np.maximum(angles - self.high, self.low - angles))
-        least[np.isnan(least)] = np.inf
-        least[:, self.rows == 0] = np.inf
-        return least
-
-    def first(self, vectors: np.ndarray, k: int) -> np.ndarray:
-        """Which cells each vector looks into first: the nearest ones that have k rows together."""
-        least = self.least_angles(vectors)
-        order = np.lexsort((np.nan_to_num(self.angles(vectors), nan=9.0), least), axis=1)
-        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
-        chosen = np.zeros(least.shape, dtype=bool)
-        np.put_along_axis(chosen, order, before < k, axis=1)
-        return chosen & np.isfinite(least)
-
-
-def _angle(distance: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(1 - distance - 10.0**-DECIMALS, -1, 1)) + SLACK
-
-
-def _cells(index: DataFrame, rows: int, width: int) -> tuple[DataFrame, Cells]:
-    """(cell, id, v) of the rows of index (id, v), as a table, and the cells."""
-    many = max(1, min(MOST_PIVOTS, int(rows**0.5) // 2, BROADCAST_VALUES // max(1, width)))
-    sample = index.orderBy(F.xxhash64("id"), "id").limit(many).toPandas()
-    pivots = unit_rows(sample["v"].tolist())
-    pivots = pivots[~np.isnan(pivots).any(axis=1)] if len(pivots) else pivots
-    made = Cells(pivots, *(np.zeros(len(pivots)) for _ in range(3)))
-    if not len(pivots):
-        pivots = made.pivots = np.eye(1, max(1, width))
-        made.rows = made.low = made.high = np.zeros(1)
-    shared = index.sparkSession.sparkContext.broadcast(made)
+def _is_single(rows: DataFrame) -> bool:
+    return rows.schema["v"].dataType.elementType.simpleString() == "float"
 
-    def run(batches):
-        for batch in batches:
-            vectors = unit_rows(batch.column(1).to_pylist())
-            if not len(vectors):
-                continue
-            angles = shared.value.angles(vectors)
-            usable = ~np.isnan(angles).any(axis=1)
-            cell = np.where(usable, np.nan_to_num(angles, nan=9.0).argmin(axis=1), 0)
-            columns = [pa.array(cell, pa.int64()), pa.array(angles[np.arange(len(cell)), cell]), *batch.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=["cell", "angle", "id", "v"]).filter(pa.array(usable))
 
-    kind = index.schema["id"].dataType.simpleString()
-    dealt = materialize(index.mapInArrow(run, f"cell long, angle double, id {kind}, v {index.schema['v'].dataType.simpleString()}"), "cells")
-    stats = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("angle").alias("low"), F.max("angle").alias("high")).toPandas()
-    made = Cells(pivots, *(np.zeros(len(pivots)) for _ in range(3)))
-    for name in ("rows", "low", "high"):
-        getattr(made, name)[stats["cell"].to_numpy(np.int64)] = stats[name].to_numpy(float)
-    return dealt.drop("angle"), made
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a list column, in its own precision."""
+    if not len(column):
+        return np.zeros((0, 0))
+    lengths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
+    if len(lengths) != 1:
+        raise ValueError(f"vectors of different widths: {lengths.tolist()}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), int(lengths[0]))
 
 
-def _asked(queries: DataFrame, cells: Cells, choose) -> DataFrame:
-    """(query_id, q, cell): queries (id, v, ...) with each cell that choose(cells, vectors, batch) picks."""
-    shared = queries.sparkSession.sparkContext.broadcast(cells)
+def _slices(rows: DataFrame, parts: int, most: int, is_query: bool) -> DataFrame:
+    """(part, is_query, ids, width, vectors): rows (id, v) dealt into parts by id, many in a row, without zero vectors."""
+    kind = np.float32 if _is_single(rows) else np.float64
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                row, cell = np.nonzero(choose(shared.value, unit_rows(part.column(1).to_pylist()), part))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(cell, pa.int64())], names=["query_id", "q", "cell"])
-
-    kinds = [queries.schema[name].dataType.simpleString() for name in ("id", "v")]
-    return queries.mapInArrow(run, f"query_id {kinds[0]}, q {kinds[1]}, cell long")
-
-
-def _met(asked: DataFrame, dealt: DataFrame, cells: Cells, search, schema: str) -> DataFrame:
-    """What search(query ids, vectors, ids, vectors) finds for the queries and the rows of each cell, block by block."""
-    asks = {row["cell"]: row["count"] for row in asked.groupBy("cell").count().collect()}  # a row for each pivot at most
-    blocks = lambda n: max(1, -(-int(n) // BLOCK_ROWS))
-    sizes = asked.sparkSession.createDataFrame([(cell, blocks(n), blocks(cells.rows[cell])) for cell, n in sorted(asks.items())], "cell long, qs int, rs int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    mixed = lambda key, name: F.pmod(F.xxhash64(key), F.col(name)).cast("int")
-    left = asked.join(F.broadcast(sizes), "cell").select("cell", mixed("query_id", "qs").alias("a"), every("rs").alias("b"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"))
-    right = dealt.join(F.broadcast(sizes), "cell").select("cell", every("qs").alias("a"), mixed("id", "rs").alias("b"), F.lit(False).alias("asks"), "id", "v")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own, other = frame[frame["asks"]], frame[~frame["asks"]].sort_values("id")
-        if not len(own) or not len(other):
-            return pd.DataFrame({"query_id": own["id"][:0], "id": other["id"][:0], "distance": np.zeros(0)})
-        q, i, d = search(unit_rows(own["v"].tolist()), unit_rows(other["v"].tolist()))
-        return pd.DataFrame({"query_id": own["id"].to_numpy()[q], "id": other["id"].to_numpy()[i], "distance": d})
-
-    return left.unionByName(right).groupBy("cell", "a", "b").applyInPandas(run, schema)
-
-
-def _by_cells(queries: DataFrame, index: DataFrame, k: int, rows: int, width: int) -> DataFrame:
-    schema = _schema(queries, index, "id", "id")
-    dealt, cells = _cells(index, rows, width)
-    search = lambda own, other: nearest(own, other, k)
-    first = materialize(_met(_asked(queries, cells, lambda c, vectors, _: c.first(vectors, k)), dealt, cells, search, schema), "nearest")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    best = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    bounds = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(2.0).alias("bound"))
-    again = queries.join(bounds.withColumnRenamed("query_id", "id"), "id").select("id", "v", "bound")
-
-    def rest(c: Cells, vectors: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
-        bound = _angle(part.column(2).to_numpy(zero_copy_only=False))
-        return (c.least_angles(vectors) <= bound[:, None]) & ~c.first(vectors, k)
+            matrix = _matrix(batch.column(1))
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares = np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64)
+            good = np.flatnonzero((squares > 0) & np.isfinite(squares))
+            part = batch.column(2).to_numpy()[good]
+            order = np.argsort(part, kind="stable")
+            good, part = good[order], part[order]
+            for own in np.split(good, np.flatnonzero(np.diff(part)) + 1):
+                for at in range(0, len(own), most):
+                    taken = own[at : at + most]
+                    ids = batch.column(0).take(pa.array(taken))
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                    columns = [batch.column(2).take(pa.array(taken[:1])), pa.array([is_query]), lists, pa.array([matrix.shape[1]], pa.int32()), pa.array([matrix[taken].astype(kind).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "is_query", "ids", "width", "vectors"])
+
+    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    return dealt.mapInArrow(run, f"part int, is_query boolean, ids array<{rows.schema['id'].dataType.simpleString()}>, width int, vectors binary")
+
+
+def _unpacked(batch: pa.RecordBatch, single: bool) -> tuple[pa.Array, np.ndarray]:
+    """The ids and unit rows of slices (..., ids, width, vectors)."""
+    widths = np.unique(batch.column(3).to_numpy())
+    if len(widths) != 1:
+        raise ValueError(f"vectors of different widths: {widths.tolist()}")
+    parts = [np.frombuffer(data.as_buffer(), dtype=np.float32 if single else np.float64) for data in batch.column(4)]
+    return batch.column(2).flatten(), unit_rows(np.concatenate(parts).reshape(-1, widths[0]))
+
+
+def _margin(width: int) -> float:
+    """How far a product of two unit rows in single precision can lie from the one that gives the rounded distance."""
+    return (width + 6) * 2.0**-23 + 0.5 * 10.0**-DECIMALS
+
+
+def _at_least(products: np.ndarray, bound: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the products that aren't below their row's bound; most are, which is seen eight at a time."""
+    np.greater_equal(products, bound[:, None], out=mask)
+    flat = mask.reshape(-1)
+    whole = len(flat) // 8 * 8
+    some = np.flatnonzero(flat[:whole].view(np.uint64) != 0)
+    places = (some[:, None] * 8 + np.arange(8)).reshape(-1)
+    found = np.concatenate([places[flat[places]], whole + np.flatnonzero(flat[whole:])])
+    return found // products.shape[1], found % products.shape[1]
+
+
+def _distances(own: np.ndarray, other: np.ndarray, q: np.ndarray, i: np.ndarray) -> np.ndarray:
+    out = np.empty(len(q))
+    for at in range(0, len(q), STEP_PAIRS):
+        to = at + STEP_PAIRS
+        out[at:to] = np.einsum("ij,ij->i", own[q[at:to]], other[i[at:to]])
+    return np.round(1 - out, DECIMALS) + 0.0
+
+
+def _orders(ids: np.ndarray) -> np.ndarray:
+    """Numbers that sort as ids do."""
+    return ids if ids.dtype.kind in "iuf" else np.unique(ids, return_inverse=True)[1]
+
+
+def _steps(own32: np.ndarray, other32: np.ndarray, rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first query, first row, products, mask to use) of blocks of queries and rows; both arrays are used again."""
+    products, mask = np.empty(STEP_ROWS * rows, np.float32), np.empty(STEP_ROWS * rows, bool)
+    for a in range(0, len(own32), STEP_ROWS):
+        left = own32[a : a + STEP_ROWS]
+        for b in range(0, len(other32), rows):
+            right = other32[b : b + rows]
+            shape = (len(left), len(right))
+            size = shape[0] * shape[1]
+            yield a, b, np.dot(left, right.T, out=products[:size].reshape(shape)), mask[:size].reshape(shape)
+
+
+class Best:
+    """The k best rows so far of each query of a block."""
+
+    def __init__(self, unit: np.ndarray, k: int, names: np.ndarray):
+        self.unit, self.single, self.k = unit, unit.astype(np.float32), k
+        self.distance, self.ids = np.full((len(unit), k), np.inf), np.full((len(unit), k), names[0], dtype=names.dtype)
+        self.margin = _margin(unit.shape[1])
+
+    def meet(self, ids: np.ndarray, unit: np.ndarray, rows: int) -> None:
+        for a, b, products, mask in _steps(self.single, unit.astype(np.float32), rows):
+            q, i = _at_least(products, self._bound(a, products), mask)
+            if not len(q):
+                continue
+            q, i = q + a, i + b
+            d, names = _distances(self.unit, unit, q, i), ids[i]
+            worst, last = self.distance[q, -1], self.ids[q, -1]
+            better = d < worst
+            equal = np.flatnonzero(d == worst)
+            better[equal] = names[equal] < last[equal]
+            if better.any():
+                self._merge(q[better], names[better], d[better])
+
+    def _bound(self, a: int, products: np.ndarray) -> np.ndarray:
+        """The least product in single precision that a row nearer than the k-th so far, or among k of these, can have."""
+        bound = 1 - self.distance[a : a + len(products), -1] - self.margin
+        open_ = np.flatnonzero(np.isneginf(bound))
+        if len(open_) and self.k < products.shape[1]:
+            place = products.shape[1] - self.k
+            bound[open_] = np.partition(products[open_], place, axis=1)[:, place] - 2 * self.margin
+        return bound.astype(np.float32)
+
+    def _merge(self, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        touched = np.unique(q)
+        every_q = np.concatenate([np.repeat(touched, self.k), q])
+        every_id, every_d = np.concatenate([self.ids[touched].reshape(-1), ids]), np.concatenate([self.distance[touched].reshape(-1), d])
+        order = np.lexsort((_orders(every_id), every_d, every_q))
+        taken = order[np.searchsorted(every_q[order], touched)[:, None] + np.arange(self.k)]
+        self.distance[touched], self.ids[touched] = every_d[taken], every_id[taken]
+
+
+def _meeting(asks: DataFrame, rest: DataFrame, tasks: int, columns: list[str]) -> DataFrame:
+    """Slices by task, the queries' first."""
+    columns = ["task", "is_query", "ids", "width", "vectors", *columns]
+    return asks.select(columns).unionByName(rest.select(columns)).repartitionById(tasks, F.col("task")).sortWithinPartitions("task", F.desc("is_query"))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(task, is_query, slices) of a batch, for each run of equal ones."""
+    task, asking = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((np.diff(task) != 0) | (asking[1:] != asking[:-1])) + 1
+    for at, to in zip([0, *cuts], [*cuts, len(task)], strict=True):
+        if at < to:
+            yield task[at], asking[at], batch.slice(at, to - at)
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _by_blocks(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows in each part of the index, of which there are more than one only if the queries are few."""
+    cores, block, rows = queries.sparkSession.sparkContext.defaultParallelism, BLOCK_ROWS, SLICE_ROWS
+    blocks = max(1, -(-queries.count() // block))
+    blocks, parts = (-(-blocks // cores) * cores, 1) if blocks >= cores else (blocks, -(-2 * cores // blocks))
+    asks = _slices(queries, blocks, block, True).withColumn("other", _every(parts)).withColumn("task", F.col("part") * parts + F.col("other"))
+    rest = _slices(index, parts, rows, False).withColumn("other", _every(blocks)).withColumn("task", F.col("other") * parts + F.col("part"))
+    singles, id_type = {True: _is_single(queries), False: _is_single(index)}, to_arrow_type(index.schema["id"].dataType)
+
+    def answer(own: list[pa.Array], best: Best | None) -> Iterator[pa.RecordBatch]:
+        if best is None:
+            return
+        names = pa.concat_arrays(own)
+        for at in range(0, len(names), STEP_ROWS):
+            q, place = np.nonzero(np.isfinite(best.distance[at : at + STEP_ROWS]))
+            columns = [names.take(pa.array(q + at)), pa.array(best.ids[q + at, place], id_type), pa.array(best.distance[q + at, place])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "distance"])
 
-    return first.unionByName(_met(_asked(again, cells, rest), dealt, cells, search, schema))
+    def run(batches):
+        task, own, units, best = None, [], [], None
+        for batch in batches:
+            for now, asking, slices in _runs(batch):
+                if now != task:
+                    yield from answer(own, best)
+                    task, own, units, best = now, [], [], None
+                ids, unit = _unpacked(slices, singles[bool(asking)])
+                if asking:
+                    own.append(ids)
+                    units.append(unit)
+                elif own:
+                    names = ids.to_numpy(zero_copy_only=False)
+                    if best is None:
+                        best, units = Best(np.concatenate(units), k, names), []
+                    best.meet(names, unit, rows)
+        yield from answer(own, best)
+        tidy()
+
+    return _meeting(asks, rest, blocks * parts, []).mapInArrow(run, _schema(queries, index, "id", "id"))
 
 
 def knn_sql(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -225,25 +292,44 @@ def knn_sql(queries: DataFrame, index: DataFrame, k: int, id_col: str = "id", ve
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
-def within(queries: np.ndarray, index: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, index row, distance) of all pairs within the threshold; rows are unit vectors."""
-    out = []
-    step = max(1, STEP_VALUES // max(1, len(index)))
-    for at in range(0, len(queries), step):
-        distance = np.round(1 - queries[at : at + step] @ index.T, DECIMALS) + 0.0
-        q, i = np.nonzero(distance <= threshold)
-        out.append((q + at, i, distance[q, i]))
-    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
-
-
 def threshold_join(index: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """All pairs (a < b) within the distance, cell by cell; unlike the scan, not limited to near neighbours."""
+    """All pairs (a < b) within the distance, block by block; unlike the scan, not limited to near neighbours.
+
+    Each two blocks meet in one task: a block stays, and itself and half of the others, those that follow it, pass by.
+    """
     ship(index.sparkSession)
     vectors = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
-    rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    cores, rows, single = index.sparkSession.sparkContext.defaultParallelism, SLICE_ROWS, _is_single(vectors)
+    blocks = -(-max(2 * cores, -(-vectors.count() // BLOCK_ROWS)) // cores) * cores
+    packed = _slices(vectors, blocks, rows, True)
+    passing = packed.withColumn("is_query", F.lit(False)).withColumn("step", _every(blocks // 2 + 1)).withColumn("task", F.pmod(F.col("part") - F.col("step"), F.lit(blocks)))
+    passing = passing.where((F.col("step") * 2 < blocks) | (F.col("task") * 2 < blocks))  # of an even number, opposite ones once
     kind = vectors.schema["id"].dataType.simpleString()
-    dealt, cells = _cells(vectors, rows, width or 1)
-    bound = float(_angle(np.array([threshold]))[0])
-    asked = _asked(vectors, cells, lambda c, v, _: c.least_angles(v) <= bound)
-    found = _met(asked, dealt, cells, lambda own, other: within(own, other, threshold), f"query_id {kind}, id {kind}, distance double")
-    return found.where("query_id < id").select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), "distance")
+
+    def run(batches):
+        task, held, own = None, [], None
+        for batch in batches:
+            for now, asking, slices in _runs(batch):
+                if now != task:
+                    task, held, own = now, [], None
+                ids, unit = _unpacked(slices, single)
+                if asking:
+                    held.append((ids.to_numpy(zero_copy_only=False), unit))
+                    continue
+                if own is None:
+                    own = tuple(np.concatenate(part) for part in zip(*held, strict=True))
+                    own, held = (*own, own[1].astype(np.float32)), []
+                itself = np.repeat(slices.column(5).to_numpy() == now, slices.column(2).value_lengths().to_numpy())
+                names, bound = ids.to_numpy(zero_copy_only=False), 1 - threshold - _margin(unit.shape[1])
+                for a, b, products, mask in _steps(own[2], unit.astype(np.float32), rows):
+                    q, i = _at_least(products, np.full(len(products), bound, np.float32), mask)
+                    q, i = q + a, i + b
+                    d = _distances(own[1], unit, q, i)
+                    x, y = own[0][q], names[i]
+                    near = (d <= threshold) & np.where(itself[i], x < y, x != y)
+                    x, y, swap = x[near], y[near], (x > y)[near]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, y, x), ids.type), pa.array(np.where(swap, x, y), ids.type), pa.array(d[near])], names=["a_id", "b_id", "distance"])
+        tidy()
+
+    return _meeting(packed.withColumn("task", F.col("part")), passing, blocks, ["part"]).mapInArrow(run, f"a_id {kind}, b_id {kind}, distance double")
