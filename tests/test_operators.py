@@ -103,6 +103,16 @@ def test_query_keeps_queries_without_candidates(spark):
     assert found == {"a": ["b"], "b": ["a"], "d": []}
 
 
+def test_neighbours_are_found_once(spark):
+    """The pairs are joined several times; a plan that holds the search would run it again for each."""
+    rows = [(f"c{i}", f"f{i}.ts", f"n{i}", "function", None, f"h{i}", ["t", "t", "u"][: i + 1], [1.0, i / 9]) for i in range(3)]
+    data = chunk_rows(spark, rows)
+    for found in (ranking.scan(data, top=None), ranking.query(data, data)):
+        assert "MapInArrow" not in found._jdf.queryExecution().toString()
+        near = found.where("jaccard < 1").select("jaccard").distinct().collect()
+        assert [r["jaccard"] for r in near] == [0.5]  # a repeated token counts once
+
+
 GLOB_CASES = [
     (["*.log"], "a/b.log", True), (["/a.ts"], "x/a.ts", False), (["a/b.ts"], "x/a/b.ts", False), (["gen/"], "x/gen/y/z.ts", True), (["gen/"], "gen", False),
     (["**/gen/*.ts"], "x/y/gen/a.ts", True), (["src/**"], "src/a/b.ts", True), (["src/**/x.ts"], "src/x.ts", True), (["a?c.ts"], "abc.ts", True), (["[ab].ts"], "b.ts", True),

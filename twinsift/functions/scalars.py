@@ -69,8 +69,7 @@ def line_count(start: Column, end: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Sorted distinct lower-case word tokens of more than one byte."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0)
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.octet_length(w) > 1)))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), 0)))
 
 
 def signature_text(params: Column, return_type: Column) -> Column:

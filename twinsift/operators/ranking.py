@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import materialize
 from .exclusions import Exclusions, is_excluded_file, pairs_frame, without_pairs
 from .knn import knn
 
@@ -39,6 +40,18 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
 
 
+def tokens_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, tokens) of some chunks, without repeats, as a table: they are made once, however often they are joined."""
+    return materialize(chunks.select("id", F.array_distinct("tokens").alias("tokens")).join(ids, "id", "left_semi"), "tokens")
+
+
+def with_jaccard(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with the overlap of two columns of tokens without repeats; what both share is computed once for each pair."""
+    pairs = pairs.withColumn("__common", F.size(F.array_intersect(a, b))).withColumn("__both", F.size(a) + F.size(b) - F.col("__common"))
+    ratio = F.when(F.col("__both") == 0, 1.0).otherwise(F.col("__common") / F.greatest("__both", F.lit(1)))
+    return pairs.withColumn("jaccard", F.round(ratio, DECIMALS)).drop("__common", "__both")
+
+
 def _with_sides(pairs: DataFrame, chunks: DataFrame, names: list[str]) -> DataFrame:
     """pairs (a_id, b_id) with columns of both chunks."""
     for side in "ab":
@@ -70,13 +83,13 @@ def scan(chunks: DataFrame, threshold: float = SCAN_THRESHOLD, top: int | None =
     found = knn(queries.select("id", "embedding"), chunks.select("id", "embedding"), neighbours)
     # Both directions of a pair have the same distance and fate, so one is enough; what the rules and the overlap need is
     # only made for the chunks of the pairs that are left.
-    near = found.where((F.col("distance") <= threshold) & (F.col("query_id") != F.col("id")))
+    near = materialize(found.where((F.col("distance") <= threshold) & (F.col("query_id") != F.col("id"))).select("query_id", "id", "distance"), "neighbours")
     near = near.groupBy(F.least("query_id", "id").alias("a_id"), F.greatest("query_id", "id").alias("b_id")).agg(F.min("distance").alias("raw_distance"))
     plain = [c for c in INFO if c != "tokens"]
     pairs = _with_sides(near, chunks, plain).where(~is_related("a_", "b_"))
-    kept = apply_rules(pairs, rules, "a_", "b_", root, both=True)
-    kept = _with_sides(kept, chunks.join(_ids(kept), "id", "left_semi"), ["tokens"])
-    kept = kept.withColumn("jaccard", F.round(scalars.jaccard(F.col("a_tokens"), F.col("b_tokens")), DECIMALS))
+    kept = materialize(apply_rules(pairs, rules, "a_", "b_", root, both=True), "pairs")
+    kept = _with_sides(kept, tokens_of(chunks, _ids(kept)), ["tokens"])
+    kept = with_jaccard(kept, "a_tokens", "b_tokens")
     distance = F.round(scalars.combined(F.col("raw_distance"), F.col("jaccard")), COMBINED_DECIMALS)
     scored = kept.select("a_id", "b_id", "raw_distance", "jaccard", *(f"{side}_{name}" for name in ("file_path", "function_name") for side in "ab")).withColumn("distance", distance).withColumn("similarity", scalars.tier(F.col("distance")))
     return scored if top is None else scored.orderBy("distance", "a_id", "b_id").limit(top)
@@ -86,12 +99,14 @@ def query(queries: DataFrame, index: DataFrame, top: int = QUERY_TOP, threshold:
     """(query_id, id, rank, raw_distance, jaccard, distance, similarity, ...): the best candidates of each query chunk."""
     found = knn(queries.select("id", "embedding"), index.select("id", "embedding"), OVERFETCH * top)
     near = found.where((F.col("distance") <= threshold) & (F.col("query_id") != F.col("id"))).select("query_id", "id", F.col("distance").alias("raw_distance"))
+    near = materialize(near, "neighbours")
     plain = [c for c in INFO if c != "tokens"]
     pairs = near.join(info(queries, "q_", "query_id", plain), "query_id").join(info(index, "n_", "id", plain), "id").where(~is_related("q_", "n_"))
-    kept = apply_rules(pairs, rules, "q_", "n_", root)
-    left = index.join(kept.select("id").distinct(), "id", "left_semi")
-    kept = kept.join(info(queries.join(kept.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi"), "q_", "query_id", ["tokens"]), "query_id").join(info(left, "n_", "id", ["tokens"]), "id")
-    scored = kept.withColumn("jaccard", F.round(scalars.jaccard(F.col("q_tokens"), F.col("n_tokens")), DECIMALS))
+    kept = materialize(apply_rules(pairs, rules, "q_", "n_", root), "pairs")
+    asked, left = kept.select(F.col("query_id").alias("id")).distinct(), kept.select("id").distinct()
+    own, other = [tokens_of(index, asked.union(left).distinct())] * 2 if queries is index else (tokens_of(queries, asked), tokens_of(index, left))
+    kept = kept.join(info(own, "q_", "query_id", ["tokens"]), "query_id").join(info(other, "n_", "id", ["tokens"]), "id")
+    scored = with_jaccard(kept, "q_tokens", "n_tokens")
     scored = scored.withColumn("distance", F.round(scalars.combined(F.col("raw_distance"), F.col("jaccard")), COMBINED_DECIMALS))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "raw_distance", "id"))).where(F.col("rank") <= top)
     return ranked.select("query_id", "id", "rank", "raw_distance", "jaccard", "distance", scalars.tier(F.col("distance")).alias("similarity"), F.col("n_file_path").alias("file_path"), F.col("n_function_name").alias("function_name"))

@@ -202,9 +202,9 @@ TOKEN_SETS_SQL = f"WITH t AS (SELECT doc_id AS id, list_sort({TOKENS_SQL}) AS to
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
     found = knn.knn(rows, rows, ranking.SCAN_NEIGHBOURS).where("query_id < id")
-    tokens = rows.select("id", "tokens")
+    tokens = ranking.tokens_of(rows, rows.select("id"))
     both = found.join(tokens.select(F.col("id").alias("query_id"), F.col("tokens").alias("x")), "query_id").join(tokens, "id")
-    return both.select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), F.round(scalars.jaccard(F.col("x"), F.col("tokens")), 6).alias("jaccard"))
+    return ranking.with_jaccard(both, "x", "tokens").select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), "jaccard")
 
 
 JACCARD_SQL = f"""
